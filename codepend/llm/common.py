@@ -74,21 +74,22 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
 
     Randomised contraction: in each round every vertex joins the closed neighbour with the least
     seeded hash, and edges between merged vertices vanish, so rounds grow with the logarithm of
-    the vertices whatever the shape. Only aggregates with map-side combine and equi-joins;
+    the vertices whatever the shape; a vertex's merges are followed when all are known. Only aggregates with map-side combine and equi-joins;
     nothing but an edge count reaches the driver.
     """
     left = cut(edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a <> b").distinct())
-    members = cut(left.select(F.col("a").alias("node")).union(left.select(F.col("b").alias("node"))).distinct().withColumn("root", F.col("node")))
+    members = left.select(F.col("a").alias("node")).union(left.select(F.col("b").alias("node"))).distinct().withColumn("root", F.col("node"))
     for i in range(rounds):
         if left.isEmpty():
             break
         both = left.union(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         rank = lambda c: F.struct(F.xxhash64(F.lit(i), c).alias("h"), c.alias("v"))  # noqa: B023, E731
         to = cut(both.groupBy("a").agg(F.min(rank(F.col("b"))).alias("m")).select("a", F.least(rank(F.col("a")), "m")["v"].alias("to")))
-        members = cut(members.join(to, members.root == to.a, "left").select("node", F.coalesce("to", "root").alias("root")))
+        members = members.join(to, members.root == to.a, "left").select("node", F.coalesce("to", "root").alias("root"))
         ta, tb = to.select(F.col("a"), F.col("to").alias("x")), to.select(F.col("a").alias("b"), F.col("to").alias("y"))
         left = cut(left.join(ta, "a").join(tb, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     else:
         raise RuntimeError("the contraction did not end")
+    members = cut(members)
     least = members.groupBy("root").agg(F.min("node").alias("component"))
     return members.join(least, "root").select("node", "component")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, topk_search
+from . import bpe, chat_format, minhash_dedup, topk_search
 from .common import table
 
 #: A conversation that holds every control string of the template.
@@ -31,8 +31,12 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.tokenize(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), 85)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_chat_format": op2_chat_format, "op3_topk_search": op3_topk_search, "op4_bpe": op4_bpe}
+    return {"op2_chat_format": op2_chat_format, "op3_topk_search": op3_topk_search, "op4_bpe": op4_bpe, "op7_minhash_dedup": op7_minhash_dedup}
 
 
 OP2_SQL = """
