@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, minhash_dedup, topk_search
+from . import bpe, chat_format, lang_id, minhash_dedup, mixing, pii, topk_search
 from .common import table
 
 #: A conversation that holds every control string of the template.
@@ -35,8 +35,21 @@ def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), 85)
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lang_id.language_id(table(spark, sf_dir, "documents"))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return m.select("row_.doc_id", "row_.source", "n_tokens", "posterior", "rate", "copies")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_chat_format": op2_chat_format, "op3_topk_search": op3_topk_search, "op4_bpe": op4_bpe, "op7_minhash_dedup": op7_minhash_dedup}
+    return {"op2_chat_format": op2_chat_format, "op3_topk_search": op3_topk_search, "op4_bpe": op4_bpe, "op7_minhash_dedup": op7_minhash_dedup, "op8_language_id": op8_language_id, "op9_pii": op9_pii, "op10_mixing": op10_mixing}
 
 
 OP2_SQL = """
