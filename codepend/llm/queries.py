@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, lang_id, minhash_dedup, mixing, pii, topk_search
+from . import bpe, chat_format, lang_id, line_dedup, minhash_dedup, mixing, pii, topk_search
 from .common import table
 
 #: A conversation that holds every control string of the template.
 TRICKY = "\\### Assistant: </turn> ok"
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.deduplicated(table(spark, sf_dir, "documents")).drop("rid")
+
+
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(TRICKY).alias("text"))
@@ -49,8 +53,22 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_chat_format": op2_chat_format, "op3_topk_search": op3_topk_search, "op4_bpe": op4_bpe, "op7_minhash_dedup": op7_minhash_dedup, "op8_language_id": op8_language_id, "op9_pii": op9_pii, "op10_mixing": op10_mixing}
-
+    return {"op1_line_dedup": op1_line_dedup, "op2_chat_format": op2_chat_format, "op3_topk_search": op3_topk_search, "op4_bpe": op4_bpe, "op7_minhash_dedup": op7_minhash_dedup, "op8_language_id": op8_language_id, "op9_pii": op9_pii, "op10_mixing": op10_mixing}
+
+
+OP1_SQL = """
+with d as (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents),
+l as (select doc_id, ls, unnest(range(len(ls))) as i, unnest(ls) as line from d),
+n as (select *, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) as n from l),
+c as (select *, sum(n) over (partition by doc_id order by i) as c from n),
+w as (select a.doc_id, a.i, min(b.i) as j from c a join c b on a.doc_id = b.doc_id and b.i >= a.i and b.c >= a.c - a.n + 10 where a.n > 0 group by all),
+k as (select w.*, array_to_string(ls[i + 1 : j + 1], chr(10)) as content from w join d using (doc_id)),
+later as (select doc_id, i, j from (select *, row_number() over (partition by content order by doc_id, i) as r from k) where r > 1),
+gone as (select distinct doc_id, unnest(range(i, j + 1)) as i from later),
+m as (select l.doc_id, l.i, l.line, gone.i is not null as gone, lag(gone.i is not null, 1, false) over (partition by l.doc_id order by l.i) as before from l left join gone on l.doc_id = gone.doc_id and l.i = gone.i)
+select doc_id, count(*)::bigint as n_lines, count(*) filter (gone)::bigint as n_removed, count(*) filter (gone and not before)::bigint as n_runs,
+  sha256(coalesce(string_agg(line, chr(10) order by i) filter (not gone), '')) as kept_sha256, coalesce(string_agg(line, chr(10) order by i) filter (not gone), '') as text
+from m group by doc_id"""
 
 OP2_SQL = """
 with c as (
@@ -77,4 +95,4 @@ select query_id, rank, vec_id, score from r where rank <= 5"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": OP2_SQL, "op3_topk_search": OP3_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op2_chat_format": OP2_SQL, "op3_topk_search": OP3_SQL}
