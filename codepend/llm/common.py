@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 import numpy as np
@@ -31,6 +32,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the files, plans and buffers of finished rounds, which else wait for the driver to run out of memory."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def texts(docs: DataFrame) -> DataFrame:
     """doc_id, text (null: empty) and rid, which tells rows apart that share a doc_id but not a text."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -91,5 +98,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     else:
         raise RuntimeError("the contraction did not end")
     members = cut(members)
+    release(members.sparkSession)
     least = members.groupBy("root").agg(F.min("node").alias("component"))
     return members.join(least, "root").select("node", "component")

@@ -218,7 +218,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         pairs = small.alias("p").join(small.alias("q"), F.expr("p.key = q.key and p.doc_id < q.doc_id and p.c <> q.c")).select(F.col("p.doc_id").alias("a"), F.col("q.doc_id").alias("b"))
         large = rest.where(F.col("many") > SMALL).join(classes, "doc_id").withColumn("blocks", F.ceil(F.col("many") / BLOCK).cast("int"))
         more = _confirmed(pairs.union(_block_pairs(large, percent)).distinct(), classes, docs, percent)
-        joined = cut(components(links.union(more)))
+        if not more.isEmpty():  # joins of components, on the graph of components
+            of = joined.select("node", "component")
+            step = more.join(of.withColumnsRenamed({"node": "a", "component": "ca"}), "a", "left").join(of.withColumnsRenamed({"node": "b", "component": "cb"}), "b", "left").select(F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
+            up = cut(components(step, "ca", "cb"))
+            every = joined.select("node", "component").union(up.select("node", F.col("node").alias("component"))).groupBy("node").agg(F.min("component").alias("own"))
+            joined = cut(every.join(up.select(F.col("node").alias("own"), F.col("component").alias("top")), "own", "left").select("node", F.coalesce("top", "own").alias("component")))
     # vertices are the classes' smallest ids; a class passes its component on to all of its documents
     by_class = owned.join(joined, owned.rep == joined.node, "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
     own = by_class.union(joined.select("node", "component")).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, lang_id, line_dedup, minhash_dedup, mixing, pii, suffix_dedup, topk_search
+from . import bpe, chat_format, embed_dedup, lang_id, line_dedup, minhash_dedup, mixing, pii, suffix_dedup, topk_search
 from .common import table
 
 #: A conversation that holds every control string of the template.
@@ -35,6 +35,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.tokenize(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.linked(table(spark, sf_dir, "embeddings"), 0.9)
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeats_removed(table(spark, sf_dir, "documents"))
 
@@ -57,7 +61,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_line_dedup": op1_line_dedup, "op2_chat_format": op2_chat_format, "op3_topk_search": op3_topk_search, "op4_bpe": op4_bpe, "op6_suffix_dedup": op6_suffix_dedup, "op7_minhash_dedup": op7_minhash_dedup, "op8_language_id": op8_language_id, "op9_pii": op9_pii, "op10_mixing": op10_mixing}
+    return {"op1_line_dedup": op1_line_dedup, "op2_chat_format": op2_chat_format, "op3_topk_search": op3_topk_search, "op4_bpe": op4_bpe, "op5_embed_dedup": op5_embed_dedup, "op6_suffix_dedup": op6_suffix_dedup, "op7_minhash_dedup": op7_minhash_dedup, "op8_language_id": op8_language_id, "op9_pii": op9_pii, "op10_mixing": op10_mixing}
 
 
 OP1_SQL = """

@@ -160,8 +160,8 @@ def top_k(embeddings: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
                     out.append((np.full(len(ids), own), ids, scores))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["query_id", "vec_id", "score"])
 
-    first = buckets.where("part = 0 and seq = 0").select("n", "dim", "ids", "vectors").withColumn("one", F.lit(1))
-    seeded = blocks.withColumn("one", F.lit(1)).join(F.broadcast(first), "one", "left").select("q_n", "q_dim", "q_ids", "q_vectors", "n", "dim", "ids", "vectors")  # one bucket: BUCKET vectors at most
+    first = buckets.where("part = 0 and seq = 0").select("n", "dim", "ids", "vectors", F.col("seq").alias("first"))
+    seeded = blocks.withColumn("first", F.pmod("q_seq", F.lit(1))).join(F.broadcast(first), "first", "left").select("q_n", "q_dim", "q_ids", "q_vectors", "n", "dim", "ids", "vectors")  # one bucket: BUCKET vectors at most
     seeded = cut(seeded.mapInArrow(seed, "q_n int, q_dim int, q_ids binary, q_vectors binary, low binary"))
     met = seeded.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(buckets, "part")
     found = met.select("q_n", "q_dim", "q_ids", "q_vectors", "low", "n", "dim", "ids", "vectors").mapInArrow(probe, "query_id long, vec_id long, score long")
