@@ -214,3 +214,19 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Da
 def language_id(docs: DataFrame) -> DataFrame:
     """Learn from the training rows, then predict every row."""
     return identify(docs, learn(docs))
+
+
+def retained(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs whose language the model can tell, unchanged; `und` is rejected."""
+    bounded_batches(docs.sparkSession, 8)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES weights for each pair of classes
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m: Model = shared.value
+        for b in batches:
+            text = b.column("text").fill_null("")
+            margins = m.margins(*string_buffers(text))
+            keep = [bool(m.langs) and has_letters(t) and m.predict(margins[i])[0] != "und" for i, t in enumerate(text.to_pylist())]
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(work, docs.schema)

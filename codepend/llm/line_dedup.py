@@ -86,6 +86,37 @@ def later_runs(found: DataFrame) -> DataFrame:
     return later.groupBy("rid").agg(F.collect_set(F.struct("start", "stop")).alias("runs"))
 
 
+def _left(text: str, runs: list | None) -> tuple[str, int, int, int]:
+    """The text without the runs, its lines, the lines removed and their maximal runs."""
+    lines = text.split("\n")
+    if not runs:
+        return text, len(lines), 0, 0
+    drop = np.zeros(len(lines) + 2, bool)
+    for x in runs:
+        drop[x["start"] + 1 : x["stop"] + 1] = True
+    return "\n".join(x for x, d in zip(lines, drop[1:]) if not d), len(lines), int(drop.sum()), int((drop[1:] & ~drop[:-1]).sum())
+
+
+def shortened(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """docs with the text left (n_chars, where there is one, as its length); rows of which no line is left go."""
+    runs = later_runs(windows(texts(docs), words)).withColumnsRenamed({"rid": "_rid", "runs": "_runs"})
+    keyed = docs.withColumn("_rid", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))))
+    names = docs.columns
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            new = [(t, 0, 0, 0) if t is None else _left(t, r) for t, r in zip(b.column("text").to_pylist(), b.column("_runs").to_pylist())]
+            cols = [b.column(n) for n in names]
+            cols[names.index("text")] = pa.array([x[0] for x in new], pa.string())
+            if "n_chars" in names:
+                n = [None if x[0] is None else len(x[0]) for x in new]
+                cols[names.index("n_chars")] = pa.array(n, pa.int64()).cast(b.column("n_chars").type)
+            keep = [not x[2] or x[2] < x[1] for x in new]
+            yield pa.RecordBatch.from_arrays(cols, names).filter(pa.array(keep, pa.bool_()))
+
+    return keyed.join(runs, "_rid", "left").select(*names, "_runs").mapInArrow(work, docs.schema)
+
+
 def deduplicated(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, n_lines, n_removed, n_runs (maximal removed runs), kept_sha256 and the text left, for each row."""
     rows = texts(docs)
@@ -96,14 +127,8 @@ def deduplicated(docs: DataFrame, words: int = WORDS) -> DataFrame:
         for b in batches:
             out = []
             for t, r in zip(b.column("text").to_pylist(), b.column("runs").to_pylist()):
-                lines, gone, spans = t.split("\n"), 0, 0
-                if r:
-                    drop = np.zeros(len(lines) + 2, bool)
-                    for x in r:
-                        drop[x["start"] + 1 : x["stop"] + 1] = True
-                    gone, spans = int(drop.sum()), int((drop[1:] & ~drop[:-1]).sum())
-                    t = "\n".join(x for x, d in zip(lines, drop[1:]) if not d)
-                out.append((len(lines), gone, spans, hashlib.sha256(t.encode()).hexdigest(), t))
+                left, n, gone, spans = _left(t, r)
+                out.append((n, gone, spans, hashlib.sha256(left.encode()).hexdigest(), left))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("rid"), *(pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 5, kinds))], ["doc_id", "rid", "n_lines", "n_removed", "n_runs", "kept_sha256", "text"])
 

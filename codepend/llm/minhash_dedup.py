@@ -229,3 +229,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     own = by_class.union(joined.select("node", "component")).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
     out = signed.select("doc_id", F.col("n").alias("n_shingles")).join(own, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def distinct_documents(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """The rows of docs that near_duplicates keeps: of each group the document with the smallest doc_id."""
+    gone = near_duplicates(docs, percent).where("not kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

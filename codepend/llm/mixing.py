@@ -32,8 +32,9 @@ from pyspark.sql import functions as F
 from .common import cut
 
 SOURCE_BUCKETS, STEPS, PULL = 256, 40, 0.02
-TARGETS = {"q1t0": 0.78, "q0t0": 0.14, "q1t1": 0.07, "q0t1": 0.01}
+TARGETS = {"q1t0": 0.78, "q0t0": 0.13, "q1t1": 0.08, "q0t1": 0.01}
 MAX_DOMAINS = 64
+CELLS_PER_TASK = 100_000
 PROPERTIES = ("f_source", "f_lang", "f_length", "f_digits", "f_marks", "f_words", "f_lines")
 
 
@@ -139,7 +140,9 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     names, prior, scores = classifier(labelled)
     if not names:
         names, prior = ["all"], [0.0]
-    cell = cut(posteriors(cut(cells(small)), names, prior, cut(scores)))
+    summed = cut(cells(small))
+    tasks = -(-summed.count() // CELLS_PER_TASK) or 1  # each step scans the cells once
+    cell = cut(posteriors(summed, names, prior, cut(scores)).repartition(tasks))
     rated, _ = fit_rates(cell, names, TARGETS if targets is None else targets, min_rate, grow=grow)
     rated = cut(rated.select(*PROPERTIES, "posterior", "rate"))
     u = F.pmod(F.xxhash64("doc_id", F.col("row_.text"), F.lit(10)), F.lit(1 << 30)) / F.lit(float(1 << 30))
