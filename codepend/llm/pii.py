@@ -149,7 +149,8 @@ def personal_data(docs: DataFrame) -> DataFrame:
     terms = disclosing(found, rows)
     kinds = F.array(*(F.lit(k) for k in KINDS))
     written = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.element_at(kinds, x["k"] + 1), x["s"], x["f"])), ",")
-    counts = {f"n_{kind}": F.size(F.filter("base", lambda x, i=i: x["k"] == i)).cast("long") for i, kind in enumerate(KINDS[:4])}
+    found_of = lambda i: F.size(F.filter("base", lambda x: x["k"] == i)).cast("long")
+    counts = {f"n_{kind}": found_of(i) for i, kind in enumerate(KINDS[:4])}
     every = F.array_sort(F.concat("base", F.coalesce("terms", F.array().cast("array<struct<s:int,k:int,f:int>>"))))
     out = found.select("doc_id", "rid", "base").join(terms, "rid", "left").withColumns(counts | {"base_sha256": F.sha2(written(F.col("base")), 256), "spans": written(every)})
     return out.select("doc_id", *counts, "base_sha256", "spans", "rid")
@@ -169,11 +170,13 @@ def redact(text: str, spans: str) -> str:
 def sanitise(docs: DataFrame) -> DataFrame:
     """docs with generalised texts; null texts stay null."""
 
+    names = docs.columns
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             new = [None if t is None else redact(t, s or "") for t, s in zip(b.column("text").to_pylist(), b.column("_spans").to_pylist())]
-            yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if n == "text" else b.column(n) for n in docs.columns], docs.columns)
+            yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if n == "text" else b.column(n) for n in names], names)
 
     spans = personal_data(docs).select(F.col("rid").alias("_rid"), F.col("spans").alias("_spans")).dropDuplicates(["_rid"])
     keyed = docs.withColumn("_rid", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))))
-    return keyed.join(spans, "_rid", "left").select(*docs.columns, "_spans").mapInArrow(work, docs.schema)
+    return keyed.join(spans, "_rid", "left").select(*names, "_spans").mapInArrow(work, docs.schema)
