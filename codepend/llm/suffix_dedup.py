@@ -139,6 +139,8 @@ def equal_suffixes(data: np.ndarray, starts: np.ndarray, group: np.ndarray, leng
     tries, after those equal to their group's first have been set aside.
     """
     out = np.full(len(starts), -1, np.int64)
+    if not len(starts):
+        return out
     padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
     word = np.zeros(len(data), np.uint64)
     for i in range(8):
