@@ -91,7 +91,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     """Connected components of undirected edges: (node, component), component being the smallest node of each.
 
     Randomised contraction: in each round every vertex joins the closed neighbour with the least
-    seeded hash, and edges between merged vertices vanish, so rounds grow with the logarithm of
+    seeded hash (at first the least number, which settles stars at once), and edges between merged vertices vanish, so rounds grow with the logarithm of
     the vertices whatever the shape; a vertex's merges are followed when all are known. Only aggregates with map-side combine and equi-joins;
     nothing but an edge count reaches the driver.
     """
@@ -101,7 +101,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         if left.isEmpty():
             break
         both = left.union(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        rank = lambda c: F.struct(F.xxhash64(F.lit(i), c).alias("h"), c.alias("v"))  # noqa: B023, E731
+        rank = lambda c: F.struct((F.xxhash64(F.lit(i), c) if i else c).alias("h"), c.alias("v"))  # noqa: B023, E731
         to = cut(both.groupBy("a").agg(F.min(rank(F.col("b"))).alias("m")).select("a", F.least(rank(F.col("a")), "m")["v"].alias("to")))
         members = members.join(to, members.root == to.a, "left").select("node", F.coalesce("to", "root").alias("root"))
         ta, tb = to.select(F.col("a"), F.col("to").alias("x")), to.select(F.col("a").alias("b"), F.col("to").alias("y"))

@@ -4,7 +4,8 @@ A document's set holds the hashes of its distinct SHINGLE-word shingles; with fe
 the whole sequence; without words it is empty. Equal sets are one class from the start. A class
 keeps, for each of REGISTERS buckets of the hash range, the least hash of the bucket as a count of
 leading zeros and MANTISSA bits, 16 bits in all. Bands of ROWS registers deal out candidates: in a
-band's group every member meets three leaders (aggregates, no lists). Candidates pass an estimate of
+band's group every member meets up to LEADERS leaders, the least by hashes that are the same in all
+groups (aggregates, no lists), so a large family shares its leaders over all bands. Candidates pass an estimate of
 the Jaccard similarity from equal registers, less the equalities expected by chance, with a margin
 of four standard errors, and are then confirmed on the full sets. Groups that still hold several
 components are finished exactly: groups up to SMALL by pairs of different components, larger ones
@@ -30,7 +31,7 @@ from .common import bounded_batches, components, cut, mix, string_buffers, texts
 
 SHINGLE = 5
 REGISTERS, MANTISSA, ROWS = 256, 10, 8
-SMALL, BLOCK = 32, 256
+SMALL, BLOCK, LEADERS = 32, 256, 8
 _RANDOM = np.random.RandomState(20240229).randint(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -169,7 +170,7 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: i
     needed = near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct()
     full = cut(docs.select("doc_id", "text").join(needed, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, set binary"))
     sized = near.join(full.select(F.col("doc_id").alias("a"), F.col("set").alias("sa")), "a").join(full.select(F.col("doc_id").alias("b"), F.col("set").alias("sb")), "b")
-    return cut(sized.mapInArrow(verified, "a long, b long").distinct())
+    return sized.mapInArrow(verified, "a long, b long")
 
 
 def _block_pairs(members: DataFrame, percent: int) -> DataFrame:
@@ -198,32 +199,33 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     docs = texts(docs).select("doc_id", "text")
     signed = cut(signatures(docs))
     live = signed.where("n > 0 and doc_id is not null")
-    least = cut(live.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")))
-    reps = live.select("doc_id", "h1", "h2", "n", "regs").join(least.select("h1", "h2", "rep"), ["h1", "h2"]).where("doc_id = rep")
-    classes = cut(reps.dropDuplicates(["h1", "h2"]).select("doc_id", "n", "regs"))
-    keyed = cut(bands(classes))
-    groups = keyed.groupBy("key").agg(F.min("doc_id").alias("l1"), F.max("doc_id").alias("l2"), F.min(F.struct(F.xxhash64("key", "doc_id").alias("h"), "doc_id"))["doc_id"].alias("l3"), F.count(F.lit(1)).alias("many")).where("many > 1")
-    keyed = cut(keyed.join(groups, "key"))
-    stars = keyed.select(F.explode(F.array("l1", "l2", "l3")).alias("l"), "doc_id").where("l <> doc_id").select(F.least("l", "doc_id").alias("a"), F.greatest("l", "doc_id").alias("b")).distinct()
-    owned = cut(live.select("doc_id", "h1", "h2").join(least.select("h1", "h2", "rep"), ["h1", "h2"]).select("doc_id", "rep").distinct())
+    least = live.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
+    owned = live.join(least, ["h1", "h2"])
+    classes = cut(owned.where("doc_id = rep").dropDuplicates(["h1", "h2"]).select("doc_id", "n", "regs"))
+    keyed = bands(classes)
+    first = lambda k: F.min(F.struct((F.xxhash64(F.lit(k), "doc_id") if k else F.col("doc_id")).alias("h"), "doc_id"))["doc_id"].alias(f"l{k}")
+    groups = keyed.groupBy("key").agg(*(first(k) for k in range(LEADERS)), F.count(F.lit(1)).alias("many")).where("many > 1")
+    leaders = F.array(*(f"l{k}" for k in range(LEADERS)))
+    keyed = cut(keyed.join(groups, "key").select("key", "doc_id", "many", F.when(F.col("many") > 8, F.array_distinct(leaders)).when(F.col("many") > 2, F.array_distinct(F.slice(leaders, 1, 3))).otherwise(F.slice(leaders, 1, 1)).alias("leaders")))
+    stars = keyed.select(F.explode("leaders").alias("l"), "doc_id").where("l <> doc_id").select(F.least("l", "doc_id").alias("a"), F.greatest("l", "doc_id").alias("b")).distinct()
+    owned = owned.select("doc_id", "rep").distinct()
     shared = owned.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("doc_id")
     same = owned.join(shared, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    links = _confirmed(stars, classes, docs, percent).union(same)
-    joined = cut(components(links))
-    placed = keyed.select("key", "doc_id", "many").join(joined, keyed.doc_id == joined.node, "left").select("key", "doc_id", "many", F.coalesce("component", "doc_id").alias("c"))
-    open_keys = placed.where("many > 3").groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("key")
+    joined = cut(components(_confirmed(stars, classes, docs, percent).union(same)))
+    placed = keyed.join(joined, keyed.doc_id == joined.node, "left").select("key", "doc_id", "many", F.coalesce("component", "doc_id").alias("c")).where("many > 2")
+    open_keys = placed.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("key")
     rest = cut(placed.join(open_keys, "key", "left_semi"))
     if not rest.isEmpty():
         small = rest.where(F.col("many") <= SMALL)
         pairs = small.alias("p").join(small.alias("q"), F.expr("p.key = q.key and p.doc_id < q.doc_id and p.c <> q.c")).select(F.col("p.doc_id").alias("a"), F.col("q.doc_id").alias("b"))
         large = rest.where(F.col("many") > SMALL).join(classes, "doc_id").withColumn("blocks", F.ceil(F.col("many") / BLOCK).cast("int"))
         more = _confirmed(pairs.union(_block_pairs(large, percent)).distinct(), classes, docs, percent)
-        if not more.isEmpty():  # joins of components, on the graph of components
-            of = joined.select("node", "component")
-            step = more.join(of.withColumnsRenamed({"node": "a", "component": "ca"}), "a", "left").join(of.withColumnsRenamed({"node": "b", "component": "cb"}), "b", "left").select(F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
-            up = cut(components(step, "ca", "cb"))
-            every = joined.select("node", "component").union(up.select("node", F.col("node").alias("component"))).groupBy("node").agg(F.min("component").alias("own"))
-            joined = cut(every.join(up.select(F.col("node").alias("own"), F.col("component").alias("top")), "own", "left").select("node", F.coalesce("top", "own").alias("component")))
+        # joins of components, on the graph of components
+        of = joined.select("node", "component")
+        step = more.join(of.withColumnsRenamed({"node": "a", "component": "ca"}), "a", "left").join(of.withColumnsRenamed({"node": "b", "component": "cb"}), "b", "left").select(F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
+        up = components(step, "ca", "cb")
+        every = of.union(up.select("node", F.col("node").alias("component"))).groupBy("node").agg(F.min("component").alias("own"))
+        joined = cut(every.join(up.select(F.col("node").alias("own"), F.col("component").alias("top")), "own", "left").select("node", F.coalesce("top", "own").alias("component")))
     # vertices are the classes' smallest ids; a class passes its component on to all of its documents
     by_class = owned.join(joined, owned.rep == joined.node, "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
     own = by_class.union(joined.select("node", "component")).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))

@@ -26,13 +26,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LONG_MIN, bounded_batches, mix, ranges, string_buffers, texts
+from .common import LONG_MIN, bounded_batches, mix, ranges, release, string_buffers, texts, written
 
 LENGTH, GRAM, SHALLOW, HOT = 100, 24, 32, 4096
+MOST_HOT = 10_000  # so many hot anchors are told by a list, more by a join
 PIECE = 1 << 20
 _STATE = np.random.RandomState(77)
 _R1, _R2 = (_STATE.randint(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
@@ -272,17 +274,28 @@ def resolve(found: DataFrame) -> DataFrame:
     return found.repartition(n, "anchor").sortWithinPartitions("anchor", "seg", "doc", "pl").mapInArrow(work, FOUND)
 
 
-def contents(joined: DataFrame) -> DataFrame:
-    """The bytes of segments to look into: (anchor, doc, rid, s, content)."""
+def _lists(col: pa.Array) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Bounds (rows + 1) and the fields of all structs in a column of lists; a null list is empty."""
+    sizes = pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False)
+    flat = col.flatten()
+    return np.concatenate([[0], np.cumsum(sizes)]), {f.name: flat.field(f.name).to_numpy(zero_copy_only=False) for f in flat.type}
+
+
+def contents(joined: DataFrame, hot: list[int], only_hot: bool = False) -> DataFrame:
+    """The bytes of segments to look into, but those of hot anchors, or of these only: (anchor, doc, rid, s, content)."""
+    hot_anchors = np.array(sorted(hot), np.int64)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for rid, text, found in zip(b.column("rid").to_pylist(), b.column("text").to_pylist(), b.column("found").to_pylist()):
-                raw = text.encode() if any(x["anchor"] for x in found) else b""
-                out += [(x["anchor"], x["doc"], rid, x["s"], raw[x["s"] : x["s"] + x["e"] + LENGTH - 1]) for x in found if x["anchor"]]
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 5, kinds)], ["anchor", "doc", "rid", "s", "content"])
+            offsets, data = string_buffers(b.column("text"))
+            bounds, f = _lists(b.column("found"))
+            row = np.repeat(np.arange(b.num_rows), np.diff(bounds))
+            keep = f["anchor"] != 0
+            keep &= np.isin(f["anchor"], hot_anchors) == only_hot
+            row, anchor, doc, s, size = row[keep], f["anchor"][keep], f["doc"][keep], f["s"][keep], f["e"][keep].astype(np.int64) + LENGTH - 1
+            content = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.py_buffer(data[ranges(offsets[row] + s, size)])])
+            rid = b.column("rid").to_numpy()[row]
+            yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(doc), pa.array(rid), pa.array(s), content], ["anchor", "doc", "rid", "s", "content"])
 
     return joined.where("found is not null").select("rid", "text", "found").mapInArrow(work, "anchor long, doc long, rid long, s int, content binary")
 
@@ -354,27 +367,40 @@ def hashed_repeats(inside: DataFrame) -> DataFrame:
 def repeats_removed(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 for each row; with_text: the bytes left too."""
     rows = texts(docs).select("rid", "doc_id", "text")
-    per_row = resolve(find_segments(rows)).groupBy("rid").agg(F.collect_list(F.struct("anchor", "doc", "s", "e")).alias("found"))
+    per_row = written(resolve(find_segments(rows)).groupBy("rid").agg(F.collect_list(F.struct("anchor", "doc", "s", "e")).alias("found")))
+    release(docs.sparkSession)
     joined = rows.join(per_row, "rid", "left")
-    inside = contents(joined)
-    hot = inside.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("anchor")
-    partly = sorted_repeats(inside.join(hot, "anchor", "left_anti")).union(hashed_repeats(inside.join(hot, "anchor", "left_semi")))
+    anchors = per_row.select(F.explode(F.filter("found", lambda x: x["anchor"] != 0)["anchor"]).alias("anchor"))
+    hot = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("anchor")
+    known = [r["anchor"] for r in hot.limit(MOST_HOT + 1).collect()]  # MOST_HOT numbers
+    if len(known) <= MOST_HOT:
+        partly = sorted_repeats(contents(joined, known))
+        if known:
+            partly = partly.union(hashed_repeats(contents(joined, known, True)))
+    else:
+        inside = contents(joined, [])
+        partly = sorted_repeats(inside.join(hot, "anchor", "left_anti")).union(hashed_repeats(inside.join(hot, "anchor", "left_semi")))
     parts = partly.groupBy("rid").agg(F.collect_list(F.struct("s", "e")).alias("parts"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for text, found, more in zip(b.column("text").to_pylist(), b.column("found").to_pylist(), b.column("parts").to_pylist()):
-                raw = text.encode()
-                edge = np.zeros(len(raw) + 1, np.int64)
-                spans = [(x["s"], x["e"]) for x in found or () if not x["anchor"]] + [(x["s"], x["e"]) for x in more or ()]
-                if spans:
-                    s, e = np.array(spans).T
+            offsets, data = string_buffers(b.column("text"))
+            (at1, f), (at2, g) = _lists(b.column("found")), _lists(b.column("parts"))
+            for k in range(b.num_rows):
+                raw = data[offsets[k] : offsets[k + 1]]
+                sure = f["anchor"][at1[k] : at1[k + 1]] == 0
+                s = np.concatenate([f["s"][at1[k] : at1[k + 1]][sure], g["s"][at2[k] : at2[k + 1]]])
+                e = np.concatenate([f["e"][at1[k] : at1[k + 1]][sure], g["e"][at2[k] : at2[k + 1]]])
+                left, spans = raw, 0
+                if len(s):
+                    edge = np.zeros(len(raw) + 1, np.int32)
                     np.add.at(edge, s, 1)
                     np.add.at(edge, e, -1)
-                gone = np.cumsum(edge[:-1]) > 0
-                left = np.frombuffer(raw, np.uint8)[~gone].tobytes()
-                out.append((len(raw), len(raw) - len(left), int((gone & ~np.concatenate([[False], gone[:-1]])).sum()) if len(gone) else 0, hashlib.sha256(left).hexdigest(), left))
+                    gone = np.cumsum(edge[:-1]) > 0
+                    left, spans = raw[~gone], int((gone & ~np.concatenate([[False], gone[:-1]])).sum())
+                left = left.tobytes()
+                out.append((len(raw), len(raw) - len(left), spans, hashlib.sha256(left).hexdigest(), left))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
             names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
             cols = [pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 5, kinds)][: 5 if with_text else 4]

@@ -1,11 +1,36 @@
-"""All queries of the library and their SQL."""
+"""All queries of the library and their SQL: modules in codepend.queries register them by name."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+QUERIES: dict[str, Callable] = {}
+SQL: dict[str, str] = {}
 
 
-def oracle_sql() -> dict:
-    return {}
+def query(name: str, sql: str | None = None) -> Callable:
+    """Register a function (spark, sf_dir) -> DataFrame, and SQL that gives the same rows."""
+
+    def add(f: Callable) -> Callable:
+        if name in QUERIES:
+            raise ValueError(f"{name} is registered twice")
+        QUERIES[name] = f
+        if sql is not None:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+def _load() -> None:
+    from .queries import activity, dependence, graph, report, selection, significance  # noqa: F401
+
+
+def queries() -> dict[str, Callable]:
+    _load()
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    _load()
+    return dict(SQL)
