@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 QUERIES: dict[str, Callable] = {}
@@ -22,8 +23,13 @@ def query(name: str, sql: str | None = None) -> Callable:
     return add
 
 
+#: Modules of codepend.queries.
+MODULES: tuple[str, ...] = ()
+
+
 def _load() -> None:
-    from .queries import activity, dependence, graph, report, selection, significance  # noqa: F401
+    for name in MODULES:
+        importlib.import_module(f"{__package__}.queries.{name}")
 
 
 def queries() -> dict[str, Callable]:
