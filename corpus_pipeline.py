@@ -2,7 +2,7 @@
 
 language  documents whose language can't be told go
 lines     lines of repeated runs go, and documents of which no line is left
-near      one document of each group of near duplicates stays
+near      one document of each group of near duplicates (similarity of 0.8 or more) stays
 mix       documents are repeated until the expected tokens of the labelled domains match the targets;
           none is dropped, so rates are at least 1 and the total grows
 tokens    what is left is encoded, and decoded for control
@@ -26,7 +26,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return minhash_dedup.distinct_documents(docs, 85)
+    return minhash_dedup.distinct_documents(docs, 80)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
