@@ -30,6 +30,7 @@ from .common import bounded_batches, mix, string_buffers
 FEATURES = 1 << 13
 PER_LANGUAGE = 600
 MAX_LEARNT_BYTES = 32_000_000
+SLICE = 1 << 19
 FAMILIES = {
     "germanic": ["en", "de", "nl", "sv", "da", "no", "nb", "nn", "is", "af"],
     "romance": ["fr", "es", "it", "pt", "ro", "ca", "gl", "oc"],
@@ -121,7 +122,15 @@ class Model:
         self.weights = np.ascontiguousarray((w[:, :-1] * scale).astype(np.float32).T)
 
     def margins(self, offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
-        """Margins of each row under each machine."""
+        """Margins of each row under each machine; rows are taken by SLICE bytes, so that arrays by byte stay small."""
+        out, i = [np.zeros((0, len(self.pairs)))], 0
+        while i < len(offsets) - 1:
+            j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + SLICE, "right")) - 1)
+            out.append(self._margins(offsets[i : j + 1] - offsets[i], data[offsets[i] : offsets[j]]))
+            i = j
+        return np.concatenate(out)
+
+    def _margins(self, offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
         n, k = len(offsets) - 1, len(self.pairs)
         out = np.zeros((n, k))
         if not k or not len(data):
@@ -189,7 +198,7 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
 
 def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred and score of each row; keep: columns to carry along unchanged."""
-    bounded_batches(docs.sparkSession, 8)
+    bounded_batches(docs.sparkSession, 4)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES weights for each pair of classes
     keep = keep or []
     rows = docs.select(*keep, F.col("doc_id").cast("long").alias("id_"), held_out().alias("held_out"), F.coalesce("text", F.lit("")).alias("text_"))
@@ -218,7 +227,7 @@ def language_id(docs: DataFrame) -> DataFrame:
 
 def retained(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs whose language the model can tell, unchanged; `und` is rejected."""
-    bounded_batches(docs.sparkSession, 8)
+    bounded_batches(docs.sparkSession, 4)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES weights for each pair of classes
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
