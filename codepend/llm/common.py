@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_batches(spark: SparkSession, mb: int = 16, rows: int = 4096) -> None:
+def bounded_batches(spark: SparkSession, mb: int = 4, rows: int = 4096) -> None:
     """Keep Arrow batches small in bytes and rows, so that very long texts don't pile up in one Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
@@ -65,6 +66,15 @@ def string_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw - raw[0], data[raw[0] : raw[-1]]
 
 
+def slices(offsets: np.ndarray, size: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Row ranges of at most size bytes, or of one longer row, for work whose arrays are many times its bytes."""
+    i = 0
+    while i < len(offsets) - 1:
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + size, "right")) - 1)
+        yield i, j
+        i = j
+
+
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The numbers start .. start + length - 1 of every pair, one after another."""
     lengths = np.asarray(lengths, dtype=np.int64)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, mix, string_buffers
+from .common import bounded_batches, slices, string_buffers
 
 FEATURES = 1 << 13
 PER_LANGUAGE = 600
@@ -123,12 +123,8 @@ class Model:
 
     def margins(self, offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
         """Margins of each row under each machine; rows are taken by SLICE bytes, so that arrays by byte stay small."""
-        out, i = [np.zeros((0, len(self.pairs)))], 0
-        while i < len(offsets) - 1:
-            j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + SLICE, "right")) - 1)
-            out.append(self._margins(offsets[i : j + 1] - offsets[i], data[offsets[i] : offsets[j]]))
-            i = j
-        return np.concatenate(out)
+        parts = [self._margins(offsets[i : j + 1] - offsets[i], data[offsets[i] : offsets[j]]) for i, j in slices(offsets, SLICE)]
+        return np.concatenate([np.zeros((0, len(self.pairs))), *parts])
 
     def _margins(self, offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
         n, k = len(offsets) - 1, len(self.pairs)

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, components, cut, mix, string_buffers, texts
+from .common import bounded_batches, components, cut, mix, slices, string_buffers, texts
 
 SHINGLE = 5
 REGISTERS, MANTISSA, ROWS = 256, 10, 8
@@ -65,6 +65,11 @@ def word_hashes(offsets: np.ndarray, data: np.ndarray, fold: bool = True) -> tup
 
 def shingle_sets(offsets: np.ndarray, data: np.ndarray, size: int = SHINGLE) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each row."""
+    for i, j in slices(offsets):
+        yield from _shingle_sets(offsets[i : j + 1] - offsets[i], data[offsets[i] : offsets[j]], size)
+
+
+def _shingle_sets(offsets: np.ndarray, data: np.ndarray, size: int) -> Iterator[np.ndarray]:
     h, words = word_hashes(offsets, data)
     with np.errstate(over="ignore"):
         joined = mix(sum((h[k : len(h) - size + 1 + k] * _PLACE[k] for k in range(size)), np.zeros(max(0, len(h) - size + 1), np.uint64)))
