@@ -39,25 +39,26 @@ PROPERTIES = ("f_source", "f_lang", "f_length", "f_digits", "f_marks", "f_words"
 
 
 def properties(docs: DataFrame) -> DataFrame:
-    """n_tokens and the discretised properties of each row, beside its own columns."""
+    """n_tokens and the discretised properties of each row, beside its own columns.
+
+    Counts are lengths after a replacement of whole runs, which makes no array of a text's parts.
+    """
     t = F.coalesce(F.col("text"), F.lit(""))
     chars = F.length(t)
     share = lambda n: F.floor(F.log2(1 + n * 1024 / F.greatest(chars, F.lit(1)))).cast("int")
-    blanks = F.translate(t, "\t\n\x0b\x0c\r", "     ")
-    tokens = F.when(F.trim(blanks) == "", 0).otherwise(F.size(F.split(F.trim(blanks), " +"))).cast("long")
-    without = lambda drop: chars - F.length(F.translate(t, drop, ""))
-    out = docs.withColumn("n_tokens", tokens)
-    return out.withColumns(
-        {
-            "f_source": F.pmod(F.xxhash64(F.coalesce("source", F.lit("\x00"))), F.lit(SOURCE_BUCKETS)).cast("int"),
-            "f_lang": F.pmod(F.xxhash64(F.coalesce("lang", F.lit("\x00"))), F.lit(SOURCE_BUCKETS)).cast("int"),
-            "f_length": F.floor(F.log2(F.col("n_tokens") + 1)).cast("int"),
-            "f_digits": share(without("0123456789")),
-            "f_marks": share(without("!?|{}[]<>#*=_@/")),
-            "f_words": F.round(F.log2(1 + chars / F.greatest("n_tokens", F.lit(1)))).cast("int"),
-            "f_lines": share(without("\n")),
-        }
-    )
+    tokens = F.length(F.regexp_replace(F.ltrim(t, F.lit(" \t\n\x0b\f\r")), "[^ \\t-\\r]+[ \\t-\\r]*", "w")).cast("long")
+    without = lambda drop: chars - F.length(F.regexp_replace(t, drop, ""))
+    made = {
+        "f_source": F.pmod(F.xxhash64(F.coalesce("source", F.lit("\x00"))), F.lit(SOURCE_BUCKETS)).cast("int"),
+        "f_lang": F.pmod(F.xxhash64(F.coalesce("lang", F.lit("\x00"))), F.lit(SOURCE_BUCKETS)).cast("int"),
+        "f_length": F.floor(F.log2(F.col("n_tokens") + 1)).cast("int"),
+        "f_digits": share(without("[0-9]+")),
+        "f_marks": share(without("[!?|{}\\[\\]<>#*=_@/]+")),
+        "f_words": F.round(F.log2(1 + chars / F.greatest("n_tokens", F.lit(1)))).cast("int"),
+        "f_lines": share(chars - F.length(F.replace(t, F.lit("\n")))),
+    }
+    # never null, so that a join on them doesn't compute them once more to filter nulls
+    return docs.withColumn("n_tokens", tokens).withColumns({k: F.coalesce(c, F.lit(0)) for k, c in made.items()})
 
 
 def domain() -> Column:
@@ -129,13 +130,16 @@ def fit_rates(cell: DataFrame, names: list[str], targets: dict[str, float], min_
     return out, {"domains": names, "before": now, "target": goal, "after": sums(out)}
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, min_rate: float = 0.0, grow: bool = False) -> DataFrame:
-    """doc columns with n_tokens, posterior, rate and copies for each row."""
-    own = docs.columns
-    base = docs.select(F.struct(*own).alias("row_"), "doc_id", "text", "source", "lang")
-    described = properties(base).drop("text", "source", "lang")
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, min_rate: float = 0.0, grow: bool = False, keep: list[str] | None = None) -> DataFrame:
+    """docs' columns (keep: only these, and texts are then read once) as row_, with n_tokens, posterior, rate and copies for each row."""
+    base = docs.select(F.struct(*(docs.columns if keep is None else keep)).alias("row_"), "doc_id", "text", "source", "lang")
+    u = F.pmod(F.xxhash64("doc_id", "text", F.lit(10)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    described = properties(base).withColumn("u_", u).drop("text", "source", "lang")
     lab = labels.where("doc_id is not null and quality is not null and toxic is not null").select(F.col("doc_id").alias("l_id"), domain().alias("domain"))
-    small = described.select("doc_id", "n_tokens", *PROPERTIES)
+    if keep is None:
+        small = cut(described.select("doc_id", "n_tokens", *PROPERTIES))
+    else:
+        small = described = cut(described)
     labelled = cut(small.join(lab, small.doc_id == lab.l_id).select("domain", *PROPERTIES))
     names, prior, scores = classifier(labelled)
     if not names:
@@ -145,8 +149,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     cell = cut(posteriors(summed, names, prior, cut(scores)).repartition(tasks))
     rated, _ = fit_rates(cell, names, TARGETS if targets is None else targets, min_rate, grow=grow)
     rated = cut(rated.select(*PROPERTIES, "posterior", "rate"))
-    u = F.pmod(F.xxhash64("doc_id", F.col("row_.text"), F.lit(10)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    out = described.join(rated, list(PROPERTIES)).withColumn("copies", (F.floor("rate") + (u < F.col("rate") - F.floor("rate")).cast("int")).cast("int"))
+    out = described.join(rated, list(PROPERTIES)).withColumn("copies", (F.floor("rate") + (F.col("u_") < F.col("rate") - F.floor("rate")).cast("int")).cast("int"))
     return out.select("row_", "n_tokens", "posterior", "rate", "copies")
 
 

@@ -56,7 +56,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    m = mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=["doc_id", "source"])
     return m.select("row_.doc_id", "row_.source", "n_tokens", "posterior", "rate", "copies")
 
 
