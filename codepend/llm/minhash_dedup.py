@@ -3,14 +3,15 @@
 A document's set holds the hashes of its distinct SHINGLE-word shingles; with fewer words, that of
 the whole sequence; without words it is empty. Equal sets are one class from the start. A class
 keeps, for each of REGISTERS buckets of the hash range, the least hash of the bucket as a count of
-leading zeros and MANTISSA bits, 16 bits in all. Bands of ROWS registers deal out candidates: in a
-band's group every member meets up to LEADERS leaders, the least by hashes that are the same in all
-groups (aggregates, no lists), so a large family shares its leaders over all bands. Candidates pass an estimate of
-the Jaccard similarity from equal registers, less the equalities expected by chance, with a margin
-of four standard errors, and are then confirmed on the full sets. Groups that still hold several
-components are finished exactly: groups up to SMALL by pairs of different components, larger ones
-in pairs of blocks whose registers are compared inside a task, so that only likely pairs between
-different components leave it.
+leading zeros and MANTISSA bits, 16 bits in all. Bands of ROWS registers deal out candidates: bands that
+one class has are dropped first; in the group of any other, every member meets the group's least
+and greatest doc_id (aggregates, no lists), so a large family shares its leaders over all bands.
+Candidates pass an estimate of the Jaccard similarity from equal registers, less the equalities
+expected by chance, with a margin of four standard errors, and are then confirmed on the full sets.
+Groups that still hold several components are finished exactly: groups up to SMALL by pairs of
+different components; larger ones are cut into blocks by the bytes of their sets. There only pairs
+that aren't both of the group's largest component need be seen, so its members go to one block and
+the others to all; tasks compare registers, then full sets, and give out links alone.
 
 Defined cases: null text is empty; an empty set links with nothing; rows that share a doc_id are one
 vertex; a null doc_id links with nothing, has a null component_id and is kept; no rows give no rows;
@@ -31,7 +32,7 @@ from .common import bounded_batches, components, cut, mix, slices, string_buffer
 
 SHINGLE = 5
 REGISTERS, MANTISSA, ROWS = 256, 10, 8
-SMALL, BLOCK, LEADERS = 32, 256, 8
+SMALL, BLOCK_BYTES = 32, 4 << 20
 _RANDOM = np.random.RandomState(20240229).randint(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -129,20 +130,44 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def bands(classes: DataFrame) -> DataFrame:
-    """(key, doc_id) for each band that has a register in use."""
+    """(key, band, doc_id) for each band that has a register in use."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            r = np.frombuffer(b"".join(b.column("regs").to_pylist()), np.uint16).reshape(-1, REGISTERS // ROWS, ROWS)
+            r = _by_band(np.frombuffer(b"".join(b.column("regs").to_pylist()), np.uint16).reshape(-1, REGISTERS))
             if not len(r):
                 continue
             with np.errstate(over="ignore"):
                 key = mix((r.astype(np.uint64) * _PLACE[:ROWS]).sum(-1, dtype=np.uint64) + _PLACE[8] * np.arange(1, REGISTERS // ROWS + 1, dtype=np.uint64))
             used = (r > 0).any(-1)
             ids = np.repeat(b.column("doc_id").to_numpy()[:, None], key.shape[1], 1)
-            yield pa.RecordBatch.from_arrays([pa.array(key[used].view(np.int64)), pa.array(ids[used])], ["key", "doc_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(key[used].view(np.int64)), pa.array(np.nonzero(used)[1].astype(np.int32)), pa.array(ids[used])], ["key", "band", "doc_id"])
 
-    return classes.select("doc_id", "regs").mapInArrow(work, "key long, doc_id long")
+    return classes.select("doc_id", "regs").mapInArrow(work, "key long, band int, doc_id long")
+
+
+def _by_band(regs: np.ndarray) -> np.ndarray:
+    return regs.reshape(*regs.shape[:-1], REGISTERS // ROWS, ROWS)
+
+
+def _sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
+    """(doc_id, set): the shingle hashes of the needed documents."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([s.tobytes() for s in shingle_sets(*string_buffers(b.column("text")))], pa.binary())], ["doc_id", "set"])
+
+    return docs.select("doc_id", "text").join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(work, "doc_id long, set binary")
+
+
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets are as similar as that."""
+    if min(len(x), len(y)) * 100 < percent * max(len(x), len(y)):
+        return False
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    same = int((both[1:] == both[:-1]).sum())
+    return 100 * same >= percent * (len(x) + len(y) - same)
 
 
 def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -158,45 +183,54 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: i
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = []
-            for x, y in zip(b.column("sa").to_pylist(), b.column("sb").to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+            keep = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(b.column("sa").to_pylist(), b.column("sb").to_pylist())]
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([s.tobytes() for s in shingle_sets(*string_buffers(b.column("text")))], pa.binary())], ["doc_id", "set"])
-
     c = classes.select("doc_id", "n", "regs")
     pairs = pairs.join(c.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("regs").alias("ra")), "a").join(c.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("regs").alias("rb")), "b")
     near = cut(pairs.mapInArrow(filtered, "a long, b long").distinct())
     needed = near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct()
-    full = cut(docs.select("doc_id", "text").join(needed, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, set binary"))
+    full = cut(_sets(docs, needed))
     sized = near.join(full.select(F.col("doc_id").alias("a"), F.col("set").alias("sa")), "a").join(full.select(F.col("doc_id").alias("b"), F.col("set").alias("sb")), "b")
     return sized.mapInArrow(verified, "a long, b long")
 
 
-def _block_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Likely pairs of different components within large groups (key, doc_id, c, n, regs, blocks)."""
+def _block_links(members: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links (a, b) between different components c within large groups (key, band, doc_id, c)."""
 
     def work(key: tuple, t: pa.Table) -> pa.Table:
-        i, j = key[1].as_py(), key[2].as_py()
-        regs, n, c, ids, block = (np.frombuffer(b"".join(t.column("regs").to_pylist()), np.uint16).reshape(-1, REGISTERS), *(t.column(x).to_numpy() for x in ("n", "c", "doc_id", "block")))
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        a, b = [], []
-        for x in left:
-            y = right[(c[right] != c[x]) & ((ids[right] > ids[x]) | (i != j))]
+        i, j, band = key[2].as_py(), key[3].as_py(), t.column("band")[0].as_py()
+        regs = np.frombuffer(b"".join(t.column("regs").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+        sets = [np.frombuffer(x, np.uint64) for x in t.column("set").to_pylist()]
+        n, c, ids, block, minor = (t.column(x).to_numpy() for x in ("n", "c", "doc_id", "block", "minor"))
+        label, by_band, found = np.unique(c, return_inverse=True)[1], _by_band(regs), []
+        across = key[1].as_py() == 1
+        right = np.flatnonzero(~minor.astype(bool) if across else block == j)
+        for x in np.flatnonzero(minor.astype(bool) & (block == i)):
+            y = right[(label[right] != label[x]) & (across | (i != j) | (right > x))]
             y = y[likely(regs[x], regs[y], n[x], n[y], percent / 100)] if len(y) else y
-            a.append(np.minimum(ids[x], ids[y]))
-            b.append(np.maximum(ids[x], ids[y]))
-        cat = lambda v: np.concatenate(v) if v else np.zeros(0, np.int64)
-        return pa.table({"a": cat(a), "b": cat(b)})
-
-    m = members.withColumn("block", F.expr("int(pmod(xxhash64(doc_id, 7), blocks))"))
-    m = m.withColumn("o", F.explode(F.expr("sequence(0, int(blocks) - 1)"))).withColumns({"i": F.least("block", "o"), "j": F.greatest("block", "o")})
-    return m.select("key", "i", "j", "block", "doc_id", "c", "n", "regs").groupBy("key", "i", "j").applyInArrow(work, "a long, b long").distinct()
+            if len(y):  # a pair is seen in the first of the bands that it shares
+                y = y[((by_band[y] == by_band[x]).all(-1) & (by_band[x] > 0).any(-1)).argmax(1) == band]
+            for z in y:
+                if label[z] != label[x] and similar(sets[x], sets[z], percent):
+                    found.append((ids[x], ids[z]))
+                    label[label == label[z]] = label[x]
+        pair = np.array(found, np.int64).reshape(-1, 2)
+        return pa.table({"a": pair.min(1), "b": pair.max(1)})
+
+    full = cut(_sets(docs, members.select("doc_id").distinct()))
+    m = members.join(classes.select("doc_id", "n", "regs"), "doc_id")
+    by_component = m.groupBy("key", "c").agg(F.count(F.lit(1)).alias("k"), F.sum(F.col("n") * 8 + 2 * REGISTERS).alias("bytes"))
+    blocks = lambda size: F.greatest(F.lit(1), F.ceil(size / BLOCK_BYTES)).cast("int")
+    of_key = by_component.groupBy("key").agg(F.max(F.struct("k", "c", "bytes")).alias("top"), F.sum("bytes").alias("all"))
+    of_key = of_key.select("key", F.col("top.c").alias("major"), blocks(F.col("top.bytes")).alias("majors"), blocks(F.col("all") - F.col("top.bytes")).alias("minors"))
+    m = m.join(of_key, "key").withColumn("minor", (F.col("c") != F.col("major")).cast("int"))
+    m = m.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.when(F.col("minor") == 1, F.col("minors")).otherwise(F.col("majors"))).cast("int"))
+    cells = F.expr("""if(minor = 1,
+        concat(transform(sequence(0, minors - 1), q -> struct(0 as kind, least(block, q) as i, greatest(block, q) as j)), transform(sequence(0, majors - 1), q -> struct(1 as kind, block as i, q as j))),
+        transform(sequence(0, minors - 1), q -> struct(1 as kind, q as i, block as j)))""")
+    m = m.join(full, "doc_id").withColumn("cell", F.explode(cells))
+    return m.select("key", "cell.*", "band", "block", "minor", "doc_id", "c", "n", "regs", "set").groupBy("key", "kind", "i", "j").applyInArrow(work, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -208,23 +242,23 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     owned = live.join(least, ["h1", "h2"])
     classes = cut(owned.where("doc_id = rep").dropDuplicates(["h1", "h2"]).select("doc_id", "n", "regs"))
     keyed = bands(classes)
-    first = lambda k: F.min(F.struct((F.xxhash64(F.lit(k), "doc_id") if k else F.col("doc_id")).alias("h"), "doc_id"))["doc_id"].alias(f"l{k}")
-    groups = keyed.groupBy("key").agg(*(first(k) for k in range(LEADERS)), F.count(F.lit(1)).alias("many")).where("many > 1")
-    leaders = F.array(*(f"l{k}" for k in range(LEADERS)))
-    keyed = cut(keyed.join(groups, "key").select("key", "doc_id", "many", F.when(F.col("many") > 8, F.array_distinct(leaders)).when(F.col("many") > 2, F.array_distinct(F.slice(leaders, 1, 3))).otherwise(F.slice(leaders, 1, 1)).alias("leaders")))
-    stars = keyed.select(F.explode("leaders").alias("l"), "doc_id").where("l <> doc_id").select(F.least("l", "doc_id").alias("a"), F.greatest("l", "doc_id").alias("b")).distinct()
+    shared_keys = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
+    keyed = cut(keyed.join(shared_keys, "key"))
+    leaders = keyed.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+    met = keyed.select("key", "doc_id").join(leaders, "key")
+    stars = met.select(F.explode(F.array("lo", "hi")).alias("l"), "doc_id").where("l <> doc_id").select(F.least("l", "doc_id").alias("a"), F.greatest("l", "doc_id").alias("b")).distinct()
     owned = owned.select("doc_id", "rep").distinct()
     shared = owned.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("doc_id")
     same = owned.join(shared, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     joined = cut(components(_confirmed(stars, classes, docs, percent).union(same)))
-    placed = keyed.join(joined, keyed.doc_id == joined.node, "left").select("key", "doc_id", "many", F.coalesce("component", "doc_id").alias("c")).where("many > 2")
+    placed = keyed.join(joined, keyed.doc_id == joined.node, "left").select("key", "band", "doc_id", "many", F.coalesce("component", "doc_id").alias("c")).where("many > 2")
     open_keys = placed.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("key")
     rest = cut(placed.join(open_keys, "key", "left_semi"))
     if not rest.isEmpty():
         small = rest.where(F.col("many") <= SMALL)
         pairs = small.alias("p").join(small.alias("q"), F.expr("p.key = q.key and p.doc_id < q.doc_id and p.c <> q.c")).select(F.col("p.doc_id").alias("a"), F.col("q.doc_id").alias("b"))
-        large = rest.where(F.col("many") > SMALL).join(classes, "doc_id").withColumn("blocks", F.ceil(F.col("many") / BLOCK).cast("int"))
-        more = _confirmed(pairs.union(_block_pairs(large, percent)).distinct(), classes, docs, percent)
+        large = rest.where(F.col("many") > SMALL).select("key", "band", "doc_id", "c")
+        more = _confirmed(pairs.distinct(), classes, docs, percent).union(_block_links(large, classes, docs, percent))
         # joins of components, on the graph of components
         of = joined.select("node", "component")
         step = more.join(of.withColumnsRenamed({"node": "a", "component": "ca"}), "a", "left").join(of.withColumnsRenamed({"node": "b", "component": "cb"}), "b", "left").select(F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))

@@ -161,7 +161,7 @@ def brute_near(rows):
 @pytest.mark.parametrize("small", [32, 2])
 def test_near_duplicates(docs, monkeypatch, small):
     monkeypatch.setattr(minhash_dedup, "SMALL", small)
-    monkeypatch.setattr(minhash_dedup, "BLOCK", 4)
+    monkeypatch.setattr(minhash_dedup, "BLOCK_BYTES", 8000)
     rng = random.Random(4)
     texts = [None, "", "  \n", "One", "one", "a b c d", "A b\tc d", "É é", "é É"]
     for size in (8, 60, 300):
