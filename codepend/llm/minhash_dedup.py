@@ -157,7 +157,7 @@ def _sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([s.tobytes() for s in shingle_sets(*string_buffers(b.column("text")))], pa.binary())], ["doc_id", "set"])
 
-    return docs.select("doc_id", "text").join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(work, "doc_id long, set binary")
+    return docs.select("doc_id", "text").join(needed, "doc_id", "left_semi").mapInArrow(work, "doc_id long, set binary")
 
 
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
