@@ -60,10 +60,10 @@ def elbow(ranked: DataFrame, key: str = "gene", value: str = "p", trim: float =
     return e.groupBy(key).agg(F.min(F.struct((-F.col("kappa")).alias("k"), F.col("i")))["i"].alias("elbow"), F.max("r").alias("r"))
 
 
-def ceilings(p: DataFrame, n: int, top_pct: float = 1.0, least: int = 100) -> DataFrame:
+def ceilings(p: DataFrame, n: int, top_pct: float = 1.0, least: int = 100, more_than: int | None = None) -> DataFrame:
     """gene, mean, std, clip_idx, clip_val, clip_z, nnz_topk and the share of cells clipped.
 
-    With k = int(top_pct / 100 * n): genes with more than `least` values among their top k are clipped at the
+    With k = int(top_pct / 100 * n), `least` at least: genes with more than `least` (or `more_than`) values among their top k are clipped at the
     elbow of these, others at their maximum. Too few cells for `least` altogether: nothing is clipped below 1.
     """
     m = gene_moments(p, n)
@@ -73,7 +73,7 @@ def ceilings(p: DataFrame, n: int, top_pct: float = 1.0, least: int = 100) -> Da
     k = max(k, least)
     ranked = top_k(p, k)
     r = ranked.groupBy("gene").agg(F.count(F.lit(1)).alias("nnz_topk"))
-    bends = elbow(ranked.join(r.where(F.col("nnz_topk") > least), "gene", "left_semi"))
+    bends = elbow(ranked.join(r.where(F.col("nnz_topk") > (least if more_than is None else more_than)), "gene", "left_semi"))
     at = ranked.join(bends.select("gene", "elbow"), "gene").where(F.col("rank") == F.col("elbow") + 1).select("gene", "elbow", F.col("p").alias("val"))
     out = m.join(r, "gene", "left").join(at, "gene", "left")
     z = (F.col("val") - F.col("mean")) / F.when(F.col("std") == 0, 1.0).otherwise(F.col("std"))
@@ -132,6 +132,24 @@ def _scores(s: DataFrame, m: DataFrame, n: int) -> DataFrame:
     return j.select("g1", "g2", "cooc", F.greatest(*every).alias("ids"), corr(F.col("sy"), "y", "y").alias("corr"))
 
 
+def cooccurrence(counts: DataFrame) -> DataFrame:
+    """(g1, g2, cooc): in how many cells both genes are."""
+    cell = counts.groupBy("cell_id").agg(F.array_sort(F.collect_set("gene")).alias("g"))
+    left = cell.select("g", F.posexplode("g").alias("i", "g1"))
+    return left.select("g1", F.explode(F.slice("g", F.col("i") + 2, F.size("g"))).alias("g2")).groupBy("g1", "g2").agg(F.count(F.lit(1)).alias("cooc"))
+
+
+def pearson(y: DataFrame, n: int) -> DataFrame:
+    """(g1, g2, corr) alone, for pairs that share a cell."""
+    v = lambda: F.greatest(F.col("q") / n - F.col("m") * F.col("m"), F.lit(0.0))
+    m = y.groupBy("gene").agg((F.sum("y") / n).alias("m"), F.sum(F.col("y") * F.col("y")).alias("q")).select("gene", "m", F.when(v() < 1e-15, 0.0).otherwise(1 / F.sqrt(F.greatest(v(), F.lit(1e-300)))).alias("i"))
+    cell = y.groupBy("cell_id").agg(F.array_sort(F.collect_list(F.struct("gene", "y"))).alias("g"))
+    left = cell.select("g", F.posexplode("g").alias("k", "a"))
+    s = left.select("a", F.explode(F.slice("g", F.col("k") + 2, F.size("g"))).alias("b")).groupBy(F.col("a.gene").alias("g1"), F.col("b.gene").alias("g2")).agg(F.sum(F.col("a.y") * F.col("b.y")).alias("s"))
+    a, b = (F.broadcast(m.select(F.col("gene").alias(g), F.col("m").alias(f"m_{g}"), F.col("i").alias(f"i_{g}"))) for g in ("g1", "g2"))  # a row for each gene
+    return s.join(a, "g1").join(b, "g2").select("g1", "g2", ((F.col("s") / n - F.col("m_g1") * F.col("m_g2")) * F.col("i_g1") * F.col("i_g2")).alias("corr"))
+
+
 def truncated(ids: Column) -> Column:
     """Four decimals, cut off."""
     return F.floor(ids * 1e4) / 1e4

@@ -24,7 +24,7 @@ def query(name: str, sql: str | None = None) -> Callable:
 
 
 #: Modules of codepend.queries.
-MODULES: tuple[str, ...] = ()
+MODULES = ("selection", "dependence")
 
 
 def _load() -> None:
