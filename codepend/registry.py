@@ -24,7 +24,7 @@ def query(name: str, sql: str | None = None) -> Callable:
 
 
 #: Modules of codepend.queries.
-MODULES = ("selection", "dependence", "significance", "activity")
+MODULES = ("selection", "dependence", "significance", "activity", "graph", "report")
 
 
 def _load() -> None:
