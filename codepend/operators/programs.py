@@ -73,6 +73,8 @@ def seed_cliques(edges: DataFrame, hits: DataFrame, least: int = 5) -> DataFrame
             graph.setdefault(a, set()).add(b)
         seed = t["seed"].iloc[0]
         got = peel(graph, seed, set(graph), least)
+        if not got:
+            return pd.DataFrame()
         return pd.DataFrame({"seed": [seed] * len(got), "neighborhood_size": [len(graph)] * len(got), "rank": range(len(got)), "genes": got})
 
     return inside.groupBy("seed").applyInPandas(work, "seed string, neighborhood_size int, rank int, genes array<string>")
