@@ -91,10 +91,12 @@ _TEXT["quantile"] = Q + ", nz as (select cell_id, pid, row_number() over (partit
 
 
 def _scaling(letter: str, how: str) -> None:
-    @query(f"t03{letter}_{how}", sql(_TEXT[how], "x", "cell_id pid", digits=4))
+    digits = 6 if how == "clipped_raw_activity" else 4  # its values have six digits already; fewer would round ties
+
+    @query(f"t03{letter}_{how}", sql(_TEXT[how], "x", "cell_id pid", digits=digits))
     def scaled(spark, d):
         sizes = _loadings(spark, d).groupBy("pid").agg(F.count(F.lit(1)).alias("genes"))
-        return rounded(act.scaled_activity(_activity(spark, d), how, sizes), 4)
+        return rounded(act.scaled_activity(_activity(spark, d), how, sizes), digits)
 
 
 for _letter, _how in zip("abcdefghijkl", act.SCALINGS):
