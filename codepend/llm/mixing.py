@@ -7,11 +7,13 @@ from all labelled documents. Documents that share all properties share a posteri
 summed into cells before anything else; the cells are as many as combinations of properties, not
 documents.
 
-Rates then solve a nonnegative least-squares problem by projected gradient descent: with T_k the
-expected tokens of domain k, minimise |sum_d r_d n_d p_d - b|^2 (relative to b) plus a small pull
-towards 1, subject to r_d >= min_rate. Steps are scaled by 1 / n_d, under which documents of a cell
-keep equal rates, so that each step needs one aggregate over cells of K sums. The rate is a fold
-over the residuals so far, so nothing iterated is stored and a lost executor costs a rescan.
+Rates then are those nearest to 1 (by tokens) under which every domain has its target: with T_k the
+expected tokens of domain k, minimise sum_c n_c (r_c - 1)^2 / 2 subject to r_c >= min_rate and T = b.
+Its solution is r_c = max(min_rate, 1 + m . p_c) with one multiplier for each domain; these are found
+by Newton's method, damped so that the dual falls, until residuals are below TOLERANCE of b. Each step
+needs one aggregate over cells of K + K (K + 1) / 2 sums. A slack of EPSILON keeps the multipliers
+finite where no rates meet the targets: then |(T - b) / b| is least, and what is missed is logged as a
+warning; `fit_rates` returns the totals before and after.
 
 Token totals are words as between white space. The decision is whole copies: floor(rate), and one
 more where a hash of (doc_id, text) falls below the fraction.
@@ -24,17 +26,24 @@ the rest rescaled; repeated rows each get the rate of their cell; other columns
 
 from __future__ import annotations
 
-from functools import reduce
+import logging
+from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
 
-SOURCE_BUCKETS, STEPS, PULL = 256, 40, 0.02
+SOURCE_BUCKETS = 256
+#: Residuals relative to the targets that count as met, the slack, and a bound on aggregates, at which a miss is reported.
+TOLERANCE, EPSILON, STEPS = 1e-4, 1e-7, 200
+#: How often a growing total is raised further, and by how much, while its targets are missed.
+RAISES, RAISE = 20, 1.1
 TARGETS = {"q1t0": 0.78, "q0t0": 0.13, "q1t1": 0.08, "q0t1": 0.01}
 MAX_DOMAINS = 64
 CELLS_PER_TASK = 100_000
+LOG = logging.getLogger(__name__)
 PROPERTIES = ("f_source", "f_lang", "f_length", "f_digits", "f_marks", "f_words", "f_lines")
 
 
@@ -97,37 +106,71 @@ def posteriors(cell: DataFrame, names: list[str], prior: list[float], scores: Da
     return out.withColumn("posterior", F.transform("w_", lambda x: x / z)).drop("log_p", "w_")
 
 
-def rate(residuals: list[list[float]], step: float, min_rate: float, pull: float = PULL) -> Column:
-    """The rate after len(residuals) steps of projected gradient descent, a fold over the residuals."""
-    if not residuals:
-        return F.lit(max(1.0, min_rate))
-    history = F.array(*(F.array(*(F.lit(float(x)) for x in r)) for r in residuals))
-    dot = lambda r: F.aggregate(F.zip_with("posterior", r, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    return F.aggregate(history, F.lit(max(1.0, min_rate)), lambda a, r: F.greatest(F.lit(min_rate), a - F.lit(step) * (dot(r) + F.lit(pull) * (a - 1))))
+def rate(multipliers: list[float], min_rate: float) -> Column:
+    """The rate of a cell under the domains' multipliers."""
+    dot = sum((F.lit(float(m)) * F.col("posterior")[i] for i, m in enumerate(multipliers)), F.lit(0.0))
+    return F.greatest(F.lit(float(min_rate)), 1 + dot)
 
 
 def fit_rates(cell: DataFrame, names: list[str], targets: dict[str, float], min_rate: float = 0.0, steps: int = STEPS, grow: bool = False) -> tuple[DataFrame, dict]:
-    """cell with `rate`; and the totals before and after. grow: the total rises until no domain needs fewer tokens than it has."""
+    """cell with `rate`; and the totals before and after, with the residuals relative to the targets. grow: the total rises until no domain needs fewer tokens than it has, and on until the targets are met."""
     k = range(len(names))
-    sums = lambda c: [float(x or 0) for x in c.agg(*(F.sum(F.col("tokens") * F.col("posterior")[i] * F.col("rate")).alias(f"t{i}") for i in k)).first()]
-    now = sums(cell.withColumn("rate", F.lit(1.0)))
+    p = [F.col("posterior")[i] for i in k]
+    upper = [(i, j) for i in k for j in k if i <= j]
+
+    def at(m: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """The dual's own sum, the totals of the domains and their derivatives by the multipliers."""
+        r = F.col("tokens") * F.col("rate")
+        free = F.when(F.col("open_"), F.col("tokens")).otherwise(0)
+        # the integral of the rate along the multipliers, up to a constant
+        height = F.when(F.col("open_"), F.col("raw_") * F.col("raw_") / 2).otherwise(min_rate * F.col("raw_") - min_rate * min_rate / 2)
+        c = cell.withColumn("raw_", 1 + sum((F.lit(float(x)) * p[i] for i, x in enumerate(m)), F.lit(0.0))).withColumn("open_", F.col("raw_") >= min_rate).withColumn("rate", rate(list(m), min_rate))
+        got = [float(x or 0) for x in c.agg(F.sum(F.col("tokens") * height), *(F.sum(r * p[i]) for i in k), *(F.sum(free * p[i] * p[j]) for i, j in upper)).first()]
+        slope = np.zeros((len(k), len(k)))
+        for (i, j), x in zip(upper, got[1 + len(k) :]):
+            slope[i, j] = slope[j, i] = x
+        return got[0], np.array(got[1 : 1 + len(k)]), slope
+
+    now = [float(x or 0) for x in cell.agg(*(F.sum(F.col("tokens") * p[i]) for i in k)).first()]
     want = [max(0.0, targets.get(n, 0.0)) for n in names]
     if not sum(want) or not sum(now):
-        return cell.withColumn("rate", F.lit(max(1.0, min_rate))), {"domains": names, "before": now, "target": now, "after": now}
+        return cell.withColumn("rate", F.lit(max(1.0, min_rate))), {"domains": names, "before": now, "target": now, "after": now, "residual": [0.0 for _ in k]}
     want = [w / sum(want) for w in want]
     total = max(n / w for n, w in zip(now, want) if w > 0) if grow else sum(now)
-    goal = [w * total for w in want]
-    base = [max(g, 1e-9 * total) for g in goal]
-    # the largest curvature of |A r - b|^2 relative to b, under the scaled metric, is at most the largest of (tokens of k) / b_k
-    step = 1.0 / (max(n / b for n, b in zip(now, base)) + PULL)
-    residuals: list[list[float]] = []
+    m = np.zeros(len(k))
+    for _ in range(RAISES if grow else 1):
+        goal = np.array([w * total for w in want])
+        base = np.where(goal > 0, goal, total)
+        m, sums = _multipliers(at, m, goal, base, EPSILON * base * base / total, steps)
+        residual = (sums - goal) / base
+        if np.abs(residual).max() <= TOLERANCE:
+            break
+        total *= RAISE  # where no document is of one domain alone, raising any adds to the domain that has just enough
+    if np.abs(residual).max() > TOLERANCE:
+        LOG.warning("targets are missed; residuals relative to the targets: %s", dict(zip(names, residual.round(6).tolist())))
+    return cell.withColumn("rate", rate(list(m), min_rate)), {"domains": names, "before": now, "target": goal.tolist(), "after": sums.tolist(), "residual": residual.tolist()}
+
+
+def _multipliers(at: Callable, m: np.ndarray, goal: np.ndarray, base: np.ndarray, slack: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
+    """The multipliers at which the dual is least, from m on, and the totals there."""
+    dual = lambda m, own: own - goal @ m + (slack * m * m).sum() / 2
+    own, sums, slope = at(m)
+    step, length = None, 1.0
     for _ in range(steps):
-        at = sums(cell.withColumn("rate", rate(residuals, step, min_rate)))
-        residuals.append([(a - g) / b for a, g, b in zip(at, goal, base)])
-        if max(map(abs, residuals[-1])) < 1e-4:
+        gradient = sums - goal + slack * m
+        if np.abs(gradient / base).max() < TOLERANCE / 100:
             break
-    out = cell.withColumn("rate", rate(residuals, step, min_rate))
-    return out, {"domains": names, "before": now, "target": goal, "after": sums(out)}
+        if step is None:
+            step, length = np.linalg.solve(slope + np.diag(slack), -gradient), 1.0
+        new = m + length * step
+        own_, sums_, slope_ = at(new)
+        # near the end the dual's fall is lost in rounding, while the gradient's is not
+        falls = dual(new, own_) <= dual(m, own) + 1e-4 * length * (gradient @ step)
+        if falls or np.abs((sums_ - goal + slack * new) / base).max() < 0.5 * np.abs(gradient / base).max():
+            m, own, sums, slope, step = new, own_, sums_, slope_, None
+        else:
+            length /= 2
+    return m, sums
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, min_rate: float = 0.0, grow: bool = False, keep: list[str] | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -138,8 +139,6 @@ def test_language(docs):
     extra = [None, "", "123 !?", "日本", tongue(rng, "de", 20_000)]
     df = docs([*enumerate(texts), *enumerate(extra, 300), (None, texts[0])], [*langs, *[None] * 6])
     got = {r["doc_id"]: r for r in lang_id.language_id(df).collect()}
-    import zlib
-
     assert len(got) == 246 and all(got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 3 == 1) for i in range(240))
     held = [i for i in range(240) if got[i]["held_out"]]
     assert sum(got[i]["lang_pred"] == langs[i] for i in held) > 0.95 * len(held)
@@ -170,6 +169,21 @@ def test_mixing_meets_targets(spark, docs):
     assert mixing.mix(docs([]), labels).collect() == []
 
 
+def test_mixing_meets_rare_targets(spark, caplog):
+    """A domain of a hundredth gets what it is asked to; targets that can't be met are reported."""
+    rng = random.Random(13)
+    rows = [(1000 + rng.randrange(9000), [p, 1 - p]) for p in (rng.uniform(0.0, 0.06) ** 2 * 10 for _ in range(200))]
+    cell = spark.createDataFrame(rows, "tokens long, posterior array<double>").cache()
+    for targets, low, grow in (({"a": 0.02, "b": 0.98}, 0.0, False), ({"a": 0.002, "b": 0.998}, 0.0, False), ({"a": 0.02, "b": 0.98}, 1.0, True)):
+        out, told = mixing.fit_rates(cell, ["a", "b"], targets, low, grow=grow)
+        got = [r["tokens"] * r["rate"] * r["posterior"][0] for r in out.collect()]
+        assert sum(got) == pytest.approx(told["target"][0], rel=1e-4) and min(r["rate"] for r in out.collect()) >= low
+        assert max(map(abs, told["residual"])) < 1e-4
+    assert not caplog.records
+    _, told = mixing.fit_rates(cell, ["a", "b"], {"a": 0.9, "b": 0.1})
+    assert max(map(abs, told["residual"])) > 0.1 and "missed" in caplog.text
+
+
 def test_mixing_is_native(spark, docs):
     df = docs(["a b c", "d e"])
     labels = spark.createDataFrame([(0, 1, 0), (1, 0, 0)], "doc_id long, quality int, toxic int")
