@@ -9,6 +9,12 @@ ways by the windows around it, which are compared as wholes (128-bit hashes of t
 windows the first by (doc_id, line) stays; the lines of all later ones go, overlaps counted once.
 What is compared is the input, not what is left of it.
 
+`deduplicated` compares these windows alone, as its SQL twin says, so the last lines of a run stay if
+they hold fewer than WORDS words after the line of the last window. `shortened` also grows each window
+by single lines, to the right up to where the next window would be whole and to the left over blank
+lines, and compares the grown windows in the same way: a maximal run of WORDS words or more goes with
+all its lines, whichever earlier text it equals.
+
 Groups are never listed: firsts are minima with map-side combine, joined back on the window.
 
 Defined cases: null text is empty, and empty text is one blank line; a null doc_id comes before all
@@ -36,8 +42,8 @@ _SPACE[[32, *range(9, 14)]] = True
 WINDOWS = "doc_id long, rid long, fp long, lead boolean, w1 long, w2 long, start int, stop int"
 
 
-def windows_of(data: np.ndarray, words: int) -> list[tuple[int, bool, int, int, int, int]]:
-    """(fingerprint, whether its position is new, window hash in two parts, first line, line after the last) of one text."""
+def windows_of(data: np.ndarray, words: int, extend: bool = False) -> list[tuple[int, bool, int, int, int, int]]:
+    """(fingerprint, whether its position is new, window hash in two parts, first line, line after the last) of one text; extend: with the windows grown by single lines."""
     breaks = np.flatnonzero(data == 10)
     begin, end = np.concatenate([[0], breaks + 1]), np.concatenate([breaks, [len(data)]])
     inside = ~_SPACE[data]
@@ -55,21 +61,35 @@ def windows_of(data: np.ndarray, words: int) -> list[tuple[int, bool, int, int,
     raw = data.tobytes()
     hashes = [xxhash.xxh3_64_intdigest(raw[i:j]) if k else 2**64 for i, j, k in zip(begin.tolist(), end.tolist(), n.tolist())]
     out, last = [], -1
+    halves = lambda w: ((w >> 64) - 2**63, (w & (2**64 - 1)) - 2**63)
+    grown = lambda w, side, k: xxhash.xxh3_128_intdigest(w.to_bytes(16, "big") + side + raw[begin[k] : end[k]])
     for i, j in zip(first.tolist(), stop.tolist()):
         at = min(range(i, j), key=lambda k: (hashes[k], k))
         w = xxhash.xxh3_128_intdigest(raw[begin[i] : end[j - 1]])
-        out.append((hashes[at] - 2**63, at != last, (w >> 64) - 2**63, (w & (2**64 - 1)) - 2**63, i, j))
+        out.append((hashes[at] - 2**63, at != last, *halves(w), i, j))
+        if extend:
+            # to the right up to where the next window would be whole, to the left over blank lines
+            v, k = w, j
+            while k < len(n) and total[k + 1] - total[i + 1] < words:
+                v = grown(v, b">", k)
+                k += 1
+                out.append((hashes[at] - 2**63, False, *halves(v), i, k))
+            v, k = w, i
+            while k and not n[k - 1]:
+                k -= 1
+                v = grown(v, b"<", k)
+                out.append((hashes[at] - 2**63, False, *halves(v), k, j))
         last = at
     return out
 
 
-def windows(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """All windows of docs (doc_id, rid, text)."""
+def windows(docs: DataFrame, words: int = WORDS, extend: bool = False) -> DataFrame:
+    """All windows of docs (doc_id, rid, text); extend: and those grown by single lines."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             offsets, data = string_buffers(b.column("text"))
-            rows = [(d, r, *w) for d, r, i, j in zip(b.column("doc_id").to_pylist(), b.column("rid").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist()) for w in windows_of(data[i:j], words)]
+            rows = [(d, r, *w) for d, r, i, j in zip(b.column("doc_id").to_pylist(), b.column("rid").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist()) for w in windows_of(data[i:j], words, extend)]
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 8, kinds)], [f.split()[0] for f in WINDOWS.split(", ")])
 
@@ -98,8 +118,11 @@ def _left(text: str, runs: list | None) -> tuple[str, int, int, int]:
 
 
 def shortened(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """docs with the text left (n_chars, where there is one, as its length); rows of which no line is left go."""
-    runs = later_runs(windows(texts(docs), words)).withColumnsRenamed({"rid": "_rid", "runs": "_runs"})
+    """docs with the text left (n_chars, where there is one, as its length); rows of which no line is left go.
+
+    Repeated runs go as a whole, with the lines at their ends that no window inside them reaches.
+    """
+    runs = later_runs(windows(texts(docs), words, extend=True)).withColumnsRenamed({"rid": "_rid", "runs": "_runs"})
     keyed = docs.withColumn("_rid", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))))
     names = docs.columns
 

@@ -69,6 +69,16 @@ def test_lines_of_repeated_rows_and_shortened(docs):
     assert sorted((r["doc_id"], r["text"], r["n_chars"]) for r in left.collect()) == [(1, line, len(line))] * 2 + [(3, "own words", 9)]
 
 
+def test_shortened_takes_whole_runs(docs):
+    rng = random.Random(3)
+    body = "\n\n" + "\n".join([prose(rng, 12), "", prose(rng, 15), "short end.", "x", ""])
+    fork = prose(rng, 11)
+    rows = [body, body, fork + "\nleft", fork + "\nright", fork + "\nright", "own\n" + body + "\nother", fork + "\n" + prose(rng, 4)]
+    left = {r["doc_id"]: r["text"] for r in line_dedup.shortened(docs(rows)).collect()}
+    # an exact copy leaves no fragment; a run may equal a text that isn't the first with its window
+    assert left == {0: body, 2: rows[2], 3: "right", 5: "own\nother", 6: rows[6].split("\n")[1]}
+
+
 def test_empty_tables(docs):
     none = docs([])
     for f in (line_dedup.deduplicated, line_dedup.shortened, suffix_dedup.repeats_removed, minhash_dedup.near_duplicates, minhash_dedup.distinct_documents, pii.personal_data, pii.sanitise):
