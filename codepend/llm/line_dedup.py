@@ -13,7 +13,8 @@ What is compared is the input, not what is left of it.
 they hold fewer than WORDS words after the line of the last window. `shortened` also grows each window
 by single lines, to the right up to where the next window would be whole and to the left over blank
 lines, and compares the grown windows in the same way: a maximal run of WORDS words or more goes with
-all its lines, whichever earlier text it equals.
+all its lines, whichever earlier text it equals. There a line of LINE_WORDS words or more is a window of
+its own too, so that repeated boilerplate and licence lines go; shorter lines stay unless in a run.
 
 Groups are never listed: firsts are minima with map-side combine, joined back on the window.
 
@@ -37,13 +38,15 @@ from pyspark.sql import functions as F
 from .common import LONG_MIN, bounded_batches, string_buffers, texts
 
 WORDS = 10
+#: The words from which on `shortened` takes a repeated line by itself.
+LINE_WORDS = 3
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 WINDOWS = "doc_id long, rid long, fp long, lead boolean, w1 long, w2 long, start int, stop int"
 
 
-def windows_of(data: np.ndarray, words: int, extend: bool = False) -> list[tuple[int, bool, int, int, int, int]]:
-    """(fingerprint, whether its position is new, window hash in two parts, first line, line after the last) of one text; extend: with the windows grown by single lines."""
+def windows_of(data: np.ndarray, words: int, extend: bool = False, line_words: int = LINE_WORDS) -> list[tuple[int, bool, int, int, int, int]]:
+    """(fingerprint, whether its position is new, window hash in two parts, first line, line after the last) of one text; extend: with the windows grown by single lines, and lines of line_words or more alone."""
     breaks = np.flatnonzero(data == 10)
     begin, end = np.concatenate([[0], breaks + 1]), np.concatenate([breaks, [len(data)]])
     inside = ~_SPACE[data]
@@ -56,13 +59,17 @@ def windows_of(data: np.ndarray, words: int, extend: bool = False) -> list[tuple
     stop = np.searchsorted(total, total[first] + words, "left")
     whole = stop <= len(n)
     first, stop = first[whole], stop[whole]
-    if not len(first):
+    alone = np.flatnonzero((n >= line_words) & (n < words)).tolist() if extend else []
+    if not len(first) and not alone:
         return []
     raw = data.tobytes()
     hashes = [xxhash.xxh3_64_intdigest(raw[i:j]) if k else 2**64 for i, j, k in zip(begin.tolist(), end.tolist(), n.tolist())]
     out, last = [], -1
     halves = lambda w: ((w >> 64) - 2**63, (w & (2**64 - 1)) - 2**63)
     grown = lambda w, side, k: xxhash.xxh3_128_intdigest(w.to_bytes(16, "big") + side + raw[begin[k] : end[k]])
+    for i in alone:  # under another seed, so that they don't meet windows
+        w = xxhash.xxh3_128_intdigest(raw[begin[i] : end[i]], seed=1)
+        out.append((xxhash.xxh3_64_intdigest(raw[begin[i] : end[i]], seed=1) - 2**63, True, *halves(w), i, i + 1))
     for i, j in zip(first.tolist(), stop.tolist()):
         at = min(range(i, j), key=lambda k: (hashes[k], k))
         w = xxhash.xxh3_128_intdigest(raw[begin[i] : end[j - 1]])
@@ -84,7 +91,7 @@ def windows_of(data: np.ndarray, words: int, extend: bool = False) -> list[tuple
 
 
 def windows(docs: DataFrame, words: int = WORDS, extend: bool = False) -> DataFrame:
-    """All windows of docs (doc_id, rid, text); extend: and those grown by single lines."""
+    """All windows of docs (doc_id, rid, text); extend: and those grown by single lines, and short lines alone."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -120,7 +127,8 @@ def _left(text: str, runs: list | None) -> tuple[str, int, int, int]:
 def shortened(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """docs with the text left (n_chars, where there is one, as its length); rows of which no line is left go.
 
-    Repeated runs go as a whole, with the lines at their ends that no window inside them reaches.
+    Repeated runs go as a whole, with the lines at their ends that no window inside them reaches, and so do
+    repeated lines of LINE_WORDS words or more.
     """
     runs = later_runs(windows(texts(docs), words, extend=True)).withColumnsRenamed({"rid": "_rid", "runs": "_runs"})
     keyed = docs.withColumn("_rid", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))))

@@ -79,6 +79,14 @@ def test_shortened_takes_whole_runs(docs):
     assert left == {0: body, 2: rows[2], 3: "right", 5: "own\nother", 6: rows[6].split("\n")[1]}
 
 
+def test_shortened_takes_repeated_short_lines(docs):
+    rng = random.Random(4)
+    licence = ["All rights reserved.", "Licensed under CC BY-NC 4.0."]
+    rows = ["\n".join([prose(rng, 12), *licence, "End.", prose(rng, 12)]) for _ in range(4)]
+    left = {r["doc_id"]: r["text"] for r in line_dedup.shortened(docs(rows)).collect()}
+    assert left == {i: "\n".join(x for x in t.split("\n") if i == 0 or x not in licence) for i, t in enumerate(rows)}
+
+
 def test_empty_tables(docs):
     none = docs([])
     for f in (line_dedup.deduplicated, line_dedup.shortened, suffix_dedup.repeats_removed, minhash_dedup.near_duplicates, minhash_dedup.distinct_documents, pii.personal_data, pii.sanitise):
