@@ -6,8 +6,11 @@ families first and of a family's languages then, has a linear support vector mac
 hinge, L2, fitted by accelerated gradient descent); most votes win, ties go to the greater sum of
 margins. Languages whose family isn't listed form families of their own.
 
-Machines learn from at most PER_LANGUAGE whole documents of each language, chosen by a hash of
-doc_id among the training rows: that bound, and with it what the driver holds, is a parameter.
+Machines learn from at most PER_LANGUAGE whole documents and BYTES_PER_LANGUAGE bytes of each
+language, taken in the order of a hash of doc_id among the training rows with letters; a document that
+doesn't fit in what is left is skipped, but of each language one is kept, the shortest if none fits.
+Both bounds, and with them what the driver holds, are parameters. There is a machine for each pair of
+classes, so more than MAX_LANGUAGES languages are refused, not cut.
 
 Defined cases: text that is null or has no letters is `und` with score 0; a null doc_id counts as
 the empty string for the split; null langs are never learnt from; without training rows every text
@@ -25,11 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, slices, string_buffers
+from .common import bounded_batches, cut, slices, string_buffers
 
 FEATURES = 1 << 13
 PER_LANGUAGE = 600
-MAX_LEARNT_BYTES = 32_000_000
+BYTES_PER_LANGUAGE = 8_000_000
+MAX_LANGUAGES = 200
 SLICE = 1 << 19
 FAMILIES = {
     "germanic": ["en", "de", "nl", "sv", "da", "no", "nb", "nn", "is", "af"],
@@ -167,27 +171,33 @@ def held_out() -> F.Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
+def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, bytes_per_language: int = BYTES_PER_LANGUAGE, max_languages: int = MAX_LANGUAGES) -> Model:
     """Fit on a bounded sample of labelled rows that aren't held out."""
-    rows = docs.where("lang is not null and text is not null").where(~held_out())
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(200).collect()}  # 200 languages at most
-    parts, share = [], 1 << 30
-    slot = F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(share))
-    for lang, n in sorted(counts.items()):
-        parts.append((F.col("lang") == lang) & (slot < int(share * min(1.0, per_language / n))))
-    if not parts:
+    share = 1 << 30
+    rows = docs.where("lang is not null and text is not null").where(~held_out()).where(F.col("text").rlike("\\p{L}"))
+    rows = rows.select("doc_id", "text", "lang", F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(share)).alias("slot"))
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("slot").alias("least")).limit(max_languages + 1).collect()
+    if len(counts) > max_languages:
+        raise ValueError(f"more than {max_languages} languages")
+    if not counts:
         return Model([], [])
-    chosen = parts[0]
-    for p in parts[1:]:
-        chosen = chosen | p
-    found = rows.where(chosen).select("text", "lang", "doc_id").limit(2 * per_language * len(parts)).toLocalIterator()
-    sample, size = [], 0
-    for r in found:
-        size += len(r["text"])
-        if size > MAX_LEARNT_BYTES:
-            break
-        if has_letters(r["text"]):
-            sample.append((r["doc_id"], r["text"], r["lang"]))
+    # beyond the expected number of rows there is some room, so that the least hashes alone decide
+    bound = lambda r: max(r["least"], int(share * min(1.0, 1.2 * per_language / r["n"])))
+    limits = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], bound(r))))
+    chosen = cut(rows.where(F.col("slot") <= limits[F.col("lang")]))
+    sample, spare, size, taken = [], {}, {}, {}
+    for r in chosen.orderBy("lang", "slot", "doc_id", "text").toLocalIterator():
+        lang, n = r["lang"], len(r["text"].encode())
+        if taken.get(lang, 0) >= per_language or not has_letters(r["text"]):
+            continue
+        if size.get(lang, 0) + n > bytes_per_language:
+            if lang not in taken and (lang not in spare or n < spare[lang][0]):
+                spare[lang] = n, (r["doc_id"], r["text"], lang)
+            continue
+        size[lang], taken[lang] = size.get(lang, 0) + n, taken.get(lang, 0) + 1
+        spare.pop(lang, None)
+        sample.append((r["doc_id"], r["text"], lang))
+    sample += [row for _, row in spare.values()]
     sample.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1]))
     return Model([r[1] for r in sample], [r[2] for r in sample])
 

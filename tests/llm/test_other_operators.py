@@ -151,6 +151,19 @@ def test_language(docs):
     assert {r["lang_pred"] for r in lang_id.language_id(docs(["a b", None], [None, None])).collect()} == {"und"}
 
 
+def test_every_language_is_learnt(docs):
+    """Long texts that come first leave the other languages their share, and stay if a language has no others."""
+    rng = random.Random(14)
+    langs = ["de"] * 30 + ["en"] * 30 + ["fr"] * 30 + ["es"]
+    texts = [tongue(rng, x, 300 if x == "de" else 40) for x in langs[:-1]] + [tongue(rng, "es", 5000)]
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 3 != 1][: len(langs)]
+    df = docs(list(zip(ids, texts)), langs)
+    model = lang_id.learn(df, bytes_per_language=3000)
+    assert model.langs == ["de", "en", "es", "fr"]
+    with pytest.raises(ValueError, match="languages"):
+        lang_id.learn(df, max_languages=3)
+
+
 def test_mixing_meets_targets(spark, docs):
     rng = random.Random(11)
     texts = [("!? {} " * 5 if i % 4 == 0 else "") + tongue(rng, "en", rng.randint(5, 80)) for i in range(400)]
