@@ -8,6 +8,8 @@ from ..registry import query
 from ..sources.tables import document_tokens
 from .common import PAIRS, customer_p, customer_pairs, rounded, sql
 
+#: The documents that a token stands in at least, as many as a pair's evidence; fixed, whatever the size of the table.
+EVIDENCE = 100
 BOTH = PAIRS + ", both_ as (select g1 as gene, g2 as neighbor, round(ids, 6) as ids, cooc from pairs union all select g2, g1, round(ids, 6), cooc from pairs)"
 PV = BOTH + ", pv as (select gene, neighbor, (1 - ids) ** 40 as p from both_)"
 BH = PV + """, rk as (select *, row_number() over (partition by gene order by p, neighbor) as rk, count(*) over (partition by gene) as m from pv),
@@ -29,9 +31,9 @@ def _hits(spark, d):
 
 
 def _tokens(spark, d):
-    """Pairs of the tokens that three tenths of the documents hold."""
-    n = spark.read.parquet(f"{d}/documents.parquet").count()
-    m = document_tokens(spark, d, int(0.3 * n))
+    """Pairs of all tokens that stand in EVIDENCE documents or more: no rarer one can be seen with another more often than that."""
+    m = document_tokens(spark, d, EVIDENCE)
+    n = m.cells.count()
     p = dep.normalised(m.counts)
     return dep.pairs(dep.scaled(p, dep.ceilings(p, n, 1.0, 20)), n)
 
@@ -136,7 +138,7 @@ def s10(spark, d):
 @query("step4_significance")
 def step4(spark, d):
     """Evidence, fits, p-values, false discovery and hit lists in one."""
-    return sig.significance(_tokens(spark, d), 20, 10)
+    return sig.significance(_tokens(spark, d))
 
 
 @query("w06_bh_fdr", sql(BH + ", r as (select gene, neighbor, p, significant from bh)", "p", "gene neighbor significant"))
