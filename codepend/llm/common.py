@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LONG_MIN = -(2**63)
@@ -26,34 +27,73 @@ def bounded_batches(spark: SparkSession, mb: int = 4, rows: int = 4096) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with checkpoint() in the cluster's shared folder; only where none is set (tests), in a local one."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints and stage tables, which the cluster names in spark.checkpoint.dir.
+
+    Where it names none, a master of local threads (tests) gets a temporary folder; a cluster is refused, as its
+    executors would not see a folder of the driver's machine.
+    """
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="codepend-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir names no shared folder")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="codepend-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage with checkpoint() in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
 def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder, read again."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="codepend-"))
-    path = f"{sc.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+#: A key is hot from this part of the rows on; so there are at most as many hot keys.
+HOT_PART = 4096
+
+
+def skewed_join(left: DataFrame, right: DataFrame, keys: list[str], rows: int, many: str = "many") -> DataFrame:
+    """left joined (inner) with right, which has each key once, and in `many` how often left (of that many rows) has it.
+
+    Keys with a HOT_PART-th of the rows or more, HOT_PART at most, are broadcast, so their rows stay where they are;
+    the others meet in a shuffle, where none of them is large. left is read twice: give it cut or written. No key of left
+    may be null.
+    """
+    hot = F.col(many) * HOT_PART >= rows
+    cold = left.join(F.broadcast(right.where(hot).select(*keys)), keys, "left_anti").join(right.where(~hot), keys)
+    return left.join(F.broadcast(right.where(hot)), keys).unionByName(cold)
+
+
+def fresh(name: str, *frames: DataFrame) -> str:
+    """The name, with underscores after it until no column of the frames has it."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def release(spark: SparkSession) -> None:
     """Let go of the files, plans and buffers of finished rounds, which else wait for the driver to run out of memory."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
+def row_key() -> list[Column]:
+    """did (a null doc_id is the least long) and rid, a hash of doc_id and text: rows that share both have one text."""
+    doc, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit(""))
+    return [F.coalesce(doc, F.lit(LONG_MIN)).alias("did"), F.xxhash64(doc, text).alias("rid")]
+
+
 def texts(docs: DataFrame) -> DataFrame:
-    """doc_id, text (null: empty) and rid, which tells rows apart that share a doc_id but not a text."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("rid", F.xxhash64("doc_id", "text"))
+    """doc_id, text (null: empty), and did and rid, which tell rows apart that share a doc_id but not a text."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *row_key())
 
 
 def string_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -3,25 +3,26 @@
 A window is the shortest run of whole lines, from a line with words on, that holds WORDS words or
 more (words and blank lines as between ASCII white space). Each window selects the least of its line
 hashes, the leftmost if tied and never a blank line's, as its fingerprint: equal windows select the
-same line, so a repeated run of WORDS words or more cannot be missed. Positions whose fingerprint
-occurs once are dropped; the others are joined, and matches are extended from the fingerprint both
-ways by the windows around it, which are compared as wholes (128-bit hashes of their bytes). Of equal
-windows the first by (doc_id, line) stays; the lines of all later ones go, overlaps counted once.
-What is compared is the input, not what is left of it.
+same line, so a repeated run of WORDS words or more cannot be missed. A line of LINE_WORDS words or
+more that is shorter than a window is a fingerprint of its own, so that repeated boilerplate goes.
 
-`deduplicated` compares these windows alone, as its SQL twin says, so the last lines of a run stay if
-they hold fewer than WORDS words after the line of the last window. `shortened` also grows each window
-by single lines, to the right up to where the next window would be whole and to the left over blank
-lines, and compares the grown windows in the same way: a maximal run of WORDS words or more goes with
-all its lines, whichever earlier text it equals. There a line of LINE_WORDS words or more is a window of
-its own too, so that repeated boilerplate and licence lines go; shorter lines stay unless in a run.
+One row is written for each selected position, with the runs that it anchors. Positions whose
+fingerprint occurs once are dropped, the others are joined on it. A match is then extended from the
+fingerprint both ways: to the window's ends, from there line by line to the right as far as the next
+window would reach, and to the left over blank lines; each extent is a 128-bit hash of its lines, and
+two positions match over the extents that they have in common. Of equal extents the first by
+(doc_id, line) stays, and the lines of all later ones go, overlaps counted once: a maximal repeated
+run of WORDS words or more goes whole, whichever earlier text it equals. What is compared is the
+input, not what is left of it.
 
-Groups are never listed: firsts are minima with map-side combine, joined back on the window.
+Groups are never listed: firsts are minima with map-side combine, joined back; keys that hold many of
+the rows are joined by broadcast (their number is bounded), so no task gets all rows of a common line.
 
 Defined cases: null text is empty, and empty text is one blank line; a null doc_id comes before all
 others; rows that share a doc_id take their lines' numbers as positions, so equal rows with one
-doc_id leave each other alone; runs shorter than WORDS words stay; a text without a line left is
-empty; no rows give no rows; other columns are ignored. Lines end at line feeds only.
+doc_id leave each other alone; shorter runs and lines stay; a text without a line left is empty; very
+long texts are worked on whole, at a bounded multiple of their size; no rows give no rows; other
+columns, whatever their names, are ignored or kept as they are. Lines end at line feeds only.
 """
 
 from __future__ import annotations
@@ -35,18 +36,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LONG_MIN, bounded_batches, string_buffers, texts
+from .common import bounded_batches, fresh, row_key, skewed_join, string_buffers, texts, written
 
 WORDS = 10
-#: The words from which on `shortened` takes a repeated line by itself.
+#: The words from which on a repeated line goes by itself.
 LINE_WORDS = 3
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
-WINDOWS = "doc_id long, rid long, fp long, lead boolean, w1 long, w2 long, start int, stop int"
+RUN = "array<struct<start:int,stop:int,w1:long,w2:long>>"
 
 
-def windows_of(data: np.ndarray, words: int, extend: bool = False, line_words: int = LINE_WORDS) -> list[tuple[int, bool, int, int, int, int]]:
-    """(fingerprint, whether its position is new, window hash in two parts, first line, line after the last) of one text; extend: with the windows grown by single lines, and lines of line_words or more alone."""
+def fingerprints(data: np.ndarray, words: int = WORDS, line_words: int = LINE_WORDS) -> list[tuple[int, list[tuple[int, int, int, int]]]]:
+    """(fingerprint, runs) of each selected position of one text; a run is (first line, line after the last, hash in two parts)."""
     breaks = np.flatnonzero(data == 10)
     begin, end = np.concatenate([[0], breaks + 1]), np.concatenate([breaks, [len(data)]])
     inside = ~_SPACE[data]
@@ -58,59 +59,67 @@ def windows_of(data: np.ndarray, words: int, extend: bool = False, line_words: i
     first = np.flatnonzero(n > 0)
     stop = np.searchsorted(total, total[first] + words, "left")
     whole = stop <= len(n)
-    first, stop = first[whole], stop[whole]
-    alone = np.flatnonzero((n >= line_words) & (n < words)).tolist() if extend else []
-    if not len(first) and not alone:
+    first, stop = first[whole].tolist(), stop[whole].tolist()
+    alone = np.flatnonzero((n >= line_words) & (n < words)).tolist()
+    if not first and not alone:
         return []
     raw = data.tobytes()
-    hashes = [xxhash.xxh3_64_intdigest(raw[i:j]) if k else 2**64 for i, j, k in zip(begin.tolist(), end.tolist(), n.tolist())]
-    out, last = [], -1
+    begin, end, n, total = begin.tolist(), end.tolist(), n.tolist(), total.tolist()
     halves = lambda w: ((w >> 64) - 2**63, (w & (2**64 - 1)) - 2**63)
     grown = lambda w, side, k: xxhash.xxh3_128_intdigest(w.to_bytes(16, "big") + side + raw[begin[k] : end[k]])
+    out: list[tuple[int, list]] = []
     for i in alone:  # under another seed, so that they don't meet windows
-        w = xxhash.xxh3_128_intdigest(raw[begin[i] : end[i]], seed=1)
-        out.append((xxhash.xxh3_64_intdigest(raw[begin[i] : end[i]], seed=1) - 2**63, True, *halves(w), i, i + 1))
-    for i, j in zip(first.tolist(), stop.tolist()):
-        at = min(range(i, j), key=lambda k: (hashes[k], k))
-        w = xxhash.xxh3_128_intdigest(raw[begin[i] : end[j - 1]])
-        out.append((hashes[at] - 2**63, at != last, *halves(w), i, j))
-        if extend:
-            # to the right up to where the next window would be whole, to the left over blank lines
-            v, k = w, j
-            while k < len(n) and total[k + 1] - total[i + 1] < words:
-                v = grown(v, b">", k)
-                k += 1
-                out.append((hashes[at] - 2**63, False, *halves(v), i, k))
-            v, k = w, i
-            while k and not n[k - 1]:
-                k -= 1
-                v = grown(v, b"<", k)
-                out.append((hashes[at] - 2**63, False, *halves(v), k, j))
-        last = at
+        line = raw[begin[i] : end[i]]
+        out.append((xxhash.xxh3_64_intdigest(line, seed=1) - 2**63, [(i, i + 1, *halves(xxhash.xxh3_128_intdigest(line, seed=1)))]))
+    hashes = [xxhash.xxh3_64_intdigest(raw[i:j]) if k else 2**64 for i, j, k in zip(begin, end, n)]
+    last = -1
+    for i, j in zip(first, stop):
+        at = i if j == i + 1 else min(range(i, j), key=hashes.__getitem__)
+        if at != last:
+            out.append((hashes[at] - 2**63, []))
+            last = at
+        runs = out[-1][1]
+        v = w = xxhash.xxh3_128_intdigest(raw[begin[i] : end[j - 1]])
+        runs.append((i, j, *halves(w)))
+        k = j
+        while k < len(n) and total[k + 1] - total[i + 1] < words:
+            v = grown(v, b">", k)
+            k += 1
+            runs.append((i, k, *halves(v)))
+        v, k = w, i
+        while k and not n[k - 1]:
+            k -= 1
+            v = grown(v, b"<", k)
+            runs.append((k, j, *halves(v)))
     return out
 
 
-def windows(docs: DataFrame, words: int = WORDS, extend: bool = False) -> DataFrame:
-    """All windows of docs (doc_id, rid, text); extend: and those grown by single lines, and short lines alone."""
+def positions(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """(fp, did, rid, runs) of all selected positions of docs (did, rid, text)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             offsets, data = string_buffers(b.column("text"))
-            rows = [(d, r, *w) for d, r, i, j in zip(b.column("doc_id").to_pylist(), b.column("rid").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist()) for w in windows_of(data[i:j], words, extend)]
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 8, kinds)], [f.split()[0] for f in WINDOWS.split(", ")])
+            rows = [(f, d, r, runs) for d, r, i, j in zip(b.column("did").to_pylist(), b.column("rid").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist()) for f, runs in fingerprints(data[i:j], words)]
+            fp, did, rid, runs = zip(*rows) if rows else [[]] * 4
+            flat = np.array([x for r in runs for x in r], np.int64).reshape(-1, 4)
+            fields = [pa.array(flat[:, k].astype(t)) for k, t in enumerate((np.int32, np.int32, np.int64, np.int64))]
+            bounds = pa.array(np.concatenate([[0], np.cumsum([len(r) for r in runs])]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (fp, did, rid)), pa.ListArray.from_arrays(bounds, pa.StructArray.from_arrays(fields, ["start", "stop", "w1", "w2"]))], ["fp", "did", "rid", "runs"])
 
     bounded_batches(docs.sparkSession)
-    return docs.mapInArrow(work, WINDOWS)
+    return docs.select("did", "rid", "text").mapInArrow(work, f"fp long, did long, rid long, runs {RUN}")
 
 
-def later_runs(found: DataFrame) -> DataFrame:
-    """(rid, runs): the line ranges of windows that equal an earlier one."""
-    shared = found.groupBy("fp").agg(F.count_if("lead").alias("n")).where("n > 1").select("fp")
-    near = found.join(shared, "fp", "left_semi").withColumn("at", F.struct(F.coalesce("doc_id", F.lit(LONG_MIN)).alias("d"), F.col("start").alias("s")))
-    firsts = near.groupBy("w1", "w2").agg(F.min("at").alias("first"), F.max("at").alias("last")).where("first <> last").drop("last")
-    later = near.join(firsts, ["w1", "w2"]).where("at > first")
-    return later.groupBy("rid").agg(F.collect_set(F.struct("start", "stop")).alias("runs"))
+def later_runs(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """(did, rid, runs): the line ranges of each row of docs that equal an earlier one."""
+    found = written(positions(docs, words))
+    shared = found.groupBy("fp").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
+    met = skewed_join(found, shared, ["fp"], found.count()).select("did", "rid", F.explode("runs").alias("run"))
+    met = written(met.select("did", "rid", "run.*").withColumn("at", F.struct("did", "start")))
+    firsts = met.groupBy("w1", "w2").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.count(F.lit(1)).alias("many")).where("first <> last").drop("last")
+    later = skewed_join(met, firsts, ["w1", "w2"], met.count()).where("at > first")
+    return later.groupBy("did", "rid").agg(F.collect_set(F.struct("start", "stop")).alias("runs"))
 
 
 def _left(text: str, runs: list | None) -> tuple[str, int, int, int]:
@@ -125,18 +134,15 @@ def _left(text: str, runs: list | None) -> tuple[str, int, int, int]:
 
 
 def shortened(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """docs with the text left (n_chars, where there is one, as its length); rows of which no line is left go.
-
-    Repeated runs go as a whole, with the lines at their ends that no window inside them reaches, and so do
-    repeated lines of LINE_WORDS words or more.
-    """
-    runs = later_runs(windows(texts(docs), words, extend=True)).withColumnsRenamed({"rid": "_rid", "runs": "_runs"})
-    keyed = docs.withColumn("_rid", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))))
+    """docs with the text left (n_chars, where there is one, as its length); rows of which no line is left go. Null texts stay."""
     names = docs.columns
+    did, rid, runs = (fresh(x, docs) for x in ("did", "rid", "runs"))
+    gone = later_runs(texts(docs), words).withColumnsRenamed({"did": did, "rid": rid, "runs": runs})
+    keyed = docs.withColumns(dict(zip((did, rid), row_key())))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            new = [(t, 0, 0, 0) if t is None else _left(t, r) for t, r in zip(b.column("text").to_pylist(), b.column("_runs").to_pylist())]
+            new = [(t, 0, 0, 0) if t is None else _left(t, r) for t, r in zip(b.column("text").to_pylist(), b.column(runs).to_pylist())]
             cols = [b.column(n) for n in names]
             cols[names.index("text")] = pa.array([x[0] for x in new], pa.string())
             if "n_chars" in names:
@@ -145,14 +151,13 @@ def shortened(docs: DataFrame, words: int = WORDS) -> DataFrame:
             keep = [not x[2] or x[2] < x[1] for x in new]
             yield pa.RecordBatch.from_arrays(cols, names).filter(pa.array(keep, pa.bool_()))
 
-    return keyed.join(runs, "_rid", "left").select(*names, "_runs").mapInArrow(work, docs.schema)
+    return keyed.join(gone, [did, rid], "left").select(*names, runs).mapInArrow(work, docs.schema)
 
 
 def deduplicated(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, n_lines, n_removed, n_runs (maximal removed runs), kept_sha256 and the text left, for each row."""
     rows = texts(docs)
-    runs = later_runs(windows(rows, words))
-    joined = rows.join(runs, "rid", "left")
+    joined = rows.join(later_runs(rows, words), ["did", "rid"], "left")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -161,6 +166,6 @@ def deduplicated(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 left, n, gone, spans = _left(t, r)
                 out.append((n, gone, spans, hashlib.sha256(left.encode()).hexdigest(), left))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("rid"), *(pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 5, kinds))], ["doc_id", "rid", "n_lines", "n_removed", "n_runs", "kept_sha256", "text"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 5, kinds))], ["doc_id", "n_lines", "n_removed", "n_runs", "kept_sha256", "text"])
 
-    return joined.select("doc_id", "rid", "text", "runs").mapInArrow(work, "doc_id long, rid long, n_lines long, n_removed long, n_runs long, kept_sha256 string, text string")
+    return joined.select("doc_id", "text", "runs").mapInArrow(work, "doc_id long, n_lines long, n_removed long, n_runs long, kept_sha256 string, text string")

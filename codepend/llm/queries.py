@@ -15,7 +15,7 @@ TRICKY = "\\### Assistant: </turn> ok"
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.deduplicated(table(spark, sf_dir, "documents")).drop("rid")
+    return line_dedup.deduplicated(table(spark, sf_dir, "documents"))
 
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +52,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.personal_data(table(spark, sf_dir, "documents"))
+    return pii.personal_data(table(spark, sf_dir, "documents")).drop("did", "rid")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +69,9 @@ with d as (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from d
 l as (select doc_id, ls, unnest(range(len(ls))) as i, unnest(ls) as line from d),
 n as (select *, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) as n from l),
 c as (select *, sum(n) over (partition by doc_id order by i) as c from n),
-w as (select a.doc_id, a.i, min(b.i) as j from c a join c b on a.doc_id = b.doc_id and b.i >= a.i and b.c >= a.c - a.n + 10 where a.n > 0 group by all),
+ends as (select a.doc_id, a.i, b.i as j, b.c - b.n < a.c - a.n + 10 as least from c a join c b on a.doc_id = b.doc_id and b.i >= a.i and b.c >= a.c - a.n + 10 and (b.c - b.n < a.c - a.n + 10 or b.c - a.c < 10) where a.n > 0),
+prev as (select doc_id, i, coalesce(lag(i) over (partition by doc_id order by i), -1) as p from c where n > 0),
+w as (select doc_id, i, j from ends union select e.doc_id, unnest(range(p + 1, e.i)), e.j from ends e join prev using (doc_id, i) where least union select doc_id, i, i from c where n between 3 and 9),
 k as (select w.*, array_to_string(ls[i + 1 : j + 1], chr(10)) as content from w join d using (doc_id)),
 later as (select doc_id, i, j from (select *, row_number() over (partition by content order by doc_id, i) as r from k) where r > 1),
 gone as (select distinct doc_id, unnest(range(i, j + 1)) as i from later),

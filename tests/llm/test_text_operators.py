@@ -1,6 +1,7 @@
 """Line dedup, suffix dedup, near duplicates and personal data against brute force, with nulls, ties, repeats and long texts."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -9,7 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from codepend.llm import line_dedup, minhash_dedup, pii, suffix_dedup
+from codepend.llm import common, line_dedup, minhash_dedup, pii, suffix_dedup
 
 WORDS = [f"w{i}" for i in range(400)]
 
@@ -18,21 +19,18 @@ def prose(rng, n):
     return " ".join(rng.choice(WORDS) for _ in range(n))
 
 
-def brute_lines(rows, words=10):
+def brute_lines(rows, words=10, line_words=3):
+    """Every run of 10 words or more, and every line of 3 or more, that also starts earlier goes."""
     firsts, found = {}, []
     for d, text in sorted(rows, key=lambda r: -(2**63) if r[0] is None else r[0]):
         lines = (text or "").split("\n")
         n = [len(re.findall(r"[^\x20\x09-\x0D]+", x)) for x in lines]
-        for i in range(len(lines)):
-            j, total = i, 0
-            while j < len(lines) and total < words:
-                total += n[j]
-                j += 1
-            if n[i] and total >= words:
-                key, at = "\n".join(lines[i:j]), (-(2**63) if d is None else d, i)
-                firsts.setdefault(key, at)
-                if firsts[key] < at:
-                    found.append((d, i, j))
+        runs = [(i, j) for i in range(len(lines)) for j in range(i + 1, min(len(lines), i + 60) + 1) if sum(n[i:j]) >= words]
+        for i, j in [*runs, *((i, i + 1) for i in range(len(lines)) if n[i] >= line_words)]:
+            key, at = tuple(lines[i:j]), (-(2**63) if d is None else d, i)
+            firsts.setdefault(key, at)
+            if firsts[key] < at:
+                found.append((d, i, j))
     out = []
     for d, text in rows:
         lines = (text or "").split("\n")
@@ -41,7 +39,8 @@ def brute_lines(rows, words=10):
     return out
 
 
-def test_lines(docs):
+@pytest.mark.parametrize("part", [4096, 2])
+def test_lines(docs, monkeypatch, part):
     rng = random.Random(1)
     passage = [prose(rng, rng.randint(1, 8)) for _ in range(6)]
     texts = [None, "", "\n\n", prose(rng, 3), "\n".join(["tick tock"] * 50)]
@@ -50,8 +49,9 @@ def test_lines(docs):
         if i % 3 == 0:
             own[rng.randint(0, len(own)) : 0] = passage
         texts.append("\n".join(own))
-    texts += [texts[-1], texts[7], "\n".join(passage), prose(rng, 30_000)]
+    texts += [texts[-1], texts[7], "\n".join(passage), prose(rng, 30_000), "\n\n" + "\n".join(["", *passage, "", "x", "y"]), "z\n\n\n" + "\n".join(["", *passage, "", "x", "z"])]
     rows = [*enumerate(texts), (None, texts[6])]
+    monkeypatch.setattr(common, "HOT_PART", part)
     got = {r["doc_id"]: r for r in line_dedup.deduplicated(docs(rows)).collect()}
     assert len(got) == len(rows)
     for d, n, gone, left in brute_lines(rows):
@@ -64,6 +64,8 @@ def test_lines_of_repeated_rows_and_shortened(docs):
     line = prose(random.Random(2), 12)
     same = docs([(1, line), (1, line), (2, line), (3, "own words\n" + line)])
     assert sorted((r["doc_id"], r["n_removed"]) for r in line_dedup.deduplicated(same).collect()) == [(1, 0), (1, 0), (2, 1), (3, 1)]
+    left = line_dedup.shortened(same.withColumnsRenamed({"score": "runs", "row_": "RID"}))
+    assert left.columns[-2:] == ["runs", "RID"]
     left = line_dedup.shortened(same)
     assert left.columns == same.columns
     assert sorted((r["doc_id"], r["text"], r["n_chars"]) for r in left.collect()) == [(1, line, len(line))] * 2 + [(3, "own words", 9)]
@@ -240,22 +242,51 @@ def test_patterns(text):
     assert pii.base_spans(text) == brute_spans(text)
 
 
+def test_long_runs_of_digits():
+    zeros = "0" * 5000
+    assert pii.base_spans(f"{zeros}.1.1.1") == [(0, 1, 5006)] and pii.base_spans(f"{zeros}256.1.1.1") == []
+    assert pii.base_spans("1" * 5000 + ".1.1.1") == []
+
+
+def brute_terms(rows):
+    """(row, start, end) of all disclosing terms, from the definition."""
+    fold = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t)
+    docs = []
+    for t in rows:
+        t = t or ""
+        base = brute_spans(t)
+        words = [(fold(m[0]), m.start(), m.end()) for m in re.finditer(r"[^\x20\x09-\x0D]+", t)]
+        free = [w for w in words if not any(s < w[2] and w[1] < e for s, _, e in base)]
+        docs.append((t, {(k, t[s:e].lower()) for s, k, e in base}, {w[0] for w in words}, free))
+    n, out = len(docs), set()
+    for e in set().union(*(d[1] for d in docs)):
+        with_e = [d for d in docs if e in d[1]]
+        for w in {x[0] for d in with_e for x in d[3]}:
+            both = [d for d in with_e if any(x[0] == w for x in d[3])]
+            k, de, df = len({d[0] for d in both}), len(with_e), sum(w in d[2] for d in docs)
+            if de < n and math.log(len(both) * n / (df * de)) / math.log(n / de) * (k / (k + 1)) ** 2 > pii.DISCLOSURE:
+                out |= {(i, s, f) for i, d in enumerate(docs) if e in d[1] for x, s, f in d[3] if x == w}
+    return out
+
+
 def test_personal_data(docs):
     rng = random.Random(6)
     rows = [None, "", "mail a.b@c.org or 10.0.0.1, card 4111 1111 1111 1111, call +1 (456) 555-2186", "@" * 5000, "1" * 20_000]
-    # `falke` stands beside one address in several different contexts, and nowhere else
-    rows += [f"{prose(rng, 12)} falke jo@mail.example.com {prose(rng, 12)}" for _ in range(5)]
+    # `falke` stands in several different texts with one address, lines away from it, and nowhere else
+    rows += [f"{prose(rng, 12)} Falke {prose(rng, 5)}\n{prose(rng, 12)}\njo@mail.example.com {prose(rng, 12)}" for _ in range(5)]
     rows += [prose(rng, 40) for _ in range(60)]
+    # copies of one text are no evidence; an address in many texts, with and without a word of its own
+    rows += [f"einmal x@y.org {prose(random.Random(1), 9)}"] * 6 + [f"{'immer' if i % 4 else 'nie'} {prose(rng, 6)} all@list.org" for i in range(20)]
     got = {r["doc_id"]: r for r in pii.personal_data(docs(rows)).collect()}
     for i, t in enumerate(rows):
         base = ",".join(f"{pii.KINDS[k]}:{s}:{e}" for s, k, e in brute_spans(t or ""))
         assert got[i]["base_sha256"] == hashlib.sha256(base.encode()).hexdigest()
         assert set(filter(None, base.split(","))) <= set(got[i]["spans"].split(","))
     assert [got[2][f"n_{k}"] for k in pii.KINDS[:4]] == [1, 1, 1, 1]
-    for i in range(5, 10):
-        at = rows[i].index("falke")
-        assert f"term:{at}:{at + 5}" in got[i]["spans"]
-    assert all("term" not in got[i]["spans"] for i in (0, 1, 2, *range(10, 70)))
+    terms = {(i, *map(int, x.split(":")[1:])) for i, r in got.items() for x in r["spans"].split(",") if x.startswith("term")}
+    assert terms == brute_terms(rows)
+    assert all((i, rows[i].index("Falke"), rows[i].index("Falke") + 5) in terms for i in range(5, 10))
+    assert not any(i in (0, 1, 2, *range(10, 76)) for i, _, _ in terms)
     clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs(rows)).collect()}
     assert clean[0] is None and clean[2] == "mail [EMAIL] or [IP], card [CARD], call [PHONE]"
-    assert "falke" not in clean[6] and "[EMAIL]" in clean[6] and clean[20] == rows[20]
+    assert "Falke" not in clean[6] and "[EMAIL]" in clean[6] and clean[20] == rows[20]
