@@ -107,7 +107,7 @@ def format_turns(conversations: DataFrame) -> DataFrame:
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Digests of every conversation, read from its formatted rows."""
+    """Digests of every conversation, read from its formatted rows; the text under the loss mask is what the bounds and the mask of each row say."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, started, state, done = None, False, [], []
@@ -116,17 +116,19 @@ def read_back(formatted: DataFrame) -> DataFrame:
             done.append((key, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4]))
 
         for b in batches:
-            for conv, text in zip(b.column("conv_id").to_pylist(), b.column("formatted").to_pylist()):
+            for conv, text, i, j, in_loss in zip(*(b.column(c).to_pylist() for c in ("conv_id", "formatted", "text_start", "text_end", "in_loss"))):
                 if not started or conv != key:
                     if started:
                         end()
                     key, started, state = conv, True, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                role, content = parse(text.encode())
+                raw = text.encode()
+                role, content = parse(raw)
                 state[0] += 1
                 state[1].update(role + b"\n" + content + b"\n")
-                if role == b"assistant":
-                    state[2] += len(content.decode())
-                    state[3].update(content)
+                if in_loss:
+                    under = unescape(raw[i:j])
+                    state[2] += len(under.decode())
+                    state[3].update(under)
                 state[4] += len(text)
             if done:
                 yield _digests(done)
@@ -136,7 +138,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
             yield _digests(done)
 
     dealt = formatted.repartition(F.col("conv_id")).sortWithinPartitions(F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), "formatted")
-    return dealt.select("conv_id", "formatted").mapInArrow(work, DIGESTS)
+    return dealt.select("conv_id", "formatted", "text_start", "text_end", "in_loss").mapInArrow(work, DIGESTS)
 
 
 def _digests(rows: list[tuple]) -> pa.RecordBatch:

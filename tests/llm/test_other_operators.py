@@ -1,6 +1,7 @@
 """Chat formatting, top-k search, BPE, embeddings, language identification, mixing and the pipeline."""
 
 import hashlib
+import math
 import random
 import zlib
 
@@ -11,6 +12,7 @@ import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from codepend.llm import bpe, chat_format, embed_dedup, lang_id, mixing, topk_search
@@ -43,15 +45,24 @@ def test_chat_digests(spark):
         assert r["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
 
 
+def test_chat_mask_is_read(spark):
+    """The loss text is what mask and bounds of the formatted rows say; clashing columns and empty tables do no harm."""
+    df = spark.createDataFrame([(1, 0, "user", "q", "x", "y"), (1, 1, "assistant", "a\\b", "x", "y")], "conv_id long, turn long, role string, text string, formatted string, in_loss string")
+    made = chat_format.format_turns(df)
+    assert [(r["in_loss"], r["formatted"][r["text_start"] : r["text_end"]]) for r in made.orderBy("turn").collect()] == [(False, "q"), (True, "a\\\\b")]
+    turned = made.withColumn("in_loss", ~F.col("in_loss"))
+    assert [r["loss_sha256"] for r in chat_format.read_back(turned).collect()] == [hashlib.sha256(b"q").hexdigest()]
+    assert [r["loss_chars"] for r in chat_format.read_back(made).collect()] == [3]
+    assert chat_format.chat_digests(df.limit(0)).collect() == []
+
+
 def brute_top(rows, k=5):
-    ok = [(i, np.floor(256 * np.array(v, float)).astype(np.int64)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
-    dim = max((len(v) for _, v in ok), default=0)
-    ok = [(i, np.pad(v, (0, dim - len(v)))) for i, v in ok]
+    ok = [(i, [math.floor(256 * float(x)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(256 * x) for x in v)]
     out = []
     for q, x in ok:
         if q % 50 == 0:
-            best = sorted({(-int(x @ y), i) for i, y in ok if i != q})[:k]
-            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+            best = sorted({(-sum(a * b for a, b in zip(x, y)), i) for i, y in ok if i != q})[:k]
+            out += [(q, r + 1, i, max(-(2**63), min(2**63 - 1, -s))) for r, (s, i) in enumerate(best)]
     return sorted(out)
 
 
@@ -65,13 +76,20 @@ def test_top_k(spark, monkeypatch):
     rows += [(i, [-0.25] * 9) for i in range(800, 830)]
     df = spark.createDataFrame([(i, v, 0, "x") for i, v in rows], EMBEDDINGS)
     got = topk_search.top_k(df, df.where("vec_id % 50 = 0"), 5)
-    big = [(701, [float(2**32)] * 9)]  # clipped
-    assert sorted(map(tuple, got.collect())) == brute_top([r for r in rows if r[0] != 701] + big)
+    assert sorted(map(tuple, got.collect())) == brute_top(rows)
     few = df.where("vec_id in (0, 1, 2)")
     assert sorted(map(tuple, topk_search.top_k(few, few.where("vec_id = 0"), 5).collect())) == brute_top(rows[:3])
     assert topk_search.top_k(df.limit(0), df.limit(0), 5).collect() == []
 
 
+def test_top_k_of_very_large_components(spark):
+    """Whole numbers stay exact beyond 53 bits, and beyond the long range the order is that of the true values."""
+    rows = [(0, [1e12, 3.0]), (1, [float(2**40 + 1), 1.0]), (2, [float(2**40), 300.0]), (3, [1e18, 0.0]), (4, [1e19, 0.0]), (5, [-1e19, 0.0]), (6, [-1e300, 0.0]), (7, [1e300, 1e300]), (8, [1e307, 0.0]), (50, [float(2**30), 1 / 256]), (100, [-5e306, 2.0])]
+    df = spark.createDataFrame([(i, v, 0, "x") for i, v in rows], EMBEDDINGS)
+    got = topk_search.top_k(df, df.where("vec_id % 50 = 0"), 5)
+    assert sorted(map(tuple, got.collect())) == brute_top(rows)
+
+
 def test_bpe(spark, docs):
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     tok = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
