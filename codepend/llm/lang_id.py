@@ -9,13 +9,15 @@ margins. Languages whose family isn't listed form families of their own.
 Machines learn from at most PER_LANGUAGE whole documents and BYTES_PER_LANGUAGE bytes of each
 language, taken in the order of a hash of doc_id among the training rows with letters; a document that
 doesn't fit in what is left is skipped, but of each language one is kept, the shortest if none fits.
-Both bounds, and with them what the driver holds, are parameters. There is a machine for each pair of
-classes, so more than MAX_LANGUAGES languages are refused, not cut.
+Both bounds, and with them what the driver holds, are parameters: it keeps frequencies, not texts, and
+fills a matrix with those of two classes at a time. There is a machine for each pair of classes, so more
+than MAX_LANGUAGES languages are refused, not cut.
 
 Defined cases: text that is null or has no letters is `und` with score 0; a null doc_id counts as
 the empty string for the split; null langs are never learnt from; without training rows every text
-is `und`; with one language every text with letters gets it; repeated rows each get a row; other
-columns are ignored. The score is the logistic of the deciding margin, the least over the two steps.
+is `und`; with one language every text with letters gets it; repeated rows each get a row; very long
+texts are scored whole, in pieces of memory bounded by the text; no rows give no rows; other columns are
+ignored, or kept as they are. The score is the logistic of the deciding margin, the least over the two steps.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from .common import bounded_batches, cut, slices, string_buffers
 FEATURES = 1 << 13
 PER_LANGUAGE = 600
 BYTES_PER_LANGUAGE = 8_000_000
-MAX_LANGUAGES = 200
+MAX_LANGUAGES = 64
 SLICE = 1 << 19
 FAMILIES = {
     "germanic": ["en", "de", "nl", "sv", "da", "no", "nb", "nn", "is", "af"],
@@ -77,15 +79,13 @@ def has_letters(text: str) -> bool:
     return any(c.isalpha() for c in text)
 
 
-def _frequencies(rows: list[str]) -> np.ndarray:
-    out = np.zeros((len(rows), FEATURES), np.float32)
-    for i, t in enumerate(rows):
-        raw = np.frombuffer(t.encode(), np.uint8)
-        grams, bounds = _grams(np.array([0, len(raw)]), raw)
-        for g in grams:
-            out[i] += np.bincount(g, minlength=FEATURES)[:FEATURES]
-        out[i] /= max(1, bounds[-1])
-    return out
+def frequencies(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The features of a text and how often each occurs for a byte of it."""
+    raw = np.frombuffer(text.encode(), np.uint8)
+    grams, bounds = _grams(np.array([0, len(raw)]), raw)
+    n = sum(np.bincount(g, minlength=FEATURES)[:FEATURES] for g in grams)
+    at = np.flatnonzero(n)
+    return at.astype(np.uint16), (n[at] / max(1, bounds[-1])).astype(np.float32)
 
 
 def fit_machine(x: np.ndarray, y: np.ndarray, penalty: float = 1e-4, steps: int = 150) -> np.ndarray:
@@ -107,19 +107,24 @@ def fit_machine(x: np.ndarray, y: np.ndarray, penalty: float = 1e-4, steps: int
 class Model:
     """Machines for each pair of families and for each pair of a family's languages."""
 
-    def __init__(self, rows: list[str], langs: list[str]):
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], langs: list[str]):
         self.langs = sorted(set(langs))
-        x = _frequencies(rows)
-        scale = (1 / np.sqrt(np.maximum(x.mean(0), 1e-6))).astype(np.float32) if len(rows) else np.ones(FEATURES, np.float32)
-        x *= scale
+        mean = np.zeros(FEATURES)
+        for at, n in rows:
+            mean[at] += n
+        scale = (1 / np.sqrt(np.maximum(mean / max(1, len(rows)), 1e-6))).astype(np.float32)
         lang, fam = np.array(langs), np.array([family(v) for v in langs])
         self.families = sorted(set(fam))
         self.within = {f: sorted(set(lang[fam == f])) for f in self.families}
         self.pairs, machines = [], []
         for labels, classes in [(fam, self.families), *((lang, self.within[f]) for f in self.families)]:
             for a, b in combinations(classes, 2):
-                at = (labels == a) | (labels == b)
-                machines.append(fit_machine(x[at], np.where(labels[at] == a, 1.0, -1.0)))
+                both = np.flatnonzero((labels == a) | (labels == b))
+                x = np.zeros((len(both), FEATURES), np.float32)
+                for i, k in enumerate(both):
+                    x[i, rows[k][0]] = rows[k][1]
+                x *= scale
+                machines.append(fit_machine(x, np.where(labels[both] == a, 1.0, -1.0)))
                 self.pairs.append((labels is fam, a, b))
         w = np.array(machines).reshape(-1, FEATURES + 1)
         self.bias = w[:, -1]
@@ -192,14 +197,13 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, bytes_per_language:
             continue
         if size.get(lang, 0) + n > bytes_per_language:
             if lang not in taken and (lang not in spare or n < spare[lang][0]):
-                spare[lang] = n, (r["doc_id"], r["text"], lang)
+                spare[lang] = n, (frequencies(r["text"]), lang)
             continue
         size[lang], taken[lang] = size.get(lang, 0) + n, taken.get(lang, 0) + 1
         spare.pop(lang, None)
-        sample.append((r["doc_id"], r["text"], lang))
+        sample.append((frequencies(r["text"]), lang))
     sample += [row for _, row in spare.values()]
-    sample.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1]))
-    return Model([r[1] for r in sample], [r[2] for r in sample])
+    return Model([r[0] for r in sample], [r[1] for r in sample])
 
 
 def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, components, cut, mix, slices, string_buffers, texts
+from .common import bounded_batches, components, cut, mix, skewed_join, slices, string_buffers, texts
 
 SHINGLE = 5
 REGISTERS, MANTISSA, ROWS = 256, 10, 8
@@ -222,9 +222,9 @@ def _block_links(members: DataFrame, classes: DataFrame, docs: DataFrame, percen
     m = members.join(classes.select("doc_id", "n", "regs"), "doc_id")
     by_component = m.groupBy("key", "c").agg(F.count(F.lit(1)).alias("k"), F.sum(F.col("n") * 8 + 2 * REGISTERS).alias("bytes"))
     blocks = lambda size: F.greatest(F.lit(1), F.ceil(size / BLOCK_BYTES)).cast("int")
-    of_key = by_component.groupBy("key").agg(F.max(F.struct("k", "c", "bytes")).alias("top"), F.sum("bytes").alias("all"))
-    of_key = of_key.select("key", F.col("top.c").alias("major"), blocks(F.col("top.bytes")).alias("majors"), blocks(F.col("all") - F.col("top.bytes")).alias("minors"))
-    m = m.join(of_key, "key").withColumn("minor", (F.col("c") != F.col("major")).cast("int"))
+    of_key = by_component.groupBy("key").agg(F.max(F.struct("k", "c", "bytes")).alias("top"), F.sum("bytes").alias("all"), F.sum("k").alias("many"))
+    of_key = of_key.select("key", "many", F.col("top.c").alias("major"), blocks(F.col("top.bytes")).alias("majors"), blocks(F.col("all") - F.col("top.bytes")).alias("minors"))
+    m = skewed_join(m, of_key, ["key"], members.count()).withColumn("minor", (F.col("c") != F.col("major")).cast("int"))
     m = m.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.when(F.col("minor") == 1, F.col("minors")).otherwise(F.col("majors"))).cast("int"))
     cells = F.expr("""if(minor = 1,
         concat(transform(sequence(0, minors - 1), q -> struct(0 as kind, least(block, q) as i, greatest(block, q) as j)), transform(sequence(0, majors - 1), q -> struct(1 as kind, block as i, q as j))),
@@ -238,22 +238,19 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     docs = texts(docs).select("doc_id", "text")
     signed = cut(signatures(docs))
     live = signed.where("n > 0 and doc_id is not null")
-    least = live.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
-    owned = live.join(least, ["h1", "h2"])
+    least = live.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("many"))
+    owned = skewed_join(live, least, ["h1", "h2"], live.count()).drop("many")
     classes = cut(owned.where("doc_id = rep").dropDuplicates(["h1", "h2"]).select("doc_id", "n", "regs"))
-    keyed = bands(classes)
-    shared_keys = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
-    keyed = cut(keyed.join(shared_keys, "key"))
-    leaders = keyed.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-    met = keyed.select("key", "doc_id").join(leaders, "key")
-    stars = met.select(F.explode(F.array("lo", "hi")).alias("l"), "doc_id").where("l <> doc_id").select(F.least("l", "doc_id").alias("a"), F.greatest("l", "doc_id").alias("b")).distinct()
+    leaders = bands(classes).groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("many > 1")
+    keyed = cut(skewed_join(bands(classes), leaders, ["key"], classes.count() * (REGISTERS // ROWS)))
+    stars = keyed.select(F.explode(F.array("lo", "hi")).alias("l"), "doc_id").where("l <> doc_id").select(F.least("l", "doc_id").alias("a"), F.greatest("l", "doc_id").alias("b")).distinct()
     owned = owned.select("doc_id", "rep").distinct()
     shared = owned.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("doc_id")
     same = owned.join(shared, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     joined = cut(components(_confirmed(stars, classes, docs, percent).union(same)))
     placed = keyed.join(joined, keyed.doc_id == joined.node, "left").select("key", "band", "doc_id", "many", F.coalesce("component", "doc_id").alias("c")).where("many > 2")
-    open_keys = placed.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("key")
-    rest = cut(placed.join(open_keys, "key", "left_semi"))
+    open_keys = placed.groupBy("key", "many").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("key", "many")
+    rest = cut(skewed_join(placed.drop("many"), open_keys, ["key"], keyed.count()))
     if not rest.isEmpty():
         small = rest.where(F.col("many") <= SMALL)
         pairs = small.alias("p").join(small.alias("q"), F.expr("p.key = q.key and p.doc_id < q.doc_id and p.c <> q.c")).select(F.col("p.doc_id").alias("a"), F.col("q.doc_id").alias("b"))

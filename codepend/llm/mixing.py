@@ -2,18 +2,23 @@
 
 The labelled table sets the domains: its classes of (quality, toxic). A classifier over discretised
 properties of a document (source bucket, language, length, digits, punctuation, word length, lines)
-gives each document a posterior over domains: naive Bayes with add-one smoothing, its counts taken
-from all labelled documents. Documents that share all properties share a posterior, so they are
+gives each document a posterior over domains: naive Bayes with add-one smoothing over each property's
+values, its counts taken from all labelled documents. Documents that share all properties share a posterior, so they are
 summed into cells before anything else; the cells are as many as combinations of properties, not
 documents.
 
-Rates then are those nearest to 1 (by tokens) under which every domain has its target: with T_k the
-expected tokens of domain k, minimise sum_c n_c (r_c - 1)^2 / 2 subject to r_c >= min_rate and T = b.
-Its solution is r_c = max(min_rate, 1 + m . p_c) with one multiplier for each domain; these are found
-by Newton's method, damped so that the dual falls, until residuals are below TOLERANCE of b. Each step
-needs one aggregate over cells of K + K (K + 1) / 2 sums. A slack of EPSILON keeps the multipliers
-finite where no rates meet the targets: then |(T - b) / b| is least, and what is missed is logged as a
-warning; `fit_rates` returns the totals before and after.
+Rates then are fitted by projected gradient least squares. With T_k the expected tokens of domain k, b its
+target and M the inverse of the domains' Gram matrix sum_c n_c p_c p_c', (T - b) M (T - b) / 2 falls along
+r_c -> max(min_rate, r_c - p_c M (T - b)), a step that M makes of unit length; steps are accelerated, and
+begin anew where the sum would rise. The rate of a cell follows from the steps so far and its posterior,
+so a step needs one aggregate over cells of K sums, and nothing is kept by cell. It ends when residuals are
+below TOLERANCE of b.
+
+Where GRADIENT_STEPS don't suffice (targets that few documents can meet, and growing totals, which leave
+most cells at min_rate), the rates nearest to 1 (by tokens) that meet the targets are found by their
+multipliers instead: r_c = max(min_rate, 1 + m . p_c), m by damped Newton steps of K + K (K + 1) / 2 sums
+each. A slack of EPSILON keeps them finite where no rates meet the targets: then |(T - b) / b| is least, and
+what is missed is logged as a warning; `fit_rates` returns the totals before and after and the residuals.
 
 Token totals are words as between white space. The decision is whole copies: floor(rate), and one
 more where a hash of (doc_id, text) falls below the fraction.
@@ -21,7 +26,8 @@ more where a hash of (doc_id, text) falls below the fraction.
 Defined cases: null or empty text has no words and keeps rate max(1, min_rate); null source or lang
 is a value of its own; without labels there is one domain, all rates stay 1; a doc_id labelled
 several times counts each time, null labels not at all; targets for absent domains are dropped and
-the rest rescaled; repeated rows each get the rate of their cell; other columns are kept as they are.
+the rest rescaled; repeated rows each get the rate of their cell; very long texts are described whole; no rows
+give no rows; other columns, whatever their names, are kept as they are.
 """
 
 from __future__ import annotations
@@ -37,7 +43,7 @@ from .common import cut
 
 SOURCE_BUCKETS = 256
 #: Residuals relative to the targets that count as met, the slack, and a bound on aggregates, at which a miss is reported.
-TOLERANCE, EPSILON, STEPS = 1e-4, 1e-7, 200
+TOLERANCE, EPSILON, STEPS, GRADIENT_STEPS = 1e-4, 1e-7, 200, 40
 #: How often a growing total is raised further, and by how much, while its targets are missed.
 RAISES, RAISE = 20, 1.1
 TARGETS = {"q1t0": 0.78, "q0t0": 0.13, "q1t1": 0.08, "q0t1": 0.01}
@@ -75,7 +81,7 @@ def domain() -> Column:
 
 
 def classifier(labelled: DataFrame) -> tuple[list[str], list[float], DataFrame]:
-    """Domains, log priors, and (property, value, scores): log likelihoods as an array over the domains."""
+    """Domains, log priors, and (property, value, scores): log likelihoods as an array over the domains; a null value stands for all unseen ones."""
     counts = {r["domain"]: r["n"] for r in labelled.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).orderBy("domain").limit(MAX_DOMAINS + 1).collect()}
     if len(counts) > MAX_DOMAINS:
         raise ValueError(f"more than {MAX_DOMAINS} domains")
@@ -84,8 +90,13 @@ def classifier(labelled: DataFrame) -> tuple[list[str], list[float], DataFrame]:
 
     prior = [math.log(n / total) for n in counts.values()]
     values = labelled.select("domain", F.explode(F.array(*(F.struct(F.lit(p).alias("property"), F.col(p).alias("value")) for p in PROPERTIES))).alias("x")).select("domain", "x.*")
-    scores = F.array(*(F.log((F.count_if(F.col("domain") == d) + 1) / F.lit(float(counts[d] + 32))) for d in names))
-    return names, prior, values.groupBy("property", "value").agg(scores.alias("scores"))
+    known = values.groupBy("property", "value").agg(F.array(*(F.count_if(F.col("domain") == d) for d in names)).alias("n"))
+    # hashed properties have SOURCE_BUCKETS values, the others those seen and one for all unseen
+    sizes = known.groupBy("property").agg((F.count(F.lit(1)) + 1).alias("v")).withColumn("v", F.when(F.col("property").isin("f_source", "f_lang"), F.lit(SOURCE_BUCKETS)).otherwise(F.col("v")))
+    score = lambda of: F.array(*(F.log((of(i) + 1) / (F.lit(float(counts[d])) + F.col("v"))) for i, d in enumerate(names))).alias("scores")
+    sizes = F.broadcast(sizes)  # a row for each of PROPERTIES
+    unseen = sizes.select("property", F.lit(None).cast("int").alias("value"), score(lambda _: F.lit(0)))
+    return names, prior, known.join(sizes, "property").select("property", "value", score(lambda i: F.col("n")[i])).unionByName(unseen)
 
 
 def cells(described: DataFrame) -> DataFrame:
@@ -95,17 +106,62 @@ def cells(described: DataFrame) -> DataFrame:
 
 def posteriors(cell: DataFrame, names: list[str], prior: list[float], scores: DataFrame) -> DataFrame:
     """cell with `posterior`, an array over names. scores has at most two source-sized and some small value ranges."""
-    unseen = F.array(*(F.lit(0.0) for _ in names))
+    unseen = {r["property"]: r["scores"] for r in scores.where("value is null").collect()}  # a row for each of PROPERTIES
     out = cell.withColumn("log_p", F.array(*(F.lit(p) for p in prior)))
     for p in PROPERTIES:
         s = scores.where(F.col("property") == p).select(F.col("value").alias(p), F.col("scores").alias("s_"))
-        out = out.join(s, p, "left").withColumn("log_p", F.zip_with("log_p", F.coalesce("s_", unseen), lambda a, b: a + b)).drop("s_")
+        out = out.join(s, p, "left").withColumn("log_p", F.zip_with("log_p", F.coalesce("s_", F.array(*map(F.lit, unseen.get(p, [0.0] * len(names))))), lambda a, b: a + b)).drop("s_")
     top = F.array_max("log_p")
     out = out.withColumn("w_", F.transform("log_p", lambda x: F.exp(x - top)))
     z = F.aggregate("w_", F.lit(0.0), lambda a, x: a + x)
     return out.withColumn("posterior", F.transform("w_", lambda x: x / z)).drop("log_p", "w_")
 
 
+def stepped(steps: list[list[float]], min_rate: float) -> Column:
+    """The rate of a cell after projected steps, each a weight of the step before and what each domain's share takes off."""
+    if not steps:
+        return F.lit(max(1.0, float(min_rate)))
+    k = len(steps[0]) - 1
+    flat = F.lit(np.array(steps, float).ravel())
+
+    def step(s: Column, i: Column) -> Column:
+        ahead = s["r"] + flat[i * (k + 1)] * (s["r"] - s["q"])
+        off = sum((F.col("posterior")[j] * flat[i * (k + 1) + 1 + j] for j in range(k)), F.lit(0.0))
+        return F.struct(F.greatest(F.lit(float(min_rate)), ahead - off).alias("r"), s["r"].alias("q"))
+
+    one = F.lit(1.0)
+    return F.aggregate(F.sequence(F.lit(0), F.lit(len(steps) - 1)), F.struct(one.alias("r"), one.alias("q")), step)["r"]
+
+
+def _gradient(cell: DataFrame, now: np.ndarray, goal: np.ndarray, base: np.ndarray, min_rate: float, most: int) -> tuple[list[list[float]], np.ndarray]:
+    """The projected gradient steps taken, and the totals after them."""
+    k = len(now)
+    p = [F.col("posterior")[i] for i in range(k)]
+    upper = [(i, j) for i in range(k) for j in range(k) if i <= j]
+    got = cell.agg(*(F.sum(F.col("tokens") * p[i] * p[j]) for i, j in upper)).first()
+    gram = np.zeros((k, k))
+    for (i, j), x in zip(upper, got):
+        gram[i, j] = gram[j, i] = float(x or 0)
+    inverse = np.linalg.inv(gram + 1e-9 * max(np.trace(gram), 1e-300) * np.eye(k))
+    height = lambda t: (t - goal) @ inverse @ (t - goal) / 2
+    steps: list[list[float]] = []
+    before, sums, speed = now, now, 1.0
+    for _ in range(most):
+        if np.abs((sums - goal) / base).max() <= TOLERANCE:
+            break
+        faster = (1 + np.sqrt(1 + 4 * speed * speed)) / 2
+        weight = (speed - 1) / faster
+        ahead = sums + weight * (sums - before)  # totals are linear in the rates, projections apart
+        trial = [*steps, [weight, *(inverse @ (ahead - goal))]]
+        rated = cell.select("tokens", "posterior", stepped(trial, min_rate).alias("rate"))
+        new = np.array([float(x or 0) for x in rated.agg(*(F.sum(F.col("tokens") * F.col("rate") * p[i]) for i in range(k))).first()])
+        if weight and height(new) > height(sums):
+            speed = 1.0
+            continue
+        steps, before, sums, speed = trial, sums, new, faster
+    return steps, sums
+
+
 def rate(multipliers: list[float], min_rate: float) -> Column:
     """The rate of a cell under the domains' multipliers."""
     dot = sum((F.lit(float(m)) * F.col("posterior")[i] for i, m in enumerate(multipliers)), F.lit(0.0))
@@ -137,6 +193,13 @@ def fit_rates(cell: DataFrame, names: list[str], targets: dict[str, float], min_
         return cell.withColumn("rate", F.lit(max(1.0, min_rate))), {"domains": names, "before": now, "target": now, "after": now, "residual": [0.0 for _ in k]}
     want = [w / sum(want) for w in want]
     total = max(n / w for n, w in zip(now, want) if w > 0) if grow else sum(now)
+    goal = np.array([w * total for w in want])
+    base = np.where(goal > 0, goal, total)
+    taken, sums = _gradient(cell, np.array(now), goal, base, min_rate, GRADIENT_STEPS)
+    if np.abs((sums - goal) / base).max() <= TOLERANCE:
+        LOG.info("targets are met after %d gradient steps", len(taken))
+        return cell.withColumn("rate", stepped(taken, min_rate)), {"domains": names, "before": now, "target": goal.tolist(), "after": sums.tolist(), "residual": ((sums - goal) / base).tolist(), "gradient_steps": len(taken)}
+    LOG.info("targets are not met after %d gradient steps; going on by multipliers", len(taken))
     m = np.zeros(len(k))
     for _ in range(RAISES if grow else 1):
         goal = np.array([w * total for w in want])

@@ -215,6 +215,57 @@ def test_mixing_meets_rare_targets(spark, caplog):
     assert max(map(abs, told["residual"])) > 0.1 and "missed" in caplog.text
 
 
+def test_mixing_takes_gradient_steps(spark):
+    """The totals follow the same projected, accelerated steps as in numpy, and end at the targets; at most few cells are at the bound."""
+    rng = np.random.RandomState(15)
+    p = rng.dirichlet([0.4, 0.4, 0.4], 300)
+    n = rng.randint(1, 2000, 300)
+    cell = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(n, p)], "tokens long, posterior array<double>").cache()
+    names, targets = ["a", "b", "c"], {"a": 0.55, "b": 0.4, "c": 0.05}
+    out, told = mixing.fit_rates(cell, names, targets)
+    assert 0 < told["gradient_steps"] <= mixing.GRADIENT_STEPS and max(map(abs, told["residual"])) <= mixing.TOLERANCE
+    rate = np.array([r["rate"] for r in out.collect()])
+    share = (n * rate) @ p / n.sum()
+    assert np.allclose(share, [0.55, 0.4, 0.05], rtol=2 * mixing.TOLERANCE) and rate.min() >= 0
+    goal, gram = np.array([0.55, 0.4, 0.05]) * n.sum(), (p * n[:, None]).T @ p
+    inverse = np.linalg.inv(gram + 1e-9 * np.trace(gram) * np.eye(3))
+    r = q = np.ones(300)
+    speed, steps = 1.0, 0
+    while np.abs((n * r) @ p / goal - 1).max() > mixing.TOLERANCE:
+        faster = (1 + np.sqrt(1 + 4 * speed**2)) / 2
+        ahead = r + (speed - 1) / faster * (r - q)
+        new = np.maximum(0, ahead - p @ (inverse @ ((n * ahead) @ p - goal)))
+        height = lambda x: ((n * x) @ p - goal) @ inverse @ ((n * x) @ p - goal)
+        if speed > 1 and height(new) > height(r):
+            speed = 1.0
+            continue
+        r, q, speed, steps = new, r, faster, steps + 1
+    assert steps == told["gradient_steps"] and np.allclose(np.sort(r), np.sort(rate), rtol=1e-6)
+
+
+def test_mixing_posteriors_by_brute_force(docs, spark):
+    """Naive Bayes with add-one smoothing, from the definition, over four domains with the real targets."""
+    rng = random.Random(16)
+    texts = [("!? {} " * (9 if i % 5 == 0 else 0)) + tongue(rng, "en", rng.randint(3, 70)) + (" 12345 99999" * 9 if i % 7 == 0 else "") for i in range(300)]
+    df = docs(texts)
+    rows = [(i, int(i % 5 != 0), int(i % 7 == 0)) for i in range(0, 200)]
+    labels = spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
+    described = mixing.properties(df.select("doc_id", "text", "source", "lang")).collect()
+    of = {r["doc_id"]: {p: r[p] for p in mixing.PROPERTIES} for r in described}
+    domains = sorted({f"q{q}t{t}" for _, q, t in rows})
+    members = {d: [i for i, q, t in rows if f"q{q}t{t}" == d] for d in domains}
+    values = {p: mixing.SOURCE_BUCKETS if p in ("f_source", "f_lang") else len({of[i][p] for i, _, _ in rows}) + 1 for p in mixing.PROPERTIES}
+    got = mixing.mix(df, labels, keep=["doc_id"]).collect()
+    for r in got:
+        own = of[r["row_"]["doc_id"]]
+        log = [math.log(len(members[d]) / len(rows)) + sum(math.log((sum(of[i][p] == own[p] for i in members[d]) + 1) / (len(members[d]) + values[p])) for p in mixing.PROPERTIES) for d in domains]
+        top = [math.exp(x - max(log)) for x in log]
+        assert r["posterior"] == pytest.approx([x / sum(top) for x in top], rel=1e-9)
+    total = sum(r["n_tokens"] for r in got)
+    for k, d in enumerate(domains):
+        assert sum(r["n_tokens"] * r["rate"] * r["posterior"][k] for r in got) / total == pytest.approx(mixing.TARGETS[d], rel=2e-4)
+
+
 def test_mixing_is_native(spark, docs):
     df = docs(["a b c", "d e"])
     labels = spark.createDataFrame([(0, 1, 0), (1, 0, 0)], "doc_id long, quality int, toxic int")
