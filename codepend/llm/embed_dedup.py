@@ -12,12 +12,16 @@ vector, the smallest of its local component: links themselves are never written
 pairs. Shards beyond PIECE members are worked on in pieces, queries of one against the graph of
 another, so a group of any size stays within memory.
 
-An audit compares a bounded sample of vectors with all others by brute force; below AIM the search
-is done again with twice the overlap.
+An audit compares a bounded sample of all vectors, and one of those with links, with all others by brute
+force; the recall is the least of three means: over the links of each sample, and over its vectors. Below
+AIM the search is done again with twice the overlap of search and graph, until vectors are guests
+everywhere; if it stays below LEAST, the query fails rather than give too few links. The recall measured
+is a column of the result.
 
 Defined cases: vectors that are null or zero or hold null or non-finite components have no links and
 stand alone; vectors of unequal length never link; rows that share a vec_id are vectors of their own;
-a null vec_id has no links, a null component_id and is kept; no rows give no rows; other columns are ignored.
+a null vec_id has no links, a null component_id and is kept; equal vectors link with each other; no rows give
+no rows (recall 1 without links); other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,13 +34,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, components, cut
+from .common import bounded_batches, components, cut, skewed_join
 
 SAMPLE, SHARD, MOST_SHARDS = 20_000, 1000, 2048
 OVERLAP, MARGIN, BUILD_OVERLAP = 6, 0.35, 2
 PIECE, DEGREE, NEAREST, RANDOM, ALPHA, BEAM, MEDOIDS = 8192, 12, 24, 8, 1.2, 16, 4
 RANGE = 0.05  # how far below the threshold the expansion goes on
-AUDIT, AIM = 128, 0.97
+AUDIT, AIM, LEAST = 128, 0.97, 0.9
+PAIRS = 1 << 16  # pairs held at a time
+LOG = logging.getLogger(__name__)
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -104,12 +110,12 @@ def medoids(x: np.ndarray, k: int = MEDOIDS) -> np.ndarray:
     return np.array(got)
 
 
-def range_search(x: np.ndarray, lists: np.ndarray, queries: np.ndarray, entry: np.ndarray, own: np.ndarray, threshold: float) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(query numbers, rows of x) met by each block of queries with cosines near the threshold or above, in single precision.
+def range_search(x: np.ndarray, lists: np.ndarray, queries: np.ndarray, entry: np.ndarray, own: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(query numbers, rows of x) met by queries with cosines near the threshold or above, in single precision, block by block.
 
     lists: neighbours of each row, -1 filled up; entry: rows to start from; own: a query's own row or -1.
     """
-    found, n, low = [], len(x), threshold - RANGE
+    n, low = len(x), threshold - RANGE
     for lo in range(0, len(queries), 256):
         q = queries[lo : lo + 256]
         k = len(q)
@@ -145,51 +151,64 @@ def range_search(x: np.ndarray, lists: np.ndarray, queries: np.ndarray, entry: n
             keep = np.argpartition(-all_s, beam.shape[1] - 1, 1)[:, : beam.shape[1]]
             beam[go], sims[go], opened[go] = (np.take_along_axis(a, keep, 1) for a in (all_b, all_s, all_o))
         fq, fx = np.concatenate(hits_q), np.concatenate(hits_x)
-        all_q, all_x = [fq], [fx]
-        while len(fq):  # expansion: neighbours of all that is within range
+        yield fq + lo, fx
+        open_q, open_x = [fq], [fx]
+        while open_q:  # expansion: neighbours of all that is within range, some pairs at a time
+            fq, fx = open_q.pop(), open_x.pop()
+            step = max(1, PAIRS * 8 // lists.shape[1])
+            if len(fq) > step:
+                open_q += [fq[step:], fq[:step]]
+                open_x += [fx[step:], fx[:step]]
+                continue
             nq, nx = np.repeat(fq, lists.shape[1]), lists[fx].ravel()
-            ok = nx >= 0
-            nq, nx = nq[ok], nx[ok]
-            key = np.unique(nq * np.int64(n + 1) + nx)
+            new = nx >= 0
+            new[new] = ~seen[nq[new], nx[new]]
+            key = np.unique(nq[new] * np.int64(n + 1) + nx[new])
             nq, nx = key // (n + 1), key % (n + 1)
-            new = ~seen[nq, nx]
-            nq, nx = nq[new], nx[new]
             seen[nq, nx] = True
-            s = np.einsum("pd,pd->p", x[nx], q[nq]) if len(nq) else np.zeros(0)
-            fq, fx = nq[s >= low], nx[s >= low]
-            all_q.append(fq)
-            all_x.append(fx)
-        found.append((np.concatenate(all_q) + lo, np.concatenate(all_x)))
-    return found
-
-
-def settle(xd: np.ndarray, qd: np.ndarray, own: np.ndarray, weight: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]], threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Verified link weights of the queries, and a local component number of queries (first) and rows, -1 without a link."""
+            near = np.zeros(len(nq), bool)
+            for at in range(0, len(nq), PAIRS):
+                near[at : at + PAIRS] = np.einsum("pd,pd->p", x[nx[at : at + PAIRS]], q[nq[at : at + PAIRS]]) >= low
+            if near.any():
+                yield nq[near] + lo, nx[near]
+                open_q.append(nq[near])
+                open_x.append(nx[near])
+
+
+def merge(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Labels after the labels x and y have become one, pair by pair: each becomes the least that it is joined with."""
+    while True:
+        lo, hi = np.minimum(x, y), np.maximum(x, y)
+        differ = lo != hi
+        if not differ.any():
+            return label
+        parent = np.arange(len(label))
+        np.minimum.at(parent, hi[differ], lo[differ])
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+        label, x, y = parent[label], parent[lo[differ]], parent[hi[differ]]
+
+
+def settle(xd: np.ndarray, qd: np.ndarray, own: np.ndarray, weight: np.ndarray, found: Iterator[tuple[np.ndarray, np.ndarray]], threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Verified link weights of the queries, and a local component number of queries (first) and rows, -1 without a link.
+
+    Pairs whose ends are in one component already needn't be verified: members of a component are compared outright in the end.
+    """
     nq, n = len(qd), len(xd)
-    parent = np.arange(nq + n)
     known = np.flatnonzero(own >= 0)
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    def unite(a: np.ndarray, b: np.ndarray) -> None:
-        for i, j in zip(a.tolist(), b.tolist()):
-            i, j = root(i), root(j)
-            if i != j:
-                parent[max(i, j)] = min(i, j)
-
-    unite(known, nq + own[known])
+    label = np.arange(nq + n)
+    label[nq + own[known]] = known
     linked = np.zeros(nq + n, bool)
-    for a, b in found:
-        real = np.einsum("pd,pd->p", qd[a], xd[b]) >= threshold
-        real &= own[a] != b
-        a, b = a[real], b[real]
-        linked[a] = True
-        linked[nq + b] = True
-        unite(a, nq + b)
+    for qs, xs in found:
+        for at in range(0, len(qs), PAIRS):
+            a, b = qs[at : at + PAIRS], xs[at : at + PAIRS]
+            apart = label[a] != label[nq + b]
+            a, b = a[apart], b[apart]
+            real = np.einsum("pd,pd->p", qd[a], xd[b]) >= threshold
+            a, b = a[real], b[real]
+            linked[a] = True
+            linked[nq + b] = True
+            label = merge(label, label[a], label[nq + b])
     at = np.flatnonzero(linked)
     links, comp = np.zeros(nq, np.int64), np.full(nq + n, -1, np.int64)
     if not len(at):
@@ -197,7 +216,7 @@ def settle(xd: np.ndarray, qd: np.ndarray, own: np.ndarray, weight: np.ndarray,
     twin = np.concatenate([known, nq + own[known]])
     linked[twin] |= linked[np.concatenate([nq + own[known], known])]
     at = np.flatnonzero(linked)
-    comp[at] = [root(i) for i in at.tolist()]
+    comp[at] = label[at]
     order = at[np.argsort(comp[at], kind="stable")]
     for group in np.split(order, np.flatnonzero(np.diff(comp[order])) + 1):
         a, b = group[group < nq], group[group >= nq] - nq
@@ -215,7 +234,7 @@ def clean(embeddings: DataFrame) -> DataFrame:
     return e.where("not exists(x, c -> c is null or isnan(c) or abs(c) = double('infinity')) and exists(x, c -> c <> 0)")
 
 
-def _place(centers, overlap: int, build: int):
+def _place(centers, overlap: int, build: int, margin: float):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = centers.value
         for b in batches:
@@ -226,7 +245,7 @@ def _place(centers, overlap: int, build: int):
                 w[: len(v)] = v[: c.shape[1]]
                 s = c @ w
                 top = np.argsort(-s, kind="stable")[:overlap]
-                top = top[s[top] >= s[top[0]] - MARGIN]
+                top = top[s[top] >= s[top[0]] - margin]
                 out += [(len(v), int(k), r == 0, r < build, i, many, v.tobytes()) for r, k in enumerate(top)]
             kinds = (pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(a, k) for a, k in zip(zip(*out) if out else [[]] * 7, kinds)], ["dim", "shard", "home", "build", "id", "many", "v"])
@@ -247,7 +266,7 @@ def _build(key: tuple, t: pa.Table) -> pa.Table:
     return pa.table({"id": ids, "near": pa.array([ids[r[r >= 0]] for r in lists], pa.list_(pa.int64()))})
 
 
-def _search(threshold: float):
+def _search(threshold: float, build: int):
     def work(key: tuple, t: pa.Table) -> pa.Table:
         is_query = t.column("query").to_numpy()
         m, q = t.filter(pa.array(~is_query)), t.filter(pa.array(is_query))
@@ -257,7 +276,7 @@ def _search(threshold: float):
         ids, order = np.unique(m.column("id").to_numpy(), return_index=True)
         xd, weight = _matrix(m.column("v"))[order], m.column("many").to_numpy()[order]
         near = m.column("near").combine_chunks()
-        lists = np.full((len(ids), 2 * BUILD_OVERLAP * DEGREE), -1, np.int64)
+        lists = np.full((len(ids), 2 * build * DEGREE), -1, np.int64)
         flat, bounds = near.values.to_numpy(), near.offsets.to_numpy()
         for r, o in enumerate(order):
             own = flat[bounds[o] : bounds[o + 1]]
@@ -290,19 +309,21 @@ def _search(threshold: float):
     return work
 
 
-def _audit(classes: DataFrame, counted: DataFrame, threshold: float, size: int) -> float:
-    """The share of true links that a bounded sample of vectors got, by brute force against all."""
+def _audit(classes: DataFrame, counted: DataFrame, threshold: float) -> float:
+    """The recall on bounded samples of vectors, by brute force against all."""
     spark = classes.sparkSession
-    sample = classes.orderBy(F.xxhash64("id", F.lit(3))).limit(AUDIT).select("id", "x").collect()  # AUDIT vectors
-    shared = spark.sparkContext.broadcast([(r["id"], unit(np.array(r["x"]))) for r in sample])
+    by_class = counted.groupBy("id").agg(F.sum("links").alias("links"))
+    some = lambda df, of: df.orderBy(F.xxhash64("id", F.lit(of))).limit(AUDIT).select("id", "x").collect()  # noqa: E731  AUDIT vectors
+    general, linked_ = some(classes, 3), some(classes.join(by_class.where("links > 0"), "id", "left_semi"), 4)
+    shared = spark.sparkContext.broadcast(sorted({(r["id"], tuple(r["x"])) for r in general + linked_}))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = dict.fromkeys((i for i, _ in shared.value), 0)
         by_dim: dict[int, tuple] = {}
         for i, v in shared.value:
-            by_dim.setdefault(len(v), ([], []))
-            by_dim[len(v)][0].append(i)
-            by_dim[len(v)][1].append(v)
+            ids, vs = by_dim.setdefault(len(v), ([], []))
+            ids.append(i)
+            vs.append(unit(np.array(v)))
         for b in batches:
             rows: dict[int, list] = {}
             for i, many, x in zip(b.column("id").to_pylist(), b.column("many").to_pylist(), b.column("x")):
@@ -316,19 +337,34 @@ def _audit(classes: DataFrame, counted: DataFrame, threshold: float, size: int)
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["id", "k"])
 
     true = classes.select("id", "many", "x").mapInArrow(work, "id long, k long").groupBy("id").agg(F.sum("k").alias("k"))
-    r = true.join(counted.groupBy("id").agg(F.sum("links").alias("links")), "id", "left").agg(F.sum("k"), F.sum(F.least("k", F.coalesce("links", F.lit(0))))).first()
-    return (r[1] or 0) / r[0] if r[0] else 1.0
+    got = {r["id"]: (r["k"], min(r["k"], r["links"])) for r in true.where("k > 0").join(by_class, "id", "left").select("id", "k", F.coalesce("links", F.lit(0)).alias("links")).collect()}
+    means = []
+    for sample in (general, linked_):
+        own = [got[r["id"]] for r in sample if r["id"] in got]
+        if own:
+            means += [sum(g for _, g in own) / sum(k for k, _ in own), sum(g / k for k, g in own) / len(own)]
+    return min(means, default=1.0)
+
+
+def _numbered(groups: DataFrame) -> tuple[DataFrame, int]:
+    """groups of equal vectors with a number for each, and the seed under which no two groups share one."""
+    for seed in range(5, 25):
+        out = groups.withColumn("class", F.xxhash64("h1", "h2", F.lit(seed)))
+        if out.groupBy("class").agg(F.count(F.lit(1)).alias("k")).where("k > 1").isEmpty():
+            return out, seed
+    raise RuntimeError("no seed tells all vectors apart")
 
 
 def linked(embeddings: DataFrame, threshold: float = 0.9) -> DataFrame:
-    """vec_id, n_links, component_id and kept of every row."""
+    """vec_id, n_links, component_id, kept and the audited recall of every row."""
     spark = embeddings.sparkSession
     bounded_batches(spark, 8)
     live = clean(embeddings).withColumns({"h1": F.xxhash64("x"), "h2": F.xxhash64(F.lit(11), "x")})
-    groups = cut(live.groupBy("h1", "h2").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("many")))
-    classes = cut(live.join(groups, ["h1", "h2"]).where("vec_id = id").dropDuplicates(["h1", "h2"]).select(F.xxhash64("h1", "h2").alias("id"), F.col("id").alias("rep"), "many", "x"))
-    total = classes.count()
-    counted = spark.createDataFrame([], "id long, links long, root long")
+    groups, seed = _numbered(cut(live.groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("many"))))
+    total = groups.count()
+    owned = skewed_join(live, groups, ["h1", "h2"], live.count())
+    classes = cut(owned.where("vec_id = rep").dropDuplicates(["h1", "h2"]).select(F.col("class").alias("id"), "rep", "many", "x"))
+    counted, recall = spark.createDataFrame([], "id long, links long, root long"), 1.0
     if total:
         share = min(1.0, SAMPLE / total)
         rows = classes.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 30)) <= F.lit(int(share * (1 << 30)))).select("x", "id").limit(2 * SAMPLE).collect()  # SAMPLE vectors, or twice as many at the most
@@ -338,30 +374,34 @@ def linked(embeddings: DataFrame, threshold: float = 0.9) -> DataFrame:
         for i, r in enumerate(rows):
             sample[i, : len(r["x"])] = unit(np.array(r["x"]))
         centers = spark.sparkContext.broadcast(centroids(sample, max(1, min(-(-total // SHARD), MOST_SHARDS, len(sample) // 8))).astype(np.float64))
-        overlap = OVERLAP
-        for _ in range(3):
-            counted = cut(_found(classes, centers, overlap, threshold))
-            recall = _audit(classes, counted, threshold, total)
-            logging.getLogger(__name__).info("recall of the link search on a sample: %.4f at overlap %d", recall, overlap)
-            if recall >= AIM or overlap >= len(centers.value):
+        overlap, build, margin = OVERLAP, BUILD_OVERLAP, MARGIN
+        while True:
+            counted = cut(_found(classes, centers, overlap, build, margin, threshold))
+            recall = _audit(classes, counted, threshold)
+            LOG.info("recall of the link search on samples: %.4f at overlap %d", recall, overlap)
+            if recall >= AIM or overlap >= len(centers.value) and margin >= 2:
                 break
-            overlap *= 2
+            overlap, build, margin = overlap * 2, build * 2, margin * 2
+        if recall < LEAST:
+            raise RuntimeError(f"the link search found a share of {recall:.3f} of the links of its sample")
     by_class = counted.groupBy("id").agg(F.sum("links").alias("links"))
     reps = classes.select("id", "rep")
     edges = counted.select("id", "root").distinct().join(reps, "id").join(reps.select(F.col("id").alias("root"), F.col("rep").alias("other")), "root").select(F.col("rep").alias("a"), F.col("other").alias("b"))
     joined = components(edges)
     known = classes.select("id", "rep", "many").join(by_class, "id", "left").join(joined, F.col("rep") == joined.node, "left")
-    known = known.select("id", (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    known = cut(known.select("id", "many", (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")))
     every = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("x"))
     can = F.expr("vec_id is not null and x is not null and not exists(x, c -> c is null or isnan(c) or abs(c) = double('infinity')) and exists(x, c -> c <> 0)")
-    keyed = every.withColumn("id", F.when(can, F.xxhash64(F.xxhash64("x"), F.xxhash64(F.lit(11), "x")))).select("vec_id", "id")
-    out = keyed.join(known, "id", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    keyed = every.withColumn("id", F.when(can, F.xxhash64(F.xxhash64("x"), F.xxhash64(F.lit(11), "x"), F.lit(seed)))).select("vec_id", "id")
+    alone = keyed.where("id is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    out = skewed_join(keyed.where("id is not null"), known, ["id"], known.agg(F.sum("many")).first()[0] or 1)
+    out = out.select("vec_id", F.col("n_links").cast("long"), "component_id").union(alone)
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))).withColumn("recall", F.lit(float(recall)))
 
 
-def _found(classes: DataFrame, centers, overlap: int, threshold: float) -> DataFrame:
+def _found(classes: DataFrame, centers, overlap: int, build: int, margin: float, threshold: float) -> DataFrame:
     """(id, links, root): links of classes counted at home, and the smallest local id that a class is linked to."""
-    placed = cut(classes.select("id", "many", "x").mapInArrow(_place(centers, overlap, BUILD_OVERLAP), "dim int, shard int, home boolean, build boolean, id long, many long, v binary"))
+    placed = cut(classes.select("id", "many", "x").mapInArrow(_place(centers, overlap, build, margin), "dim int, shard int, home boolean, build boolean, id long, many long, v binary"))
     sizes = placed.groupBy("dim", "shard").agg(F.ceil(F.count(F.lit(1)) / PIECE).cast("int").alias("pieces"), F.ceil(F.greatest(F.count_if("home"), F.lit(1)) / PIECE).cast("int").alias("blocks"))
     placed = placed.join(F.broadcast(sizes), ["dim", "shard"])  # a row for each shard: MOST_SHARDS for each length of vectors
     placed = placed.withColumn("piece", F.pmod(F.xxhash64("id", F.lit(1)), F.col("pieces")).cast("int"))
@@ -370,4 +410,4 @@ def _found(classes: DataFrame, centers, overlap: int, threshold: float) -> DataF
     members = placed.join(united, "id").withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)"))).select("dim", "shard", "piece", "block", F.lit(False).alias("query"), "id", "many", "v", "near")
     asked = placed.where("home").withColumn("block", F.pmod(F.xxhash64("id", F.lit(2)), F.col("blocks")).cast("int")).withColumn("piece", F.explode(F.expr("sequence(0, pieces - 1)")))
     asked = asked.select("dim", "shard", "piece", "block", F.lit(True).alias("query"), "id", "many", "v", F.array().cast("array<long>").alias("near"))
-    return members.union(asked).groupBy("dim", "shard", "piece", "block").applyInArrow(_search(threshold), "id long, links long, root long")
+    return members.union(asked).groupBy("dim", "shard", "piece", "block").applyInArrow(_search(threshold, build), "id long, links long, root long")
