@@ -27,11 +27,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LONG_MIN, bounded_batches, mix, ranges, release, string_buffers, texts, written
+from .common import LONG_MIN, bounded_batches, mix, ranges, release, skewed_join, slices, string_buffers, texts, written
 
 LENGTH, GRAM, SHALLOW, HOT = 100, 24, 32, 4096
 MOST_HOT = 10_000  # so many hot anchors are told by a list, more by a join
@@ -346,22 +345,37 @@ def sorted_repeats(inside: DataFrame) -> DataFrame:
     return inside.repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(work, "rid long, s int, e int")
 
 
+def window_hashes(data: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of the bytes from each start on, from running sums over the whole."""
+    out = []
+    with np.errstate(over="ignore"):
+        for table, base in ((_R1, _B1), (_R2, _B2)):
+            h = _prefix(data, table, base)
+            out.append(mix((h[starts + length] - h[starts]) * _powers(_inverse(base), len(data) + 1)[starts]).view(np.int64))
+    return out[0], out[1]
+
+
 def hashed_repeats(inside: DataFrame) -> DataFrame:
-    """The same for anchors with very many segments: windows meet as 128-bit hashes in a minimum."""
+    """The same for anchors with very many segments: windows meet as 128-bit hashes in a minimum, hot windows in a broadcast."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for doc, rid, s, c in zip(*(b.column(x).to_pylist() for x in ("doc", "rid", "s", "content"))):
-                for k in range(len(c) - LENGTH + 1):
-                    h = xxhash.xxh3_128_intdigest(c[k : k + LENGTH])
-                    out.append(((h >> 64) - 2**63, (h & (2**64 - 1)) - 2**63, doc, rid, s + k))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 5, kinds)], ["w1", "w2", "doc", "rid", "s"])
-
-    w = inside.mapInArrow(work, "w1 long, w2 long, doc long, rid long, s int").withColumn("at", F.struct("doc", "s"))
-    firsts = w.groupBy("w1", "w2").agg(F.min("at").alias("first"), F.max("at").alias("last")).where("first <> last").drop("last")
-    return w.join(firsts, ["w1", "w2"]).where("at > first").select("rid", "s", (F.col("s") + LENGTH).alias("e"))
+            offsets, data = string_buffers(b.column("content"))
+            doc, rid, s = (b.column(c).to_numpy() for c in ("doc", "rid", "s"))
+            for i, j in slices(offsets, PIECE):
+                own = offsets[i : j + 1] - offsets[i]
+                n = np.diff(own) - LENGTH + 1
+                seg, starts = np.repeat(np.arange(j - i), n), ranges(own[:-1], n)
+                w1, w2 = window_hashes(data[offsets[i] : offsets[j]], starts)
+                at = s[i + seg] + starts - own[seg]
+                yield pa.RecordBatch.from_arrays([pa.array(w1), pa.array(w2), pa.array(doc[i + seg]), pa.array(rid[i + seg]), pa.array(at.astype(np.int32))], ["w1", "w2", "doc", "rid", "s"])
+
+    w = written(inside.select("doc", "rid", "s", "content").mapInArrow(work, "w1 long, w2 long, doc long, rid long, s int")).withColumn("at", F.struct("doc", "s"))
+    firsts = w.groupBy("w1", "w2").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.count(F.lit(1)).alias("many")).where("first <> last").drop("last")
+    later = skewed_join(w, firsts, ["w1", "w2"], w.count()).where("at > first")
+    # windows that follow one another are one range
+    run = F.col("s") - F.row_number().over(Window.partitionBy("doc", "rid").orderBy("s"))
+    return later.select("doc", "rid", "s").distinct().withColumn("run", run).groupBy("doc", "rid", "run").agg(F.min("s").alias("s"), (F.max("s") + LENGTH).alias("e")).select("rid", "s", "e")
 
 
 def repeats_removed(docs: DataFrame, with_text: bool = False) -> DataFrame:
