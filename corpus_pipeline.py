@@ -6,6 +6,12 @@ near      one document of each group of near duplicates (similarity of 0.8 or mo
 mix       documents are repeated until the expected tokens of the labelled domains match the targets;
           none is dropped, so rates are at least 1 and the total grows
 tokens    what is left is encoded, and decoded for control
+
+Defined cases, in every stage: null or empty texts have no language and go in the first; a null doc_id is kept
+and is never a near duplicate; null lang or source are values of their own; rows that share a doc_id are
+documents of their own, which mixing repeats alike; very long texts are worked on whole; other columns,
+whatever their names, are carried along up to the last stage; no documents give no rows, and without labels
+mixing repeats none.
 """
 
 from __future__ import annotations
