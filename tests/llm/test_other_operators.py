@@ -313,3 +313,24 @@ def test_pipeline(spark, docs, tmp_path):
     spark.createDataFrame([(i, i % 2, 0) for i in range(30)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     got = {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert got == set(range(34))  # no letters; nothing but a repeat; an exact and a near copy
+
+
+def test_pipeline_stages_with_odd_rows(spark, docs, tmp_path):
+    """Nulls, empty texts, shared ids and clashing columns pass every stage; empty tables give no rows."""
+    rng = random.Random(20)
+    texts = [tongue(rng, "en", 30) for _ in range(6)]
+    rows = [*enumerate(texts), (None, tongue(rng, "en", 30)), (7, None), (8, ""), (3, tongue(rng, "en", 30)), (9, "x\n" * 20_000 + texts[0])]
+    odd = docs(rows).withColumnsRenamed({"score": "runs", "row_": "did"}).withColumn("lang", F.when(F.col("doc_id") == 1, None).otherwise(F.col("lang")))
+    labels = spark.createDataFrame([(0, 1, 0), (1, 0, 0), (2, None, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    for name, table in (("some", odd), ("none", odd.limit(0))):
+        table.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        now = spark.read.parquet(f"{tmp_path}/{name}/documents.parquet")
+        for k, (stage, f) in enumerate(corpus_pipeline.STAGES):
+            now = f(spark, now, f"{tmp_path}/{name}")
+            if k < 4:
+                assert now.columns == odd.columns, stage
+            now.write.parquet(f"{tmp_path}/{name}/{stage}")
+            now = spark.read.parquet(f"{tmp_path}/{name}/{stage}")
+        ids = {r["doc_id"] for r in now.collect()}
+        assert ids == ({None, *range(6), 9} if name == "some" else set())
