@@ -6,9 +6,8 @@ hashes, the leftmost if tied and never a blank line's, as its fingerprint: equal
 same line, so a repeated run of WORDS words or more cannot be missed. A line of LINE_WORDS words or
 more that is shorter than a window is a fingerprint of its own, so that repeated boilerplate goes.
 
-One row is written for each selected position, with the runs that it anchors. Positions whose
-fingerprint occurs once are dropped, the others are joined on it. A match is then extended from the
-fingerprint both ways: to the window's ends, from there line by line to the right as far as the next
+A row is written for each run that a selected position anchors. Positions whose fingerprint occurs once
+are dropped, the others are joined on it. A match is then extended from the fingerprint both ways: to the window's ends, from there line by line to the right as far as the next
 window would reach, and to the left over blank lines; each extent is a 128-bit hash of its lines, and
 two positions match over the extents that they have in common. Of equal extents the first by
 (doc_id, line) stays, and the lines of all later ones go, overlaps counted once: a maximal repeated
@@ -43,7 +42,7 @@ WORDS = 10
 LINE_WORDS = 3
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
-RUN = "array<struct<start:int,stop:int,w1:long,w2:long>>"
+POSITIONS = "fp long, lead boolean, did long, rid long, start int, stop int, w1 long, w2 long"
 
 
 def fingerprints(data: np.ndarray, words: int = WORDS, line_words: int = LINE_WORDS) -> list[tuple[int, list[tuple[int, int, int, int]]]]:
@@ -95,28 +94,36 @@ def fingerprints(data: np.ndarray, words: int = WORDS, line_words: int = LINE_WO
 
 
 def positions(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(fp, did, rid, runs) of all selected positions of docs (did, rid, text)."""
+    """The runs of all selected positions of docs (did, rid, text), with their fingerprint; lead is set once for each position."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             offsets, data = string_buffers(b.column("text"))
-            rows = [(f, d, r, runs) for d, r, i, j in zip(b.column("did").to_pylist(), b.column("rid").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist()) for f, runs in fingerprints(data[i:j], words)]
-            fp, did, rid, runs = zip(*rows) if rows else [[]] * 4
-            flat = np.array([x for r in runs for x in r], np.int64).reshape(-1, 4)
-            fields = [pa.array(flat[:, k].astype(t)) for k, t in enumerate((np.int32, np.int32, np.int64, np.int64))]
-            bounds = pa.array(np.concatenate([[0], np.cumsum([len(r) for r in runs])]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (fp, did, rid)), pa.ListArray.from_arrays(bounds, pa.StructArray.from_arrays(fields, ["start", "stop", "w1", "w2"]))], ["fp", "did", "rid", "runs"])
+            did, rid = b.column("did").to_numpy(), b.column("rid").to_numpy()
+            fp, size, row, flat = [], [], [], []
+            for k, (i, j) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+                for f, runs in fingerprints(data[i:j], words):
+                    fp.append(f)
+                    size.append(len(runs))
+                    row.append(k)
+                    flat += runs
+            at = np.repeat(np.array(row, np.int64), size)
+            lead = np.zeros(len(flat), bool)
+            lead[np.cumsum(size, dtype=np.int64) - np.array(size, np.int64)] = True
+            runs = np.array(flat, np.int64).reshape(-1, 4)
+            cols = [np.repeat(np.array(fp, np.int64), size), lead, did[at], rid[at], runs[:, 0].astype(np.int32), runs[:, 1].astype(np.int32), runs[:, 2], runs[:, 3]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], [f.split()[0] for f in POSITIONS.split(", ")])
 
     bounded_batches(docs.sparkSession)
-    return docs.select("did", "rid", "text").mapInArrow(work, f"fp long, did long, rid long, runs {RUN}")
+    return docs.select("did", "rid", "text").mapInArrow(work, POSITIONS)
 
 
 def later_runs(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(did, rid, runs): the line ranges of each row of docs that equal an earlier one."""
     found = written(positions(docs, words))
-    shared = found.groupBy("fp").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
-    met = skewed_join(found, shared, ["fp"], found.count()).select("did", "rid", F.explode("runs").alias("run"))
-    met = written(met.select("did", "rid", "run.*").withColumn("at", F.struct("did", "start")))
+    shared = found.groupBy("fp").agg(F.count_if("lead").alias("n"), F.count(F.lit(1)).alias("many")).where("n > 1").drop("n")
+    met = written(skewed_join(found.drop("lead"), shared, ["fp"], found.count()).select("did", "rid", "start", "stop", "w1", "w2"))
+    met = met.withColumn("at", F.struct("did", "start"))
     firsts = met.groupBy("w1", "w2").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.count(F.lit(1)).alias("many")).where("first <> last").drop("last")
     later = skewed_join(met, firsts, ["w1", "w2"], met.count()).where("at > first")
     return later.groupBy("did", "rid").agg(F.collect_set(F.struct("start", "stop")).alias("runs"))
