@@ -130,7 +130,7 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def bands(classes: DataFrame) -> DataFrame:
-    """(key, band, doc_id) for each band that has a register in use."""
+    """(key, band, doc_id, n) for each band that has a register in use."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -140,10 +140,10 @@ def bands(classes: DataFrame) -> DataFrame:
             with np.errstate(over="ignore"):
                 key = mix((r.astype(np.uint64) * _PLACE[:ROWS]).sum(-1, dtype=np.uint64) + _PLACE[8] * np.arange(1, REGISTERS // ROWS + 1, dtype=np.uint64))
             used = (r > 0).any(-1)
-            ids = np.repeat(b.column("doc_id").to_numpy()[:, None], key.shape[1], 1)
-            yield pa.RecordBatch.from_arrays([pa.array(key[used].view(np.int64)), pa.array(np.nonzero(used)[1].astype(np.int32)), pa.array(ids[used])], ["key", "band", "doc_id"])
+            row, band = np.nonzero(used)
+            yield pa.RecordBatch.from_arrays([pa.array(key[used].view(np.int64)), pa.array(band.astype(np.int32)), pa.array(b.column("doc_id").to_numpy()[row]), pa.array(b.column("n").to_numpy()[row])], ["key", "band", "doc_id", "n"])
 
-    return classes.select("doc_id", "regs").mapInArrow(work, "key long, band int, doc_id long")
+    return classes.select("doc_id", "n", "regs").mapInArrow(work, "key long, band int, doc_id long, n long")
 
 
 def _by_band(regs: np.ndarray) -> np.ndarray:
@@ -196,7 +196,7 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: i
 
 
 def _block_links(members: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Confirmed links (a, b) between different components c within large groups (key, band, doc_id, c)."""
+    """Confirmed links (a, b) between different components c within large groups (key, band, doc_id, n, c)."""
 
     def work(key: tuple, t: pa.Table) -> pa.Table:
         i, j, band = key[2].as_py(), key[3].as_py(), t.column("band")[0].as_py()
@@ -218,13 +218,13 @@ def _block_links(members: DataFrame, classes: DataFrame, docs: DataFrame, percen
         pair = np.array(found, np.int64).reshape(-1, 2)
         return pa.table({"a": pair.min(1), "b": pair.max(1)})
 
-    full = cut(_sets(docs, members.select("doc_id").distinct()))
-    m = members.join(classes.select("doc_id", "n", "regs"), "doc_id")
-    by_component = m.groupBy("key", "c").agg(F.count(F.lit(1)).alias("k"), F.sum(F.col("n") * 8 + 2 * REGISTERS).alias("bytes"))
+    needed = members.select("doc_id").distinct()
+    full = cut(_sets(docs, needed).join(classes.select("doc_id", "regs"), "doc_id"))
+    by_component = members.groupBy("key", "c").agg(F.count(F.lit(1)).alias("k"), F.sum(F.col("n") * 8 + 2 * REGISTERS).alias("bytes"))
     blocks = lambda size: F.greatest(F.lit(1), F.ceil(size / BLOCK_BYTES)).cast("int")
     of_key = by_component.groupBy("key").agg(F.max(F.struct("k", "c", "bytes")).alias("top"), F.sum("bytes").alias("all"), F.sum("k").alias("many"))
     of_key = of_key.select("key", "many", F.col("top.c").alias("major"), blocks(F.col("top.bytes")).alias("majors"), blocks(F.col("all") - F.col("top.bytes")).alias("minors"))
-    m = skewed_join(m, of_key, ["key"], members.count()).withColumn("minor", (F.col("c") != F.col("major")).cast("int"))
+    m = skewed_join(members, of_key, ["key"], members.count()).withColumn("minor", (F.col("c") != F.col("major")).cast("int"))
     m = m.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.when(F.col("minor") == 1, F.col("minors")).otherwise(F.col("majors"))).cast("int"))
     cells = F.expr("""if(minor = 1,
         concat(transform(sequence(0, minors - 1), q -> struct(0 as kind, least(block, q) as i, greatest(block, q) as j)), transform(sequence(0, majors - 1), q -> struct(1 as kind, block as i, q as j))),
@@ -248,13 +248,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     shared = owned.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("doc_id")
     same = owned.join(shared, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     joined = cut(components(_confirmed(stars, classes, docs, percent).union(same)))
-    placed = keyed.join(joined, keyed.doc_id == joined.node, "left").select("key", "band", "doc_id", "many", F.coalesce("component", "doc_id").alias("c")).where("many > 2")
+    placed = keyed.join(joined, keyed.doc_id == joined.node, "left").select("key", "band", "doc_id", "n", "many", F.coalesce("component", "doc_id").alias("c")).where("many > 2")
     open_keys = placed.groupBy("key", "many").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("key", "many")
     rest = cut(skewed_join(placed.drop("many"), open_keys, ["key"], keyed.count()))
     if not rest.isEmpty():
         small = rest.where(F.col("many") <= SMALL)
         pairs = small.alias("p").join(small.alias("q"), F.expr("p.key = q.key and p.doc_id < q.doc_id and p.c <> q.c")).select(F.col("p.doc_id").alias("a"), F.col("q.doc_id").alias("b"))
-        large = rest.where(F.col("many") > SMALL).select("key", "band", "doc_id", "c")
+        large = rest.where(F.col("many") > SMALL).select("key", "band", "doc_id", "n", "c")
         more = _confirmed(pairs.distinct(), classes, docs, percent).union(_block_links(large, classes, docs, percent))
         # joins of components, on the graph of components
         of = joined.select("node", "component")
