@@ -5,6 +5,8 @@ loadings: (pid, gene, w); activity: (cell_id, pid, x) with a row for every cell
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .dependence import elbow
+from .ranks import percentiles, ranked
 
 BINS = 256
 
@@ -84,21 +87,24 @@ def _clip(c: Column, most: float) -> Column:
 SCALINGS = ("iqr", "clipped_robust_zscore", "clipped_raw_activity", "clipped_zscore", "curvature_clip", "subpop_trim", "robust_zscore", "robust_zscore_trimmed", "robust_zscore_symlog", "robust_zscore_symsqrt", "min_max", "quantile")
 
 
-def scaled_activity(a: DataFrame, how: str = "curvature_clip", sizes: DataFrame | None = None) -> DataFrame:
+def scaled_activity(a: DataFrame, how: str = "curvature_clip", sizes: DataFrame | None = None, n: int | None = None) -> DataFrame:
     """a with x scaled within each program over all cells; an unknown name leaves x as it is.
 
-    sizes: (pid, genes), for curvature_clip. A spread of 0 counts as 1.
+    sizes: (pid, genes), and n: the cells of each program at most, both for curvature_clip. A spread of 0 counts as 1. a is read
+    several times: give it as a table where it is dear.
     """
     x, p = F.col("x"), W.partitionBy("pid")
     attach = lambda *cols: a.join(F.broadcast(a.groupBy("pid").agg(*cols)), "pid")  # noqa: E731  a row for each program
     done = lambda df, c: df.select("cell_id", "pid", c.alias("x"))
-    quart = F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")
+    quart = None
+    if how in ("iqr", "clipped_robust_zscore", "robust_zscore", "robust_zscore_symlog", "robust_zscore_symsqrt"):
+        quart = a.join(F.broadcast(percentiles(a, "x", (0.25, 0.5, 0.75), ["pid"])), "pid")
     spread = _one(F.col("q")[2] - F.col("q")[0])
     robust = (x - F.col("q")[1]) / (spread / 1.349)
     if how == "iqr":
-        return done(attach(quart), (x - F.col("q")[0]) / spread)
+        return done(quart, (x - F.col("q")[0]) / spread)
     if how == "clipped_robust_zscore":
-        return done(attach(quart), _clip(robust, 5))
+        return done(quart, _clip(robust, 5))
     if how == "clipped_raw_activity":
         return done(a, _clip(x, 8))
     z = (x - F.col("mean")) / _one(F.col("std"))
@@ -107,7 +113,9 @@ def scaled_activity(a: DataFrame, how: str = "curvature_clip", sizes: DataFrame
         return done(attach(*moments), _clip(z, 5))
     if how == "curvature_clip":
         zs = attach(*moments, F.count(F.lit(1)).alias("n")).withColumn("z", z)
-        top = zs.withColumn("rank", F.row_number().over(p.orderBy(F.desc("z"), "cell_id"))).where(F.col("rank") <= F.ceil(F.col("n") * 0.01))
+        n = a.groupBy("pid").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] if n is None else n
+        # the literal limit is pushed below the shuffle
+        top = zs.withColumn("rank", F.row_number().over(p.orderBy(F.desc("z"), "cell_id"))).where(F.col("rank") <= math.ceil((n or 0) * 0.01)).where(F.col("rank") <= F.ceil(F.col("n") * 0.01))
         bend = elbow(top.select("pid", "rank", "z"), "pid", "z", 0.0)
         cap = top.join(F.broadcast(bend), "pid").where(F.col("rank") == F.col("elbow") + 1).select("pid", F.col("z").alias("cap"))
         capped = zs.join(F.broadcast(cap), "pid", "left").withColumn("z", F.coalesce(F.least("z", "cap"), "z"))
@@ -121,19 +129,21 @@ def scaled_activity(a: DataFrame, how: str = "curvature_clip", sizes: DataFrame
         cap = F.when(F.col("n") > 100, F.col("kth")).otherwise(F.col("hi"))
         return done(j, (F.least(x, cap) - F.col("lo")) / _one(cap - F.col("lo")))
     if how == "robust_zscore":
-        return done(attach(quart), robust)
+        return done(quart, robust)
     if how == "robust_zscore_trimmed":
-        d = attach(F.percentile("x", F.lit(0.5)).alias("med")).withColumn("d", F.abs(x - F.col("med")))
-        mad = d.groupBy("pid").agg(F.percentile("d", F.lit(0.5)).alias("mad"))
+        mid = percentiles(a, "x", (0.5,), ["pid"]).select("pid", F.col("q")[0].alias("med"))
+        mid = a.sparkSession.createDataFrame(mid.collect(), mid.schema)  # a row for each program
+        d = a.join(F.broadcast(mid), "pid").withColumn("d", F.abs(x - F.col("med")))
+        mad = percentiles(d, "d", (0.5,), ["pid"]).select("pid", F.col("q")[0].alias("mad"))
         return done(d.join(F.broadcast(mad), "pid"), _clip((x - F.col("med")) / _one(1.4826 * F.col("mad")), 8))
     if how == "robust_zscore_symlog":
-        return done(attach(quart), F.signum(robust) * F.log1p(F.abs(robust)))
+        return done(quart, F.signum(robust) * F.log1p(F.abs(robust)))
     if how == "robust_zscore_symsqrt":
-        return done(attach(quart), F.signum(robust) * F.sqrt(F.abs(robust)))
+        return done(quart, F.signum(robust) * F.sqrt(F.abs(robust)))
     if how == "min_max":
         return done(attach(low, F.max("x").alias("hi")), (x - F.col("lo")) / _one(F.col("hi") - F.col("lo")))
     if how == "quantile":
-        some = a.where("x <> 0").select("cell_id", "pid", (F.row_number().over(p.orderBy("x", "cell_id")) / (F.count(F.lit(1)).over(p) + 1)).alias("r"))
+        some = ranked(a.where("x <> 0"), "x", "cell_id", ["pid"]).select("cell_id", "pid", (F.col("rank") / (F.col("size_") + 1)).alias("r"))
         return a.join(some, ["cell_id", "pid"], "left").select("cell_id", "pid", F.coalesce("r", F.lit(0.0)).alias("x"))
     return a.select("cell_id", "pid", "x")
 
@@ -166,10 +176,27 @@ def program_counts(calls: DataFrame, loadings: DataFrame) -> DataFrame:
     return calls.groupBy("pid").agg(F.count_if("high").alias("n_high")).join(g, "pid")
 
 
+def with_calls(raw: DataFrame, scaled: DataFrame, nonzero_only: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(cell_id, pid, raw, x, high), x being scaled, and (pid, threshold): Otsu's threshold on x."""
+    t = otsu(scaled, nonzero_only)
+    both = raw.select("cell_id", "pid", F.col("x").alias("raw")).join(scaled, ["cell_id", "pid"])
+    return both.join(F.broadcast(t), "pid").select("cell_id", "pid", "raw", "x", (F.col("x") > F.col("threshold")).alias("high")), t
+
+
+def program_stats(calls: DataFrame, thresholds: DataFrame, loadings: DataFrame) -> DataFrame:
+    """(pid, threshold, n_high, G, G_total) of every program."""
+    return thresholds.join(program_counts(calls, loadings), "pid")
+
+
+def plotted(calls: DataFrame) -> DataFrame:
+    """(cell_id, pid, x): scaled activity where there is one, else raw."""
+    return calls.select("cell_id", "pid", F.coalesce("x", "raw").alias("x"))
+
+
 def program_activity(y: DataFrame, cells: DataFrame, n: int, loadings: DataFrame, how: str = "curvature_clip", weighting: str = "positive") -> tuple[DataFrame, DataFrame]:
     """Scaled weighted activity and co-expression scores, each with high calls."""
     raw = weighted(y, cells, loadings)
     sizes = loadings.groupBy("pid").agg(F.count(F.lit(1)).alias("genes"))
-    scaled = scaled_activity(raw, how, sizes)
+    scaled = scaled_activity(raw, how, sizes, n)
     tails = co_expression(y, cells, n, loadings, weighting)
     return high_calls(scaled, otsu(scaled)), high_calls(tails, otsu(tails, True))

@@ -40,6 +40,21 @@ def own_genes(listed: Column, genes: Column) -> Column:
     return F.when(F.upper(F.trim(listed)) == "NONE", F.array().cast("array<string>")).otherwise(names)
 
 
+def has_api_key(key: str | None) -> bool:
+    """Whether a key is a real one and no placeholder."""
+    return bool(key) and str(key).strip().startswith("sk-")
+
+
+def filled(template: str, weights: Column, types: list[str] | None = None) -> Column:
+    """A template with its fields {positively_loaded_genes}, {negatively_loaded_genes} and, where it has it, {cell_types} filled in, as lists of names."""
+    listed = lambda names: F.concat(F.lit("["), F.array_join(F.transform(names, lambda x: F.concat(F.lit("'"), x, F.lit("'"))), ", "), F.lit("]"))
+    genes = lambda keep: listed(F.array_sort(F.map_keys(F.map_filter(weights, keep))))
+    text = F.lit(template)
+    for field, value in (("positively_loaded_genes", genes(lambda _, w: w > 0)), ("negatively_loaded_genes", genes(lambda _, w: w < 0)), ("cell_types", listed(F.array(*map(F.lit, types or []))))):
+        text = F.replace(text, F.lit("{" + field + "}"), value)
+    return text
+
+
 def prompt(weights: Column, types: Column | None = None) -> Column:
     """The request for one program: genes of positive and of negative weight, by name, and cell types where given."""
     names = lambda keep: F.array_join(F.array_sort(F.map_keys(F.map_filter(weights, keep))), ", ")
@@ -59,15 +74,38 @@ def empty_summaries(programs: DataFrame) -> DataFrame:
     return programs.select(F.concat(F.lit("Program "), F.col("pid").cast("string")).alias("Program"), blank.alias("Title"), F.array_join("program", ", ").alias("Genes"), F.size("program").alias("Number of Genes"), blank.alias("Inconsistent Genes"), F.lit(0).alias("Number of Inconsistent Genes"), blank.alias("Summary"))
 
 
-def write_summaries(summaries: DataFrame, path: str) -> None:
-    summaries.write.mode("overwrite").csv(path, sep="$", quoteAll=True, header=True, escape='"', encoding="UTF-8")
+def summaries(loadings: DataFrame, ask, template: str | None = None, types: list[str] | None = None, concurrency: int = 3) -> DataFrame:
+    """The summary table of all programs of (pid, gene, w): each asked for once, its reply parsed, foreign genes left out."""
+    maps = loadings.groupBy("pid").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("gene", "w")))).alias("w"))
+    genes = F.array_sort(F.map_keys(F.map_filter("w", lambda _, w: w != 0)))
+    text = prompt(F.col("w"), F.lit(", ".join(types)) if types else None) if template is None else filled(template, F.col("w"), types)
+    asked = annotated(maps.select("pid", genes.alias("genes"), text.alias("prompt")), ask, concurrency)
+    r = asked.withColumns(reply_parts(F.col("reply"))).withColumn("bad", own_genes(F.col("inconsistent"), F.col("genes")))
+    columns = {"Program": F.concat(F.lit("Program "), F.col("pid").cast("string")), "Title": F.col("title"), "Genes": F.array_join("genes", ", "), "Number of Genes": F.size("genes"), "Inconsistent Genes": F.array_join("bad", ", "), "Number of Inconsistent Genes": F.size("bad"), "Summary": F.col("summary")}
+    return r.select(*(c.alias(n) for n, c in columns.items()))
+
+
+def csv_text(rows: DataFrame) -> str:
+    """All rows, one for each program, as text between dollar signs, every field quoted, after a byte order mark."""
+    quoted = lambda values: "$".join('"' + str(v).replace('"', '""') + '"' for v in values)
+    number = F.expr("try_cast(regexp_extract(Program, '([0-9]+)$', 1) as int)")
+    body = rows.orderBy(number, "Program").toLocalIterator()
+    return "\ufeff" + "\n".join([quoted(rows.columns), *(quoted(r) for r in body)])
+
+
+def write_summaries(rows: DataFrame, path: str) -> None:
+    """The table with genes under path/with_genes, and without them under path/no_genes; a program a row."""
+    for name, drop in (("with_genes", ()), ("no_genes", ("Genes", "Inconsistent Genes"))):
+        text = csv_text(rows.drop(*drop))
+        rows.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/{name}")
 
 
 def read_summaries(spark, path: str) -> DataFrame:
-    """Summaries with the program's number as pid."""
+    """Summaries with the program's number as pid. The program's column is the first whose name holds `program`, in any case."""
     df = spark.read.csv(path, sep="$", header=True, quote='"', escape='"', multiLine=True)
+    df = df.withColumnsRenamed({c: c.strip('\ufeff"') for c in df.columns})
     key = next(c for c in df.columns if "program" in c.lower())
-    return df.withColumn("pid", F.regexp_replace(key, "^﻿?Program ", "").cast("int"))
+    return df.withColumn("pid", F.regexp_replace(key, "^\ufeff?Program ", "").cast("int"))
 
 
 def overview(programs: DataFrame, summaries: DataFrame) -> DataFrame:
@@ -93,3 +131,29 @@ def markdown(rows: DataFrame) -> str:
     """A table of report rows, which are as many as programs."""
     head = f"| {' | '.join(rows.columns)} |\n|{'---|' * len(rows.columns)}"
     return "\n".join([head, *(f"| {' | '.join(map(str, r))} |" for r in rows.toLocalIterator())]) + "\n"
+
+
+def report(programs: DataFrame, rows: DataFrame, info: dict, activity: DataFrame | None = None) -> str:
+    """The whole report as Markdown: facts of the data, the overview, and a page for each program; programs are few.
+
+    programs: (pid, program); rows: read_summaries(); activity: quartiles (pid, cluster, q1, med, q3) for the pages.
+    """
+    found = {r["pid"]: r.asDict() for r in rows.toLocalIterator()}
+    listed = sorted(((r["pid"], r["program"]) for r in programs.select("pid", "program").toLocalIterator()))
+    sizes = sorted((len(g) for _, g in listed), reverse=True)
+    boxes: dict[int, list] = {}
+    for r in activity.orderBy("pid", "cluster").toLocalIterator() if activity is not None else ():
+        boxes.setdefault(r["pid"], []).append(f"| {r['cluster']} | {r['q1']:.4g} | {r['med']:.4g} | {r['q3']:.4g} |")
+    out = ["# Gene Program Analysis Report", "## Dataset Information", *(f"{k}: {v}" for k, v in info.items()), "## Program Summary", f"Number of Programs Found: {len(listed)}", f"Number of Unique Genes Covered: {len(set().union(*(g for _, g in listed)))}", f"Program Size Distribution: {sizes}", "## Programs Overview"]
+    short = rows.select("pid", F.col("Title").alias("title"), F.col("Number of Inconsistent Genes").alias("n_bad"))
+    out.append(markdown(overview(programs, short)))
+    for pid, genes in listed:
+        row = found.get(pid, {})
+        title, text = (row.get("Title") or "").strip(), (row.get("Summary") or "").strip()
+        out.append(f"## Program {pid}{': ' + title if title else ''} ({len(genes)} genes)")
+        out.append(f"Program Description: {text or 'No description available.'}")
+        if pid in boxes:
+            out += ["Program Activity Across Clusters:", "\n".join(["| cluster | q1 | median | q3 |", "|---|---|---|---|", *boxes[pid]])]
+        more = f" ... and {len(genes) - 100} more genes" if len(genes) > 100 else ""
+        out.append("Program Genes (First 100): " + ", ".join(genes[:100]) + more)
+    return "\n\n".join(out) + "\n"

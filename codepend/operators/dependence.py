@@ -123,6 +123,102 @@ def pairs(y: DataFrame, n: int) -> DataFrame:
     return _scores(s, m, n)
 
 
+#: Genes of a tile: a partition holds a tile pair's sums for 7 features, 7 TILE by 7 TILE doubles, while it adds up its cells.
+TILE, CELLS = 256, 512
+GRAM = "ti int, tj int, sums binary"
+
+
+def blocked_pairs(y: DataFrame, n: int, tile: int = TILE) -> DataFrame:
+    """The same as pairs(), for wide matrices: Gram matrices of tiles of genes instead of a row for each pair in each cell.
+
+    Genes are numbered, and a cell's genes gathered. Each task adds up, over its cells, the products of features and the
+    co-occurrences of all pairs of tiles that its cells touch, as dense products, and gives one row for a pair of tiles whenever
+    these take more than a bounded memory. So what is shuffled are sums of tiles, not pairs of cells.
+    """
+    f = features(y)
+    m = feature_moments(f, n)
+    axis = y.select("gene").distinct().select("gene", (F.row_number().over(W.orderBy("gene")) - 1).cast("int").alias("k"))  # a row for each gene
+    cell = y.join(F.broadcast(axis), "gene").groupBy("cell_id").agg(F.array_sort(F.collect_list(F.struct("k", "y"))).alias("g"))
+    width = ORDERS + 2  # the features, y, and whether the gene is there
+    most = max(1, (256 << 20) // (8 * (width * tile) ** 2 // 2))  # pairs of tiles held by a task
+    scale = [1 / math.sqrt(math.factorial(k)) for k in range(ORDERS)]
+
+    def work(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        held: dict[tuple[int, int], np.ndarray] = {}
+
+        def out():
+            for (i, j), s in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([j], pa.int32()), pa.array([s.tobytes()], pa.binary())], ["ti", "tj", "sums"])
+            held.clear()
+
+        for b in batches:
+            col = b.column("g")
+            for at in range(0, len(col), CELLS):
+                part = col.slice(at, CELLS)
+                flat = part.flatten()
+                row = np.repeat(np.arange(len(part)), np.diff(part.offsets.to_numpy()))
+                k, v = flat.field("k").to_numpy(), flat.field("y").to_numpy()
+                blocks = {}
+                for t in np.unique(k // tile).tolist():
+                    own = k // tile == t
+                    r, c, x = row[own], k[own] - t * tile, v[own]
+                    dense = np.zeros((len(part), width, tile))
+                    decay = np.exp(-x * x / 2)
+                    for o in range(ORDERS):
+                        dense[r, o, c] = x**o * scale[o] * decay - (o == 0)
+                    dense[r, ORDERS, c] = x
+                    dense[r, ORDERS + 1, c] = 1.0
+                    blocks[t] = dense
+                for i in blocks:
+                    left = blocks[i][:, :ORDERS].reshape(len(part), -1)
+                    for j in blocks:
+                        if i <= j:
+                            if (i, j) not in held:
+                                if len(held) >= most:
+                                    yield from out()
+                                held[i, j] = np.zeros((ORDERS * ORDERS + 2, tile, tile))
+                            s = held[i, j]
+                            right = blocks[j][:, :ORDERS].reshape(len(part), -1)
+                            s[:-2] += (left.T @ right).reshape(ORDERS, tile, ORDERS, tile).transpose(0, 2, 1, 3).reshape(-1, tile, tile)
+                            for o in (0, 1):
+                                s[-1 - o] += blocks[i][:, ORDERS + 1 - o].T @ blocks[j][:, ORDERS + 1 - o]
+        yield from out()
+
+    def add(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        key, s = None, None
+
+        def rows():
+            i, j = np.nonzero(s[-1] > 0)
+            g1, g2 = key[0] * tile + i, key[1] * tile + j
+            up = g1 < g2
+            i, j, g1, g2 = i[up], j[up], g1[up], g2[up]
+            cols = [pa.array(g1.astype(np.int32)), pa.array(g2.astype(np.int32)), pa.array(np.rint(s[-1][i, j]).astype(np.int64)), *(pa.array(s[x][i, j]) for x in range(ORDERS * ORDERS)), pa.array(s[-2][i, j])]
+            for at in range(0, max(1, len(i)), 8192):
+                yield pa.RecordBatch.from_arrays([c.slice(at, 8192) for c in cols], ["k1", "k2", "cooc", *(f"s{a}{b}" for a in range(ORDERS) for b in range(ORDERS)), "sy"])
+
+        for b in batches:
+            for ti, tj, raw in zip(b.column("ti").to_pylist(), b.column("tj").to_pylist(), b.column("sums")):
+                new = np.frombuffer(raw.as_buffer(), np.float64).reshape(-1, tile, tile)
+                if key != (ti, tj):
+                    if key is not None:
+                        yield from rows()
+                    key, s = (ti, tj), np.zeros(new.shape)
+                s += new
+        if key is not None:
+            yield from rows()
+
+    schema = "k1 int, k2 int, cooc long, " + ", ".join(f"s{i}{k} double" for i in range(ORDERS) for k in range(ORDERS)) + ", sy double"
+    sums = cell.select("g").mapInArrow(work, GRAM).repartition("ti", "tj").sortWithinPartitions("ti", "tj").mapInArrow(add, schema)
+    a, b = (F.broadcast(axis.select(F.col("gene").alias(g), F.col("k").alias(k))) for g, k in (("g1", "k1"), ("g2", "k2")))
+    return _scores(sums.join(a, "k1").join(b, "k2").drop("k1", "k2"), m, n)
+
+
 def _scores(s: DataFrame, m: DataFrame, n: int) -> DataFrame:
     a = m.select(*(F.col(c).alias(f"a_{c}") for c in m.columns))
     b = m.select(*(F.col(c).alias(f"b_{c}") for c in m.columns))
@@ -156,6 +252,29 @@ def truncated(ids: Column) -> Column:
 
 
 def weights(cells: DataFrame) -> DataFrame:
-    """cells with N / n_c of their type."""
-    n = F.count(F.lit(1)).over(W.partitionBy("cell_type"))
-    return cells.withColumn("weight", F.lit(1.0) * F.count(F.lit(1)).over(W.partitionBy()) / n)
+    """cells with N / n_c of their type: all types weigh the same together."""
+    per = cells.groupBy("cell_type").agg(F.count(F.lit(1)).alias("n_"))
+    total = cells.agg(F.count(F.lit(1)).alias("all_"))
+    w = per.join(F.broadcast(total)).select(F.col("cell_type").alias("t_"), (F.col("all_") / F.col("n_")).alias("weight"))  # a row for each type
+    return cells.join(F.broadcast(w), cells.cell_type.eqNullSafe(F.col("t_"))).drop("t_")
+
+
+def weighted_moments(values: DataFrame, cells: DataFrame, value: str = "p") -> DataFrame:
+    """(gene, mean, var) over all cells by their weights (cell_id, weight), absent values as zeros."""
+    total = cells.agg(F.sum("weight").alias("w_"))
+    v = F.col(value)
+    s = values.join(cells.select("cell_id", "weight"), "cell_id").groupBy("gene").agg(F.sum(F.col("weight") * v).alias("s_"), F.sum(F.col("weight") * v * v).alias("q_"))
+    mean = F.col("s_") / F.col("w_")
+    return s.join(F.broadcast(total)).select("gene", mean.alias("mean"), F.greatest(F.col("q_") / F.col("w_") - mean * mean, F.lit(0.0)).alias("var"))
+
+
+def weighted_covariances(values: DataFrame, cells: DataFrame, value: str = "p") -> DataFrame:
+    """(g1, g2, cov) over all cells by their weights, for pairs that share a cell; sums are combined before the shuffle by pair."""
+    m = weighted_moments(values, cells, value).select("gene", "mean")
+    total = cells.agg(F.sum("weight").alias("w_"))
+    cell = values.groupBy("cell_id").agg(F.array_sort(F.collect_list(F.struct("gene", F.col(value).alias("v")))).alias("g")).join(cells.select("cell_id", "weight"), "cell_id")
+    left = cell.select("g", "weight", F.posexplode("g").alias("i", "a"))
+    both = left.select("a", "weight", F.explode(F.slice("g", F.col("i") + 2, F.size("g"))).alias("b"))
+    s = both.groupBy(F.col("a.gene").alias("g1"), F.col("b.gene").alias("g2")).agg(F.sum(F.col("weight") * F.col("a.v") * F.col("b.v")).alias("s_"))
+    a, b = (F.broadcast(m.select(F.col("gene").alias(g), F.col("mean").alias(f"m_{g}"))) for g in ("g1", "g2"))  # a row for each gene
+    return s.join(a, "g1").join(b, "g2").join(F.broadcast(total)).select("g1", "g2", (F.col("s_") / F.col("w_") - F.col("m_g1") * F.col("m_g2")).alias("cov"))

@@ -68,12 +68,32 @@ def containments(groups: DataFrame, least: float = 0.7) -> DataFrame:
 
 
 def metrics(groups: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row: programs, slots, unique genes, overlap ratio, greatest Jaccard similarity, median internal density."""
+    """One row: programs, their sizes, slots, unique genes and their share, overlap ratio, greatest Jaccard similarity with its pair, median internal density."""
     sizes = groups.agg(F.count(F.lit(1)).alias("program_count"), F.sum(F.size("genes")).alias("slots"))
     unique = members(groups).agg(F.countDistinct("gene").alias("unique_genes"))
     size = groups.select("gid", F.size("genes").alias("s"))
     j = shared_genes(groups).join(size.select(F.col("gid").alias("i"), F.col("s").alias("si")), "i").join(size.select(F.col("gid").alias("j"), F.col("s").alias("sj")), "j")
-    most = j.agg(F.round(F.coalesce(F.max(F.col("n") / (F.col("si") + F.col("sj") - F.col("n"))), F.lit(0.0)), 4).alias("max_jaccard"))
+    part = (F.col("n") / (F.col("si") + F.col("sj") - F.col("n"))).alias("p")
+    best = F.min(F.struct((-F.round(part, 9)).alias("p"), "i", "j"))  # the first pair, if tied
+    most = j.agg(best.alias("b")).select(F.round(F.coalesce(-F.col("b.p"), F.lit(0.0)), 4).alias("max_jaccard"), F.col("b.i").alias("max_i"), F.col("b.j").alias("max_j"))
     dense = internal_density(groups, edges).agg(F.percentile("density", F.lit(0.5)).alias("median_density"))
-    one = sizes.join(F.broadcast(unique)).join(F.broadcast(most)).join(F.broadcast(dense))  # single rows
-    return one.withColumn("overlap_ratio", F.round(F.col("slots") / F.col("unique_genes"), 3))
+    whole = edges.agg(F.countDistinct("a").alias("all_"))
+    own = groups.agg(F.sort_array(F.collect_list(F.size("genes")), asc=False).alias("program_sizes"))  # a number for each program
+    one = sizes.join(F.broadcast(unique)).join(F.broadcast(most)).join(F.broadcast(dense)).join(F.broadcast(whole)).join(F.broadcast(own))  # single rows
+    share = F.round(F.try_divide(F.col("unique_genes"), F.col("all_")), 4)
+    return one.withColumns({"overlap_ratio": F.round(F.col("slots") / F.col("unique_genes"), 3), "gene_coverage": share}).drop("all_")
+
+
+def clique_graph(cliques: DataFrame, edges: DataFrame) -> tuple[list[list[str]], dict[tuple[int, int], float]]:
+    """The maximal cliques, largest first, and the densities between them where above 0; only these reach the driver.
+
+    cliques: a column genes. Subsets and densities are found by joins on genes.
+    """
+    numbered = maximal_groups(cliques.select(F.concat_ws("\x1f", F.array_sort("genes")).alias("gid"), "genes"))
+    rows = sorted(((r["genes"], r["gid"]) for r in numbered.toLocalIterator()), key=lambda r: (-len(r[0]), r[0]))
+    at = {gid: k for k, (_, gid) in enumerate(rows)}
+    weights = {}
+    for r in densities(numbered, edges).toLocalIterator():
+        i, j = sorted((at[r["i"]], at[r["j"]]))
+        weights[i, j] = r["density"]
+    return [g for g, _ in rows], weights

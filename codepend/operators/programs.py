@@ -1,7 +1,8 @@
 """Programs from the significance graph: clique peeling, communities, growth, splitting and merging.
 
-Peeling is parallel over seeds. What follows works on the graph of cliques, on the driver: its size is
-that of the distinct cliques, not of the data. Graphs are dicts from a gene to the set of its neighbours.
+Peeling is parallel over seeds; cliques without subsets, and densities between them, are relations
+(operators.graph). What follows works on the graph of the maximal cliques, on the driver: its size is
+that of these cliques, not of the data. Graphs are dicts from a gene to the set of its neighbours.
 """
 
 from __future__ import annotations
@@ -190,17 +191,24 @@ def extract(graph: Graph, pool: set[str], least: int = 5) -> dict:
     return {"core": core, "cliques": [{"genes": c, "size": len(c), "density": inner_density(graph, c), "periphery": around(c)} for c in cliques if c], "penumbra": sorted(left)}
 
 
+#: The density that genes added in the first round of growth keep among themselves, whatever the setting of growth.
+ADDED_DENSITY = 0.9
+
+
 def grow(graph: Graph, clique: list[str], penumbra: list[str], near: float = 0.9) -> list[str]:
-    """The clique with well-connected genes: of the penumbra while these stay dense, then of all."""
+    """The clique with genes of its community's penumbra that are connected to more than `near` of it.
+
+    First the best connected, as long as those added are dense among themselves; then all that are
+    connected to what has come out of that.
+    """
     base, added = set(clique), []
     wanted = sorted((g for g in penumbra if g not in base and connectivity(graph, g, base) > near), key=lambda g: -connectivity(graph, g, base))
     for g in wanted:
-        trial = [*added, g]
-        if len(trial) > 1 and inner_density(graph, trial) < near:
+        if added and inner_density(graph, [*added, g]) < ADDED_DENSITY:
             break
-        added = trial
+        added.append(g)
     whole = base | set(added)
-    return sorted(whole | {g for g in graph if g not in whole and connectivity(graph, g, whole) > near})
+    return sorted(whole | {g for g in penumbra if g not in whole and connectivity(graph, g, whole) > near})
 
 
 def prune(graph: Graph, groups: list[list[str]], cluster: list[int], least: float = 0.5) -> list[list[int]]:
@@ -214,23 +222,29 @@ def prune(graph: Graph, groups: list[list[str]], cluster: list[int], least: floa
     return [left, *out]
 
 
-def split(graph: Graph, program: tuple[list[str], set[str]], least: int = 5) -> list[tuple[list[str], set[str]]]:
-    """Cliques that are badly connected to the rest become programs of their own; all keep the periphery."""
+def cover(graph: Graph, genes: Iterable[str]) -> list[list[str]]:
+    """Largest cliques, one after another without the members of those before, until no gene is left; the first by name wins."""
+    left, out = set(genes), []
+    while left:
+        out.append(maximum_cliques(graph, left)[0])
+        left -= set(out[-1])
+    return out
+
+
+def split(graph: Graph, program: tuple[list[str], set[str]], least: int = 5, connected: float = 0.5) -> list[tuple[list[str], set[str]]]:
+    """What is left, if anything, and then the cliques that are badly connected to all other genes of the program; all keep the periphery."""
     genes, periphery = program
-    if len(genes) < least:
+    cliques = cover(graph, genes) if len(genes) >= least else []
+    if len(cliques) < 2:
         return [program]
-    cover, left = [], set(genes)
-    while left:
-        c = maximum_cliques(graph, left)[0]
-        cover.append(c)
-        left -= set(c)
-    rest, out = set(genes), []
-    for c in cover:
-        others = rest - set(c)
-        if others and len(c) > least and density_of(graph, c, others) < 0.5:
-            out.append((c, periphery))
-            rest = others
-    return [(sorted(rest), periphery), *out]
+    off = [c for c in cliques if len(c) > least and density_of(graph, c, set(genes) - set(c)) < connected]
+    kept = sorted(g for c in cliques if c not in off for g in c)
+    return [(kept, periphery)] * bool(kept) + [(c, periphery) for c in off]
+
+
+def heat_order(graph: Graph, programs: list[list[str]]) -> list[tuple[int, str]]:
+    """(program, gene) in the order of a block-diagonal picture: each program's genes by its cover."""
+    return [(k, g) for k, p in enumerate(programs) for c in cover(graph, [g for g in p if g in graph]) for g in c]
 
 
 def ordered(programs: list[tuple[list[str], set[str]]]) -> list[tuple[list[str], set[str]]]:
@@ -254,46 +268,66 @@ def merge_dense(graph: Graph, programs: list[tuple[list[str], set[str]]], more_t
 
 
 def merge_contained(programs: list[tuple[list[str], set[str]]], more_than: float = 0.7) -> list[tuple[list[str], set[str]]]:
-    """Merge pairs that share more than that part of the smaller one, in place of the first, until none is left."""
+    """Merge the pair that shares the greatest part of its smaller one, the first if tied, in place of its first, while that part is above the limit."""
     programs = list(programs)
-
-    def next_pair() -> tuple[int, int] | None:
+    while True:
+        best, pair = more_than, None
         for i, (a, _) in enumerate(programs):
             for j in range(i + 1, len(programs)):
                 b = programs[j][0]
-                if len(set(a) & set(b)) > more_than * min(len(a), len(b)):
-                    return i, j
-        return None
-
-    while (pair := next_pair()) is not None:
+                part = len(set(a) & set(b)) / min(len(a), len(b)) if a and b else 0.0
+                if part > best:
+                    best, pair = part, (i, j)
+        if pair is None:
+            return ordered(programs)
         i, j = pair
         programs[i] = _union(programs[i], programs[j])
         del programs[j]
-    return ordered(programs)
 
 
-def find_programs(graph: Graph, cliques: list[list[str]], least: int = 5, near: float = 0.9, resolution: float = 1.0, containment: float = 0.7) -> list[dict]:
-    """Programs and their peripheries from all peeled cliques."""
-    sets = sorted({tuple(c) for c in cliques}, key=lambda c: (-len(c), c))
-    groups = [list(c) for c in sets if not any(len(d) > len(c) and set(c) < set(d) for d in sets)]
+def stage_two(graph: Graph, groups: list[list[str]], weights: dict[tuple[int, int], float], least: int = 5, resolution: float = 1.0) -> list[dict]:
+    """Bridge-free communities of cliques with their cores, cliques and penumbras, the largest union first."""
+    out = []
+    for k, c in enumerate(communities(len(groups), without_bridges(len(groups), weights), resolution)):
+        pool = set().union(*(groups[i] for i in c))
+        if len(pool) > 1:
+            out.append({"community": k, **extract(graph, pool, least), "total_size": len(pool), "full_density": inner_density(graph, pool), "num_input_cliques": len(c)})
+    return sorted(out, key=lambda s: -s["total_size"])
+
+
+def stage_three(graph: Graph, stage2: list[dict], least: int = 5, near: float = 0.9, containment: float = 0.7) -> list[tuple[list[str], set[str]]]:
+    """Programs and their peripheries: grown, clustered and pruned, split, merged."""
+    grown = [(grow(graph, c["genes"], s["penumbra"], near), set(c["periphery"])) for s in stage2 for c in s["cliques"]]
+    grown = ordered(grown)
+    groups = [g for g, _ in grown]
+    parts = [p for c in communities(len(groups), weights_of(graph, groups), 2.0) for p in prune(graph, groups, c)]
+    programs = ordered([(sorted(set().union(*(groups[i] for i in p))), set().union(*(grown[i][1] for i in p))) for p in parts])
+    programs = ordered([q for p in programs for q in split(graph, p, least)])
+    return merge_contained(merge_dense(graph, programs), containment)
+
+
+def find_programs(graph: Graph, cliques: list[list[str]], least: int = 5, near: float = 0.9, resolution: float = 1.0, containment: float = 0.7, weights: dict[tuple[int, int], float] | None = None) -> list[dict]:
+    """Programs and their peripheries from all peeled cliques; weights: densities between them, if these are maximal and in order already."""
+    groups = cliques
+    if weights is None:
+        sets = sorted({tuple(c) for c in cliques}, key=lambda c: (-len(c), c))
+        groups = [list(c) for c in sets if not any(len(d) > len(c) and set(c) < set(d) for d in sets)]
+        weights = weights_of(graph, groups)
     if not groups:
         return []
-    stage2 = [extract(graph, set().union(*(groups[i] for i in c)), least) for c in communities(len(groups), without_bridges(len(groups), weights_of(graph, groups)), resolution)]
-    grown, around = [], []
-    for s in stage2:
-        for c in s["cliques"]:
-            grown.append(grow(graph, c["genes"], s["penumbra"], near))
-            around.append(set(c["periphery"]))
-    parts = [p for c in communities(len(grown), weights_of(graph, grown), 2.0) for p in prune(graph, grown, c)]
-    programs = [(sorted(set().union(*(grown[i] for i in p))), set().union(*(around[i] for i in p))) for p in parts]
-    programs = ordered([q for p in programs for q in split(graph, p, least)])
-    programs = merge_contained(merge_dense(graph, programs), containment)
-    return [{"program": g, "periphery": sorted(around_ - set(g))} for g, around_ in programs if len(g) >= least]
+    programs = stage_three(graph, stage_two(graph, groups, weights, least, resolution), least, near, containment)
+    return [{"program": g, "periphery": sorted(around - set(g))} for g, around in programs if len(g) >= least]
 
 
 def evaluate(graph: Graph, programs: list[dict]) -> dict:
     """The figures by which programs are judged."""
     genes = [p["program"] for p in programs]
     slots, unique = sum(map(len, genes)), len(set().union(*genes)) if genes else 0
-    jaccard = [len(set(a) & set(b)) / len(set(a) | set(b)) for i, a in enumerate(genes) for b in genes[:i]]
-    return {"program_count": len(genes), "slots": slots, "unique_genes": unique, "overlap_ratio": round(slots / unique, 3) if unique else 0.0, "max_jaccard": round(max(jaccard, default=0.0), 4), "median_density": median(inner_density(graph, g) for g in genes) if genes else float("nan")}
+    jaccard, pair = 0.0, [-1, -1]
+    for i, a in enumerate(genes):
+        for j in range(i + 1, len(genes)):
+            part = len(set(a) & set(genes[j])) / len(set(a) | set(genes[j]))
+            if part > jaccard:
+                jaccard, pair = part, [i, j]
+    dense = [inner_density(graph, g) for g in genes if len(g) > 1]
+    return {"program_count": len(genes), "slots": slots, "unique_genes": unique, "overlap_ratio": round(slots / unique, 3) if unique else 0.0, "max_jaccard": round(jaccard, 4), "max_jaccard_pair": pair, "median_density": median(dense) if dense else float("nan"), "gene_coverage": round(unique / len(graph), 4) if graph else 0.0, "program_sizes": sorted(map(len, genes), reverse=True)}

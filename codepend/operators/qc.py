@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from ..sources.tables import Matrix
+from .ranks import percentiles, ranked, shares_from_above
 
 
 def marker(prefix: str) -> Column:
@@ -23,7 +25,8 @@ def cell_metrics(m: Matrix, prefix: str) -> DataFrame:
 
 def thresholds(metrics: DataFrame, nonzero_pct: float = 1, ratio_pct: float = 99) -> DataFrame:
     """One row: interpolated percentiles over all cells."""
-    return metrics.agg(F.percentile("nonzero", F.lit(nonzero_pct / 100)).alias("least_nonzero"), F.percentile("ratio", F.lit(ratio_pct / 100)).alias("most_ratio"))
+    q = lambda c, pct, name: percentiles(metrics, F.col(c).cast("double"), [pct / 100]).select(F.col("q")[0].alias(name))
+    return q("nonzero", nonzero_pct, "least_nonzero").join(F.broadcast(q("ratio", ratio_pct, "most_ratio")))
 
 
 def judged(metrics: DataFrame, limits: DataFrame, most_total: float = 30_000) -> DataFrame:
@@ -50,10 +53,8 @@ def histogram(values: DataFrame, column: str, bins: int = 30) -> DataFrame:
 
 
 def survival(values: DataFrame, column: str) -> DataFrame:
-    """(value, share of values at or above it), once for each value; counts first, so that the window sees distinct values only."""
-    c = values.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("k"))
-    above = F.sum("k").over(W.orderBy(F.desc("value")))
-    return c.select("value", (above / F.sum("k").over(W.partitionBy())).alias("share"))
+    """(value, share of values at or above it), once for each value."""
+    return shares_from_above(values, column)
 
 
 def of_types(cells: DataFrame, types: list[str]) -> DataFrame:
@@ -93,13 +94,20 @@ def gene_axis(counts: DataFrame) -> DataFrame:
 
 
 def chunked(cells: DataFrame, source: str, size: int = 100_000) -> DataFrame:
-    """chunk_id from 1 on, at most `size` consecutive cells of one source each, by source and cell_id.
+    """chunk_id from 1 on, at most `size` consecutive cells of one source each, by source and cell_id; a chunk never spans sources.
 
-    Row numbers come from counts of range partitions, not from one global window: within a source
-    cells are numbered by a window over that source's own rows only.
+    Numbered cells are ranked by ranges, so no task sees all cells of a source; names are ranked by a window over their source.
     """
-    inside = F.row_number().over(W.partitionBy(source).orderBy("cell_id")) - 1
-    local = cells.withColumn("local_", F.floor(inside / size).cast("int"))
-    per = local.groupBy(source).agg((F.max("local_") + 1).alias("chunks_"))
-    first = per.select(source, (F.sum("chunks_").over(W.orderBy(source)) - F.col("chunks_")).alias("before_"))
-    return local.join(F.broadcast(first), source).withColumn("chunk_id", (F.col("before_") + F.col("local_") + 1).cast("int")).drop("local_", "before_")
+    if isinstance(cells.schema["cell_id"].dataType, NumericType):
+        local = ranked(cells, "cell_id", "cell_id", [source], "place_").drop("size_")
+    else:
+        local = cells.withColumn("place_", F.row_number().over(W.partitionBy(source).orderBy("cell_id")))
+    local = local.withColumn("local_", F.floor((F.col("place_") - 1) / size).cast("int")).drop("place_")
+    per = cells.groupBy(source).agg(F.ceil(F.count(F.lit(1)) / size).alias("chunks_"))
+    first = per.select(source, (F.sum("chunks_").over(W.orderBy(source)) - F.col("chunks_")).alias("before_"))  # a row for each source
+    return local.join(F.broadcast(first), source).withColumn("chunk_id", (F.col("before_") + F.col("local_") + 1).cast("int")).select(*cells.columns, "chunk_id")
+
+
+def working_name(types: list[str], given: str | None = None) -> str:
+    """The name of the folder of a selection."""
+    return given or "_".join(types) or "all"

@@ -106,6 +106,19 @@ def fits(both: DataFrame, value: str = "ids") -> DataFrame:
     return lists.mapInPandas(work, FIT)
 
 
+def quantile_vectors(both: DataFrame, value: str = "ids", below: float = 0.0, above: float = 0.0, k: int = 200) -> DataFrame:
+    """(gene, q): k evenly spaced, interpolated quantiles of each gene's positive values, without that percentage of them below and above (two stay)."""
+    v = both.where(F.col(value) > 0).groupBy("gene").agg(F.sort_array(F.collect_list(value)).alias("v"))  # a gene has at most as many as there are genes
+    m = F.size("v")
+    low, high = F.ceil(m * below / 100).cast("int"), F.ceil(m * above / 100).cast("int")
+    few = m - low - high < 2
+    v = v.withColumn("v", F.when(few, F.col("v")).otherwise(F.slice("v", low + 1, m - low - high)))
+    at = lambda i: i / float(k - 1) * (F.size("v") - 1)
+    pick = lambda i: F.element_at("v", i.cast("int") + 1)
+    q = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: pick(F.floor(at(i))) + (at(i) - F.floor(at(i))) * (pick(F.ceil(at(i))) - pick(F.floor(at(i)))))
+    return v.select("gene", q.alias("q"))
+
+
 def p_values(both: DataFrame, fitted: DataFrame, value: str = "ids") -> DataFrame:
     """(gene, neighbor, p): upper tails of all values, under their gene's fit."""
 
@@ -154,6 +167,6 @@ def without_keywords(genes: DataFrame, words: tuple[str, ...] = ("RPL", "RPS", "
 
 def significance(pairs: DataFrame, cooc: int = 100, least: int = 100, alpha: float = 0.05) -> DataFrame:
     """Fit records with hit lists, for all genes with enough evidence."""
-    both = observed(mirrored(with_evidence(pairs, cooc)), least).persist()  # read by the fit and by the p-values
+    both = observed(mirrored(with_evidence(pairs, cooc)), least)
     fitted = fits(both)
     return fitted.join(hit_lists(false_discovery(p_values(both, fitted), alpha)), "gene")

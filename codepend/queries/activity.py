@@ -4,6 +4,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import activity as act
+from ..operators import layout as lay
 from ..registry import query
 from ..sources.tables import customer_brand
 from .common import Y, customer_p, customer_pairs, customer_y, rounded, sql
@@ -126,11 +127,63 @@ def t06a(spark, d):
     return rounded(act.co_expression(y.withColumn("y", F.round("y", 6)), m.cells, n, _loadings(spark, d), "allgenes"))
 
 
-@query("h08_scaled_high_calls")
+_SCALED = _CURVE.replace("r as (select cell_id, zs.pid", "zx as (select cell_id, zs.pid") + ", sc as (select cell_id, pid, round(x, 4) + 0.0 as x from zx)," + OTSU.replace("from act ", "from sc ")
+
+
+@query("h08_scaled_high_calls", sql(_SCALED + ", r as (select sc.cell_id, sc.pid, act.x as raw, sc.x, sc.x > threshold as high from sc join thr on sc.pid = thr.pid join act on act.cell_id = sc.cell_id and act.pid = sc.pid)", "raw x", "cell_id pid high"))
 def h08(spark, d):
-    """Projection, scaling, threshold and calls in one."""
-    m, y, n = customer_y(spark, d)
-    return act.program_activity(y, m.cells, n, _loadings(spark, d))[0]
+    """Projection, scaling, threshold and calls in one, raw values beside the scaled ones."""
+    raw = _activity(spark, d)
+    sizes = _loadings(spark, d).groupBy("pid").agg(F.count(F.lit(1)).alias("genes"))
+    calls, _ = act.with_calls(raw, rounded(act.scaled_activity(raw, "curvature_clip", sizes), 4))
+    return rounded(calls)
+
+
+@query("t01_eigen_residuals", sql(LOAD + ", r as (select pid, 0e0 as residual, 1e0 as norm, true as turned from load group by pid)", "residual norm", "pid turned"))
+def t01r(spark, d):
+    """How far A v is from its own multiple of v, the length of v, and whether half of its weights or more are positive."""
+    pairs, load = customer_pairs(spark, d), _loadings(spark, d).select("pid", "gene")
+    v = act.eigen_loadings(pairs, load).select("pid", "gene", "w").cache()
+    a, b = v.select("pid", F.col("gene").alias("g1"), F.col("w").alias("w1")), v.select("pid", F.col("gene").alias("g2"), F.col("w").alias("w2"))
+    inside = pairs.select("g1", "g2", (F.signum("corr") * F.col("ids")).alias("m")).join(a, "g1").join(b, ["pid", "g2"])
+    parts = inside.select("pid", F.col("g1").alias("gene"), (F.col("m") * F.col("w2")).alias("x")).union(inside.select("pid", "g2", F.col("m") * F.col("w1"))).union(v)
+    av = parts.groupBy("pid", "gene").agg(F.sum("x").alias("av")).join(v, ["pid", "gene"])
+    value = av.groupBy("pid").agg(F.sum(F.col("av") * F.col("w")).alias("l"), F.sum(F.col("w") * F.col("w")).alias("norm"), (2 * F.count_if(F.col("w") > 0) >= F.count(F.lit(1))).alias("turned"))
+    return rounded(av.join(F.broadcast(value), "pid").groupBy("pid", "norm", "turned").agg(F.max(F.abs(F.col("av") - F.col("l") * F.col("w"))).alias("residual")))
+
+
+@query("h09_plotted_activity", sql(ACT + ", r as (select cell_id, pid, case when pid = 1 then x else 2 * x end as x from act)", "x", "cell_id pid"))
+def h09(spark, d):
+    """Scaled values where there are any, else raw ones: program 1 has none."""
+    raw = _activity(spark, d)
+    calls = raw.select("cell_id", "pid", F.col("x").alias("raw"), F.when(F.col("pid") != 1, 2 * F.col("x")).alias("x"))
+    return rounded(act.plotted(calls))
+
+
+@query("e01_nearest_neighbours", sql(ACT + """, v as (select cell_id, list(x order by pid) as v from act group by cell_id),
+d as (select a.cell_id as id, b.cell_id as neighbor, round(list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) ** 2)), 9) as d from v a join v b on a.cell_id <> b.cell_id),
+r as (select id, rank::integer as rank, neighbor, sqrt(d) as distance from (select *, row_number() over (partition by id order by d, neighbor) as rank from d) where rank <= 15)""", "distance", "id rank neighbor"))
+def e01(spark, d):
+    """The 15 nearest customers by programs, exact here."""
+    return rounded(lay.nearest(lay.matrix_of(_activity(spark, d))))
+
+
+@query("e02_clusters")
+def e02(spark, d):
+    points = lay.matrix_of(_activity(spark, d))
+    return lay.clusters(points, lay.nearest(points))
+
+
+@query("e03_plane")
+def e03(spark, d):
+    return rounded(lay.plane(lay.matrix_of(_activity(spark, d))))
+
+
+#: 0 and 2 are nearest (0.05), then 1 and 3 (0.1); the two pairs join last, the older one to the left.
+@query("e05_leaf_order", "select * from (values (0, 0), (1, 2), (2, 1), (3, 3)) t(place, program)")
+def e05(spark, d):
+    r = [[1, 0.1, 0.9, 0.2], [0.1, 1, 0.0, 0.8], [0.9, 0.0, 1, 0.1], [0.2, 0.8, 0.1, 1]]
+    return spark.createDataFrame(list(enumerate(lay.leaf_order(r))), "place int, program int")
 
 
 @query("w07_upper_tail", sql(TAIL + ", r as (select cell_id, gene, t from tail)", "t", "cell_id gene"))

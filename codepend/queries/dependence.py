@@ -60,6 +60,28 @@ def g06o(spark, d):
     return rounded(dep.pairs(dep.scaled(p, ceil), n))
 
 
+@query("g06_ids_blocked", sql(PAIRS + ", r as (select * from pairs)", "ids corr", "g1 g2 cooc"))
+def g06b(spark, d):
+    """The same from Gram matrices of tiles, the form for wide matrices."""
+    _, y, n = customer_y(spark, d)
+    return rounded(dep.blocked_pairs(y, n, 8))
+
+
+@query("g10_weighted_moments", sql(P + """, wt as (select cell_id, count(*) over () / count(*) over (partition by cell_type) as w from cells), t as (select sum(w) as w from wt),
+r as (select gene, sum(wt.w * p) / any_value(t.w) as mean, greatest(sum(wt.w * p * p) / any_value(t.w) - (sum(wt.w * p) / any_value(t.w)) ** 2, 0) as var from p join wt using (cell_id), t group by gene)""", "mean var", "gene", digits=9))
+def g10m(spark, d):
+    m, p, _ = customer_p(spark, d)
+    return rounded(dep.weighted_moments(p, dep.weights(m.cells)), 9)
+
+
+@query("g10_weighted_covariances", sql(P + """, wt as (select cell_id, count(*) over () / count(*) over (partition by cell_type) as w from cells), t as (select sum(w) as w from wt), q as (select cell_id, gene, p, wt.w from p join wt using (cell_id)),
+m as (select gene, sum(q.w * p) / any_value(t.w) as mean from q, t group by gene), s as (select a.gene as g1, b.gene as g2, sum(a.w * a.p * b.p) as s from q a join q b on a.cell_id = b.cell_id and a.gene < b.gene group by all),
+r as (select g1, g2, s / t.w - a.mean * b.mean as cov from s join m a on g1 = a.gene join m b on g2 = b.gene, t)""", "cov", "g1 g2", digits=9))
+def g10c(spark, d):
+    m, p, _ = customer_p(spark, d)
+    return rounded(dep.weighted_covariances(p, dep.weights(m.cells)), 9)
+
+
 @query("g07_pearson", sql(PAIRS + ", r as (select g1, g2, corr from pairs)", "corr", "g1 g2"))
 def g07(spark, d):
     _, y, n = customer_y(spark, d)
@@ -87,12 +109,16 @@ def j02(spark, d):
     return rounded(p.join(F.broadcast(dep.gene_moments(p, n)), "gene").select("cell_id", "gene", "p", "mean", "std"))
 
 
-@query("j03_label_alignment", sql("g as (select distinct p_brand as gene from part), s as (select gene, sum(x) as x from counts where cell_id % 50 = 0 group by gene), r as (select g.gene, coalesce(x, 0)::double as x from g left join s on g.gene = s.gene)", "x", "gene"))
+@query("j03_label_alignment", sql("""axis as (select gene, cell_type from (select distinct p_brand as gene from part), (select distinct c_mktsegment as cell_type from customer union all select 'none of these')),
+s as (select gene, cell_type, sum(x) as x from counts join cells using (cell_id) group by all), r as (select axis.gene, axis.cell_type, coalesce(x, 0)::double as x from axis left join s on axis.gene = s.gene and axis.cell_type = s.cell_type)""", "x", "gene cell_type"))
 def j03(spark, d):
-    """Totals of some customers, aligned to all brands, missing ones as 0."""
+    """Totals of brands by segment, aligned to all brands and all segments and one more; what is missing is 0."""
+    m = customer_brand(spark, d)
     genes = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_brand").alias("gene")).distinct()
-    s = customer_brand(spark, d).counts.where("cell_id % 50 = 0").groupBy("gene").agg(F.sum("x").alias("x"))
-    return rounded(genes.join(s, "gene", "left").select("gene", F.coalesce("x", F.lit(0.0)).alias("x")))
+    types = m.cells.select("cell_type").distinct().union(spark.range(1).select(F.lit("none of these")))
+    axis = genes.join(F.broadcast(types.agg(F.collect_set("cell_type").alias("t")))).select("gene", F.explode("t").alias("cell_type"))  # types are few
+    s = m.counts.join(m.cells, "cell_id").groupBy("gene", "cell_type").agg(F.sum("x").alias("x"))
+    return rounded(axis.join(s, ["gene", "cell_type"], "left").select("gene", "cell_type", F.coalesce("x", F.lit(0.0)).alias("x")))
 
 
 @query("w01_top_k", sql(TOP + ", r as (select gene, rank::integer as rank, p from ranked)", "p", "gene rank"))

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import annotate as an
+from ..operators.ranks import percentiles
 from ..registry import query
 from .activity import ACT, LOAD, _activity, _loadings
 from .common import PAIRS, customer_pairs, customer_y, rounded, sql
@@ -53,7 +54,8 @@ def e06(spark, d):
     m, y, _ = customer_y(spark, d)
     at = lambda k: F.sum(F.when(F.col("pid") == k, F.col("x")))
     v = _activity(spark, d).join(m.cells, "cell_id").groupBy("cell_id", "cell_type").agg(at(0).alias("a"), at(1).alias("b"))
-    c = v.groupBy("cell_type").agg(F.median("a").alias("ca"), F.median("b").alias("cb"))
+    of = lambda x, name: percentiles(v, x, (0.5,), ["cell_type"]).select("cell_type", F.col("q")[0].alias(name))
+    c = of("a", "ca").join(of("b", "cb"), "cell_type")
     far = F.round(F.pow(F.col("a") - F.col("ca"), 2) + F.pow(F.col("b") - F.col("cb"), 2), 9)
     near = v.join(F.broadcast(c), "cell_type").groupBy("cell_type", "ca", "cb").agg(F.min(F.struct(far.alias("f"), "cell_id"))["cell_id"].alias("medoid"))
     return rounded(near)
@@ -62,8 +64,7 @@ def e06(spark, d):
 @query("e07_quartiles_by_type", sql(ACT + ", r as (select cell_type, pid, quantile_cont(x, 25e-2) as q1, median(x) as med, quantile_cont(x, 75e-2) as q3 from act join cells using (cell_id) group by all)", "q1 med q3", "cell_type pid"))
 def e07(spark, d):
     m, _, _ = customer_y(spark, d)
-    q = F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    v = _activity(spark, d).join(m.cells, "cell_id").groupBy("cell_type", "pid").agg(q.alias("q"))
+    v = percentiles(_activity(spark, d).join(m.cells, "cell_id"), "x", (0.25, 0.5, 0.75), ["cell_type", "pid"])
     return rounded(v.select("cell_type", "pid", F.col("q")[0].alias("q1"), F.col("q")[1].alias("med"), F.col("q")[2].alias("q3")))
 
 
@@ -84,9 +85,9 @@ def e10(spark, d):
     return an.empty_summaries(_programs(spark, d))
 
 
-@query("e12_g19_j10_overview", sql(BASE + ", s as (select p_type as pid, min(p_name) as title, min(p_size) as b from part where p_size % 2 = 0 group by 1), rows_ as (select gid as pid, coalesce(title, '') as title, len(genes) as n_genes, coalesce(b, 0)::bigint as n_inconsistent from grp left join s on gid = s.pid), r as (select * from rows_ union all select 'total', '', sum(n_genes)::bigint, sum(n_inconsistent)::bigint from rows_)", "", "pid title n_genes n_inconsistent", ""))
+@query("e12_g19_j10_overview", sql(BASE + ", s as (select p_size || ' ' || p_type as pid, min(p_name) as title, min(p_size) as b from part where p_size % 2 = 0 group by 1), rows_ as (select gid as pid, coalesce(title, '') as title, len(genes) as n_genes, coalesce(b, 0)::bigint as n_inconsistent from grp left join s on gid = s.pid), r as (select * from rows_ union all select 'total', '', sum(n_genes)::bigint, sum(n_inconsistent)::bigint from rows_)", "", "pid title n_genes n_inconsistent", ""))
 def e12(spark, d):
-    p = spark.read.parquet(f"{d}/part.parquet").where("p_size % 2 = 0").groupBy(F.col("p_type").alias("pid")).agg(F.min("p_name").alias("title"), F.min("p_size").alias("n_bad"))
+    p = spark.read.parquet(f"{d}/part.parquet").where("p_size % 2 = 0").groupBy(F.concat(F.col("p_size").cast("string"), F.lit(" "), "p_type").alias("pid")).agg(F.min("p_name").alias("title"), F.min("p_size").alias("n_bad"))
     return an.overview(_programs(spark, d), p)
 
 

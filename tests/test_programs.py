@@ -7,7 +7,7 @@ import pytest
 
 from codepend import registry
 from codepend.functions.betafn import beta_cdf, beta_ppf, ks_tail
-from codepend.operators import annotate, programs, significance
+from codepend.operators import annotate, programs, qc, significance
 
 
 def graph_of(*groups):
@@ -65,7 +65,7 @@ def test_false_discovery_ties_and_gaps(spark):
 def test_summaries_round_trip(spark, tmp_path):
     p = spark.createDataFrame([(0, ["g1", "g2"], ["g2", "g3"])], "pid int, program array<string>, periphery array<string>")
     annotate.write_summaries(annotate.empty_summaries(p), str(tmp_path / "s"))
-    got = annotate.read_summaries(spark, str(tmp_path / "s")).collect()
+    got = annotate.read_summaries(spark, str(tmp_path / "s" / "with_genes")).collect()
     assert [(r["pid"], r["Genes"]) for r in got] == [(0, "g1, g2")]
     assert "| 0 |" in annotate.markdown(annotate.overview(p, spark.createDataFrame([(0, "t", "x")], "pid int, title string, n_bad string")))
 
@@ -76,3 +76,5 @@ def test_unknown_names_are_told(spark):
     with pytest.raises(ValueError):
         activity.eigen_loadings(None, None, "other")
     assert len(registry.queries()) > 100
+    assert annotate.has_api_key(" sk-1") and not annotate.has_api_key("your key") and not annotate.has_api_key(None)
+    assert [qc.working_name(x) for x in ([], ["a"], ["a", "b"])] == ["all", "a", "a_b"] and qc.working_name(["a"], "own") == "own"
