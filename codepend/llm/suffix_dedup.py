@@ -27,10 +27,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LONG_MIN, bounded_batches, mix, ranges, release, skewed_join, slices, string_buffers, texts, written
+from .common import LONG_MIN, bounded_batches, mix, ranges, release, slices, string_buffers, texts, written
 
 LENGTH, GRAM, SHALLOW, HOT = 100, 24, 32, 4096
 MOST_HOT = 10_000  # so many hot anchors are told by a list, more by a join
@@ -356,7 +356,7 @@ def window_hashes(data: np.ndarray, starts: np.ndarray, length: int = LENGTH) ->
 
 
 def hashed_repeats(inside: DataFrame) -> DataFrame:
-    """The same for anchors with very many segments: windows meet as 128-bit hashes in a minimum, hot windows in a broadcast."""
+    """The same for anchors with very many segments: windows meet as 128-bit hashes in a minimum with map-side combine."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -370,12 +370,9 @@ def hashed_repeats(inside: DataFrame) -> DataFrame:
                 at = s[i + seg] + starts - own[seg]
                 yield pa.RecordBatch.from_arrays([pa.array(w1), pa.array(w2), pa.array(doc[i + seg]), pa.array(rid[i + seg]), pa.array(at.astype(np.int32))], ["w1", "w2", "doc", "rid", "s"])
 
-    w = written(inside.select("doc", "rid", "s", "content").mapInArrow(work, "w1 long, w2 long, doc long, rid long, s int")).withColumn("at", F.struct("doc", "s"))
-    firsts = w.groupBy("w1", "w2").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.count(F.lit(1)).alias("many")).where("first <> last").drop("last")
-    later = skewed_join(w, firsts, ["w1", "w2"], w.count()).where("at > first")
-    # windows that follow one another are one range
-    run = F.col("s") - F.row_number().over(Window.partitionBy("doc", "rid").orderBy("s"))
-    return later.select("doc", "rid", "s").distinct().withColumn("run", run).groupBy("doc", "rid", "run").agg(F.min("s").alias("s"), (F.max("s") + LENGTH).alias("e")).select("rid", "s", "e")
+    w = inside.mapInArrow(work, "w1 long, w2 long, doc long, rid long, s int").withColumn("at", F.struct("doc", "s"))
+    firsts = w.groupBy("w1", "w2").agg(F.min("at").alias("first"), F.max("at").alias("last")).where("first <> last").drop("last")
+    return w.join(firsts, ["w1", "w2"]).where("at > first").select("rid", "s", (F.col("s") + LENGTH).alias("e"))
 
 
 def repeats_removed(docs: DataFrame, with_text: bool = False) -> DataFrame:
