@@ -248,7 +248,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     shared = owned.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("doc_id")
     same = owned.join(shared, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     joined = cut(components(_confirmed(stars, classes, docs, percent).union(same)))
-    placed = keyed.join(joined, keyed.doc_id == joined.node, "left").select("key", "band", "doc_id", "n", "many", F.coalesce("component", "doc_id").alias("c")).where("many > 2")
+    placed = cut(keyed.join(joined, keyed.doc_id == joined.node, "left").select("key", "band", "doc_id", "n", "many", F.coalesce("component", "doc_id").alias("c")).where("many > 2"))
     open_keys = placed.groupBy("key", "many").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("key", "many")
     rest = cut(skewed_join(placed.drop("many"), open_keys, ["key"], keyed.count()))
     if not rest.isEmpty():
