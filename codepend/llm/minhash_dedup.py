@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, components, cut, mix, skewed_join, slices, string_buffers, texts
+from .common import bounded_batches, components, cut, mix, release, skewed_join, slices, string_buffers, texts
 
 SHINGLE = 5
 REGISTERS, MANTISSA, ROWS = 256, 10, 8
@@ -191,6 +191,7 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: i
     near = cut(pairs.mapInArrow(filtered, "a long, b long").distinct())
     needed = near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct()
     full = cut(_sets(docs, needed))
+    release(docs.sparkSession)  # shuffled texts and registers
     sized = near.join(full.select(F.col("doc_id").alias("a"), F.col("set").alias("sa")), "a").join(full.select(F.col("doc_id").alias("b"), F.col("set").alias("sb")), "b")
     return sized.mapInArrow(verified, "a long, b long")
 
@@ -220,6 +221,7 @@ def _block_links(members: DataFrame, classes: DataFrame, docs: DataFrame, percen
 
     needed = members.select("doc_id").distinct()
     full = cut(_sets(docs, needed).join(classes.select("doc_id", "regs"), "doc_id"))
+    release(docs.sparkSession)  # shuffled sets
     by_component = members.groupBy("key", "c").agg(F.count(F.lit(1)).alias("k"), F.sum(F.col("n") * 8 + 2 * REGISTERS).alias("bytes"))
     blocks = lambda size: F.greatest(F.lit(1), F.ceil(size / BLOCK_BYTES)).cast("int")
     of_key = by_component.groupBy("key").agg(F.max(F.struct("k", "c", "bytes")).alias("top"), F.sum("bytes").alias("all"), F.sum("k").alias("many"))
@@ -243,6 +245,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     classes = cut(owned.where("doc_id = rep").dropDuplicates(["h1", "h2"]).select("doc_id", "n", "regs"))
     leaders = bands(classes).groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("many > 1")
     keyed = cut(skewed_join(bands(classes), leaders, ["key"], classes.count() * (REGISTERS // ROWS)))
+    release(docs.sparkSession)  # shuffled bands
     stars = keyed.select(F.explode(F.array("lo", "hi")).alias("l"), "doc_id").where("l <> doc_id").select(F.least("l", "doc_id").alias("a"), F.greatest("l", "doc_id").alias("b")).distinct()
     owned = owned.select("doc_id", "rep").distinct()
     shared = owned.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("doc_id")
