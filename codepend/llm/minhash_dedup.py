@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, components, cut, mix, release, skewed_join, slices, string_buffers, texts
+from .common import HOT_PART, bounded_batches, components, cut, mix, release, skewed_join, slices, string_buffers, texts
 
 SHINGLE = 5
 REGISTERS, MANTISSA, ROWS = 256, 10, 8
@@ -244,7 +244,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     owned = skewed_join(live, least, ["h1", "h2"], live.count()).drop("many")
     classes = cut(owned.where("doc_id = rep").dropDuplicates(["h1", "h2"]).select("doc_id", "n", "regs"))
     leaders = bands(classes).groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("many > 1")
-    keyed = cut(skewed_join(bands(classes), leaders, ["key"], classes.count() * (REGISTERS // ROWS)))
+    leaders, every = cut(leaders), bands(classes)
+    # bands that hold much of the rows, HOT_PART at most, are told by a list, so that no join is needed to leave them out of the shuffle
+    hot = [r["key"] for r in leaders.where(F.col("many") * HOT_PART >= classes.count() * (REGISTERS // ROWS)).select("key").collect()]
+    is_hot = F.col("key").isin(hot)
+    keyed = every.where(~is_hot).join(leaders.where(~is_hot), "key")
+    keyed = cut(keyed.unionByName(every.where(is_hot).join(F.broadcast(leaders.where(is_hot)), "key")) if hot else keyed)
     release(docs.sparkSession)  # shuffled bands
     stars = keyed.select(F.explode(F.array("lo", "hi")).alias("l"), "doc_id").where("l <> doc_id").select(F.least("l", "doc_id").alias("a"), F.greatest("l", "doc_id").alias("b")).distinct()
     owned = owned.select("doc_id", "rep").distinct()
