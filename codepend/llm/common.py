@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -85,6 +86,24 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def tidy(work: Callable) -> Callable:
+    """work on Arrow batches that hands freed memory back to the system at its end.
+
+    Spark keeps Python workers for later tasks; what the allocators hold back would count against the next operator.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+            if trim:
+                trim(0)
+
+    return run
+
+
 def row_key() -> list[Column]:
     """did (a null doc_id is the least long) and rid, a hash of doc_id and text: rows that share both have one text."""
     doc, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit(""))

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_PART, bounded_batches, components, cut, mix, release, skewed_join, slices, string_buffers, texts
+from .common import HOT_PART, bounded_batches, components, cut, mix, release, skewed_join, slices, string_buffers, texts, tidy
 
 SHINGLE = 5
 REGISTERS, MANTISSA, ROWS = 256, 10, 8
@@ -126,7 +126,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(regs, pa.binary())], ["doc_id", "n", "h1", "h2", "regs"])
 
     bounded_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, n long, h1 long, h2 long, regs binary")
+    return docs.select("doc_id", "text").mapInArrow(tidy(work), "doc_id long, n long, h1 long, h2 long, regs binary")
 
 
 def bands(classes: DataFrame) -> DataFrame:
@@ -143,7 +143,7 @@ def bands(classes: DataFrame) -> DataFrame:
             row, band = np.nonzero(used)
             yield pa.RecordBatch.from_arrays([pa.array(key[used].view(np.int64)), pa.array(band.astype(np.int32)), pa.array(b.column("doc_id").to_numpy()[row]), pa.array(b.column("n").to_numpy()[row])], ["key", "band", "doc_id", "n"])
 
-    return classes.select("doc_id", "n", "regs").mapInArrow(work, "key long, band int, doc_id long, n long")
+    return classes.select("doc_id", "n", "regs").mapInArrow(tidy(work), "key long, band int, doc_id long, n long")
 
 
 def _by_band(regs: np.ndarray) -> np.ndarray:
@@ -157,7 +157,7 @@ def _sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([s.tobytes() for s in shingle_sets(*string_buffers(b.column("text")))], pa.binary())], ["doc_id", "set"])
 
-    return docs.select("doc_id", "text").join(needed, "doc_id", "left_semi").mapInArrow(work, "doc_id long, set binary")
+    return docs.select("doc_id", "text").join(needed, "doc_id", "left_semi").mapInArrow(tidy(work), "doc_id long, set binary")
 
 
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -188,12 +188,12 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: i
 
     c = classes.select("doc_id", "n", "regs")
     pairs = pairs.join(c.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("regs").alias("ra")), "a").join(c.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("regs").alias("rb")), "b")
-    near = cut(pairs.mapInArrow(filtered, "a long, b long").distinct())
+    near = cut(pairs.mapInArrow(tidy(filtered), "a long, b long").distinct())
     needed = near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct()
     full = cut(_sets(docs, needed))
     release(docs.sparkSession)  # shuffled texts and registers
     sized = near.join(full.select(F.col("doc_id").alias("a"), F.col("set").alias("sa")), "a").join(full.select(F.col("doc_id").alias("b"), F.col("set").alias("sb")), "b")
-    return sized.mapInArrow(verified, "a long, b long")
+    return sized.mapInArrow(tidy(verified), "a long, b long")
 
 
 def _block_links(members: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
