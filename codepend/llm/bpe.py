@@ -1,7 +1,7 @@
 """Byte-level BPE over the distinct words of a corpus.
 
-Texts are cut into blocks. One pass takes the distinct pre-tokens of each block and deals them out
-by a hash of the word, packed by (bucket, block); in its bucket each distinct word of the whole
+Rows are cut into blocks, in which those with the same text share it. One pass takes the distinct
+pre-tokens of each block and deals them out by a hash of the word, packed by (bucket, block); in its bucket each distinct word of the whole
 corpus is encoded once. Ids go back packed by block, where a second pass over the texts has left
 its pre-tokens as positions into the block's word list; ids are put together by position, and the
 token-byte table turns them back into bytes. So texts are never shuffled, and no task holds more than
@@ -29,9 +29,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, ranges
+from .common import LONG_MIN, bounded_batches, ranges, tidy
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES, BLOCK_ROWS = 16 << 20, 1 << 16
 SPREAD = 4  # buckets of words for each shuffle partition
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -54,27 +54,32 @@ def _unzip(x: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(x)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list[str]]]:
-    """(key, doc ids, texts), a function of the rows alone."""
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list[int], list[str]]]:
+    """(key, doc ids, the number of each row's text, distinct texts), a function of the rows alone."""
 
-    def block(ids: list, rows: list[str]) -> tuple[int, list, list[str]]:
+    def block(ids: list, which: list[int], rows: list[str]) -> tuple[int, list, list[int], list[str]]:
         h = xxhash.xxh3_64()
-        for i, t in zip(ids, rows):
-            h.update(f"{i} {len(t)} ".encode())
+        for i, k in zip(ids, which):
+            h.update(f"{i} {k} ".encode())
+        for t in rows:
+            h.update(f"{len(t)} ".encode())
             h.update(t.encode())
-        return h.intdigest() - 2**63, ids, rows
+        return h.intdigest() - 2**63, ids, which, rows
 
+    ids, which, index, size = [], [], {}, 0
     for b in batches:
-        ids, rows, size = [], [], 0
         for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-            if rows and size + len(t) > BLOCK_BYTES:
-                yield block(ids, rows)
-                ids, rows, size = [], [], 0
+            k = index.get(t)
+            if ids and (len(ids) >= BLOCK_ROWS or (k is None and size + len(t) > BLOCK_BYTES)):
+                yield block(ids, which, list(index))
+                ids, which, index, size, k = [], [], {}, 0, None
+            if k is None:
+                k = index[t] = len(index)
+                size += len(t)
             ids.append(i)
-            rows.append(t)
-            size += len(t)
-        if rows:
-            yield block(ids, rows)
+            which.append(k)
+    if ids:
+        yield block(ids, which, list(index))
 
 
 def _positions(rows: list[str], pattern) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
@@ -104,7 +109,7 @@ def decode(ids: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> bytes:
 def tokenize(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = False) -> DataFrame:
     """Ids' and decoded bytes' digests of each row of docs (doc_id, text); with_ids: the ids themselves too."""
     spark = docs.sparkSession
-    bounded_batches(spark, 32, 16384)
+    bounded_batches(spark)
     ranks = spark.sparkContext.broadcast(read_ranks(ranks_path))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = parts * SPREAD
@@ -115,7 +120,7 @@ def tokenize(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = Fa
         import regex
 
         p = regex.compile(pattern)
-        for key, _, texts in _blocks(batches):
+        for key, _, _, texts in _blocks(batches):
             index, _, _ = _positions(texts, p)
             own = [w.encode() for w in index]
             bucket = np.fromiter((xxhash.xxh32_intdigest(w) for w in own), np.int64, len(own)) % buckets
@@ -156,9 +161,9 @@ def tokenize(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = Fa
         import regex
 
         p = regex.compile(pattern)
-        for key, ids, texts in _blocks(batches):
+        for key, ids, which, texts in _blocks(batches):
             index, at, n = _positions(texts, p)
-            head = np.array([-(2**63) if i is None else i for i in ids], np.int64).tobytes()
+            head = np.array([len(ids), *(LONG_MIN if i is None else i for i in ids), *which], np.int64).tobytes()
             yield _packed([(key, 1, _zip(head + n.tobytes()), _zip(at.astype(np.uint32 if len(index) > 65536 else np.uint16).tobytes()), len(index))])
 
     def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +184,8 @@ def tokenize(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = Fa
                     ids.append(raw[len(a) :])
                     continue
                 head = np.frombuffer(_unzip(r["a"]), np.int64)
-                doc_ids, sizes = head[: len(head) // 2], head[len(head) // 2 :]
+                rows = int(head[0])
+                doc_ids, which, sizes = head[1 : rows + 1], head[rows + 1 : 2 * rows + 1], head[2 * rows + 1 :]
                 where = np.frombuffer(_unzip(r["b"]), np.uint32 if r["n"] > 65536 else np.uint16)
                 # the words of a block that occurs twice come twice, and alike
                 begin, many = np.full(r["n"], -1, np.int64), np.zeros(r["n"], np.int64)
@@ -191,20 +197,20 @@ def tokenize(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = Fa
                     begin[a], many[a] = np.cumsum(m) - m, m
                 if (begin < 0).any():
                     raise RuntimeError("a block's words don't agree with its positions")
-                out, done = [], 0
-                for doc, size in zip(doc_ids.tolist(), sizes.tolist()):
+                made, done = [], 0
+                for size in sizes.tolist():
                     w = where[done : done + size].astype(np.int64)
                     done += size
                     own = flat[ranges(begin[w], many[w])]
                     raw = own.astype("<u4").tobytes()
-                    out.append((None if doc == -(2**63) else doc, len(own), hashlib.sha256(raw).hexdigest(), hashlib.sha256(decode(own, offsets, table)).hexdigest(), own.astype(np.int32) if with_ids else None))
-                cols = list(zip(*out))
+                    made.append((len(own), hashlib.sha256(raw).hexdigest(), hashlib.sha256(decode(own, offsets, table)).hexdigest(), own.astype(np.int32) if with_ids else None))
+                cols = [[None if i == LONG_MIN else i for i in doc_ids.tolist()], *zip(*(made[k] for k in which.tolist()))]
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.string()] + ([pa.list_(pa.int32())] if with_ids else [])
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(kinds)])
 
-    coded = rows.mapInArrow(words, "bucket int, block long, at binary, lengths binary, words binary").repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(ids_of, packed)
-    whole = coded.union(rows.mapInArrow(frames, packed)).repartition(parts, "block").sortWithinPartitions("block", "kind")
-    return whole.mapInArrow(together, DIGESTS + (", ids array<int>" if with_ids else ""))
+    coded = rows.mapInArrow(tidy(words), "bucket int, block long, at binary, lengths binary, words binary").repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(ids_of), packed)
+    whole = coded.union(rows.mapInArrow(tidy(frames), packed)).repartition(parts, "block").sortWithinPartitions("block", "kind")
+    return whole.mapInArrow(tidy(together), DIGESTS + (", ids array<int>" if with_ids else ""))
 
 
 def _packed(rows: list[tuple]) -> pa.RecordBatch:

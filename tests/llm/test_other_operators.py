@@ -106,6 +106,20 @@ def test_bpe(spark, docs):
     assert bpe.tokenize(docs([]), path, public_tokenizers.PATTERN).collect() == []
 
 
+def test_bpe_many_copies(spark, docs):
+    """Rows that share a text share its ids, within a block and over several."""
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    texts = ["one text", None, "", "an other\ntext"]
+    rows = spark.range(70_000).coalesce(1).select("id", (F.col("id") * 7 % 4).alias("k"))
+    named = spark.createDataFrame(list(enumerate(texts)), "k long, text string")
+    many = rows.join(F.broadcast(named), "k").select(F.when(F.col("id") != 9, F.col("id")).alias("doc_id"), "text")
+    alone = bpe.tokenize(docs(list(enumerate(texts))), path, public_tokenizers.PATTERN)
+    want = {r["doc_id"]: tuple(r)[1:] for r in alone.collect()}
+    got = bpe.tokenize(many, path, public_tokenizers.PATTERN).collect()
+    assert len(got) == 70_000 and sum(r["doc_id"] is None for r in got) == 1
+    assert all(tuple(r)[1:] == want[(9 if r["doc_id"] is None else r["doc_id"]) * 7 % 4] for r in got)
+
+
 def brute_links(rows, threshold=0.9):
     ok = [k for k, (i, v) in enumerate(rows) if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
     unit = {k: np.array(rows[k][1]) / np.linalg.norm(rows[k][1]) for k in ok}
