@@ -123,69 +123,95 @@ def pairs(y: DataFrame, n: int) -> DataFrame:
     return _scores(s, m, n)
 
 
-#: Genes of a tile: a partition holds a tile pair's sums for 7 features, 7 TILE by 7 TILE doubles, while it adds up its cells.
+#: Genes from which on tiles take less than a row for each pair in each cell.
+WIDE_FROM = 2000
+#: Genes of a tile, and cells of a block. A task holds the sums of one pair of tiles, 38 TILE by TILE doubles, and the features of one block.
 TILE, CELLS = 256, 512
+BLOCK = "ti int, tj int, salt int, a binary, b binary"
 GRAM = "ti int, tj int, sums binary"
 
 
 def blocked_pairs(y: DataFrame, n: int, tile: int = TILE) -> DataFrame:
     """The same as pairs(), for wide matrices: Gram matrices of tiles of genes instead of a row for each pair in each cell.
 
-    Genes are numbered, and a cell's genes gathered. Each task adds up, over its cells, the products of features and the
-    co-occurrences of all pairs of tiles that its cells touch, as dense products, and gives one row for a pair of tiles whenever
-    these take more than a bounded memory. So what is shuffled are sums of tiles, not pairs of cells.
+    Genes are numbered, and a cell's genes gathered. A block of cells is cut by tiles, and its nonzeros go to every pair of
+    tiles that the block touches: each nonzero is shuffled once for each tile, not once for each other gene of its cell. A task
+    adds up the products of features and the co-occurrences of one pair of tiles at a time, as dense products over the cells that
+    both touch. Where there are fewer pairs of tiles than shuffle partitions, blocks are also dealt out by a salt, and the few
+    sums by salt are added after another shuffle. y is read several times: give it as a table where it is dear.
     """
     f = features(y)
     m = feature_moments(f, n)
     axis = y.select("gene").distinct().select("gene", (F.row_number().over(W.orderBy("gene")) - 1).cast("int").alias("k"))  # a row for each gene
     cell = y.join(F.broadcast(axis), "gene").groupBy("cell_id").agg(F.array_sort(F.collect_list(F.struct("k", "y"))).alias("g"))
+    tiles = -(-axis.count() // tile)
+    salts = max(1, int(y.sparkSession.conf.get("spark.sql.shuffle.partitions")) // max(1, tiles * (tiles + 1) // 2))
     width = ORDERS + 2  # the features, y, and whether the gene is there
-    most = max(1, (256 << 20) // (8 * (width * tile) ** 2 // 2))  # pairs of tiles held by a task
     scale = [1 / math.sqrt(math.factorial(k)) for k in range(ORDERS)]
 
-    def work(batches):
+    def deal(batches):
         import numpy as np
         import pyarrow as pa
+        from pyspark import TaskContext
 
-        held: dict[tuple[int, int], np.ndarray] = {}
-
-        def out():
-            for (i, j), s in held.items():
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([j], pa.int32()), pa.array([s.tobytes()], pa.binary())], ["ti", "tj", "sums"])
-            held.clear()
-
+        salt = TaskContext.get().partitionId() % salts
         for b in batches:
             col = b.column("g")
             for at in range(0, len(col), CELLS):
                 part = col.slice(at, CELLS)
                 flat = part.flatten()
-                row = np.repeat(np.arange(len(part)), np.diff(part.offsets.to_numpy()))
+                row = np.repeat(np.arange(len(part), dtype=np.uint16), np.diff(part.offsets.to_numpy()))
                 k, v = flat.field("k").to_numpy(), flat.field("y").to_numpy()
-                blocks = {}
-                for t in np.unique(k // tile).tolist():
-                    own = k // tile == t
-                    r, c, x = row[own], k[own] - t * tile, v[own]
-                    dense = np.zeros((len(part), width, tile))
-                    decay = np.exp(-x * x / 2)
-                    for o in range(ORDERS):
-                        dense[r, o, c] = x**o * scale[o] * decay - (o == 0)
-                    dense[r, ORDERS, c] = x
-                    dense[r, ORDERS + 1, c] = 1.0
-                    blocks[t] = dense
-                for i in blocks:
-                    left = blocks[i][:, :ORDERS].reshape(len(part), -1)
-                    for j in blocks:
-                        if i <= j:
-                            if (i, j) not in held:
-                                if len(held) >= most:
-                                    yield from out()
-                                held[i, j] = np.zeros((ORDERS * ORDERS + 2, tile, tile))
-                            s = held[i, j]
-                            right = blocks[j][:, :ORDERS].reshape(len(part), -1)
-                            s[:-2] += (left.T @ right).reshape(ORDERS, tile, ORDERS, tile).transpose(0, 2, 1, 3).reshape(-1, tile, tile)
-                            for o in (0, 1):
-                                s[-1 - o] += blocks[i][:, ORDERS + 1 - o].T @ blocks[j][:, ORDERS + 1 - o]
-        yield from out()
+                order = np.argsort(k // tile, kind="stable")
+                ts, begin = np.unique((k // tile)[order], return_index=True)
+                own = [order[i:j] for i, j in zip(begin, [*begin[1:], len(order)])]
+                packed = [row[o].tobytes() + (k[o] % tile).astype(np.uint16).tobytes() + v[o].tobytes() for o in own]
+                for i, t in enumerate(ts.tolist()):
+                    rest = ts[i:].astype(np.int32)
+                    cols = [pa.array(np.full(len(rest), t, np.int32)), pa.array(rest), pa.array(np.full(len(rest), salt, np.int32)), pa.array([packed[i]] * len(rest), pa.binary()), pa.array(packed[i:], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in BLOCK.split(", ")])
+
+    def multiply(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        key, s = None, None
+
+        def entries(raw):
+            many = len(raw) // 12
+            return np.frombuffer(raw, np.uint16, many), np.frombuffer(raw, np.uint16, many, 2 * many), np.frombuffer(raw, np.float64, many, 4 * many)
+
+        def dense(r, c, x, shared):
+            here = np.isin(r, shared)
+            r, c, x = np.searchsorted(shared, r[here]), c[here], x[here]
+            out = np.zeros((len(shared), width, tile))
+            decay = np.exp(-x * x / 2)
+            for o in range(ORDERS):
+                out[r, o, c] = x**o * scale[o] * decay - (o == 0)
+            out[r, ORDERS, c] = x
+            out[r, ORDERS + 1, c] = 1.0
+            return out
+
+        def gram():
+            return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([s.tobytes()], pa.binary())], [c.split()[0] for c in GRAM.split(", ")])
+
+        for b in batches:
+            for ti, tj, salt, raw_a, raw_b in zip(*(b.column(c).to_pylist() for c in ("ti", "tj", "salt")), b.column("a"), b.column("b")):
+                if key != (ti, tj, salt):
+                    if key is not None:
+                        yield gram()
+                    key, s = (ti, tj, salt), np.zeros((ORDERS * ORDERS + 2, tile, tile))
+                ea, eb = entries(raw_a.as_buffer()), entries(raw_b.as_buffer())
+                shared = np.intersect1d(ea[0], eb[0])
+                if not len(shared):
+                    continue
+                left = dense(*ea, shared)
+                right = left if ti == tj else dense(*eb, shared)
+                s[:-2] += (left[:, :ORDERS].reshape(len(shared), -1).T @ right[:, :ORDERS].reshape(len(shared), -1)).reshape(ORDERS, tile, ORDERS, tile).transpose(0, 2, 1, 3).reshape(-1, tile, tile)
+                for o in (0, 1):
+                    s[-1 - o] += left[:, ORDERS + 1 - o].T @ right[:, ORDERS + 1 - o]
+        if key is not None:
+            yield gram()
 
     def add(batches):
         import numpy as np
@@ -214,7 +240,9 @@ def blocked_pairs(y: DataFrame, n: int, tile: int = TILE) -> DataFrame:
             yield from rows()
 
     schema = "k1 int, k2 int, cooc long, " + ", ".join(f"s{i}{k} double" for i in range(ORDERS) for k in range(ORDERS)) + ", sy double"
-    sums = cell.select("g").mapInArrow(work, GRAM).repartition("ti", "tj").sortWithinPartitions("ti", "tj").mapInArrow(add, schema)
+    by = ["ti", "tj", "salt"]
+    grams = cell.select("g").mapInArrow(deal, BLOCK).repartition(*by).sortWithinPartitions(*by).mapInArrow(multiply, GRAM)
+    sums = (grams if salts == 1 else grams.repartition("ti", "tj").sortWithinPartitions("ti", "tj")).mapInArrow(add, schema)
     a, b = (F.broadcast(axis.select(F.col("gene").alias(g), F.col("k").alias(k))) for g, k in (("g1", "k1"), ("g2", "k2")))
     return _scores(sums.join(a, "k1").join(b, "k2").drop("k1", "k2"), m, n)
 

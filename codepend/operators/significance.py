@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.betafn import beta_cdf, beta_ppf, ks_statistic, ks_tail
+from ..sources.tables import stored
 
 #: Shares in percent cut off below and above before a fit, in the order tried.
 TRIMS = sorted(((lo, hi) for lo in (0, 0.5, 1, 1.5, 2) for hi in (0, 0.5, 1, 1.5, 2)), key=lambda t: (t[0] + t[1], t[0]))
@@ -167,6 +168,6 @@ def without_keywords(genes: DataFrame, words: tuple[str, ...] = ("RPL", "RPS", "
 
 def significance(pairs: DataFrame, cooc: int = 100, least: int = 100, alpha: float = 0.05) -> DataFrame:
     """Fit records with hit lists, for all genes with enough evidence."""
-    both = observed(mirrored(with_evidence(pairs, cooc)), least).persist()  # read by the fit and by the p-values
-    fitted = fits(both)
+    both = stored(observed(mirrored(with_evidence(pairs, cooc)), least))  # read by the fit and by the p-values
+    fitted = stored(fits(both))
     return fitted.join(hit_lists(false_discovery(p_values(both, fitted), alpha)), "gene")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import activity, annotate, dependence, graph, layout, programs, qc, ranks, significance
-from ..sources.tables import Matrix, read_matrix
+from ..sources.tables import Matrix, read_matrix, stored
 
 LOG = logging.getLogger(__name__)
 STEPS = ("qc", "ceilings", "pairs", "fits", "edges", "programs", "activity", "report")
@@ -55,7 +55,7 @@ class Config:
     resolution_of_clusters: float = 0.5
     api_key: str = ""
     provide_celltype: bool = False
-    wide_from: int = 2000  # genes from which on dependence is summed by tiles
+    wide_from: int = dependence.WIDE_FROM  # genes from which on dependence is summed by tiles
 
 
 def load_config(text: str) -> Config:
@@ -153,7 +153,7 @@ def run(spark: SparkSession, matrix: str, out: str, config: Config | None = None
                 raw = activity.weighted(table("y"), m.cells, loadings)
             write(f"{name}_raw", raw)
             raw = table(f"{name}_raw")
-            scaled = raw if nonzero else activity.scaled_activity(raw, c.program_vector_scaling, sizes, n)
+            scaled = raw if nonzero else stored(activity.scaled_activity(raw, c.program_vector_scaling, sizes, n))
             calls, thresholds = activity.with_calls(raw, scaled, nonzero)
             write(name, calls)
             write(f"{name}_stats", activity.program_stats(table(name), thresholds, loadings))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ..operators import activity as act
 from ..operators import layout as lay
 from ..registry import query
-from ..sources.tables import customer_brand
+from ..sources.tables import customer_brand, stored
 from .common import Y, customer_p, customer_pairs, customer_y, rounded, sql
 
 LOAD = Y + ", load as (select gene, ((substr(gene, 7)::integer - 1) // 8)::integer as pid, (substr(gene, 7)::integer % 5 - 1) / 5e0 as w from (select distinct gene from counts))"
@@ -40,7 +40,7 @@ def g16(spark, d):
 
 @query("g17_program_counts", sql(ACT + "," + OTSU + ", r as (select act.pid, count(*) filter (x > threshold) as n_high, any_value(gp) as \"G\", any_value(g) as \"G_total\" from act join thr on act.pid = thr.pid join g on g.pid = act.pid group by 1)", "", 'pid n_high "G" "G_total"'))
 def g17(spark, d):
-    a = _activity(spark, d)
+    a = stored(_activity(spark, d))
     return act.program_counts(act.high_calls(a, act.otsu(a)), _loadings(spark, d))
 
 
@@ -97,7 +97,7 @@ def _scaling(letter: str, how: str) -> None:
     @query(f"t03{letter}_{how}", sql(_TEXT[how], "x", "cell_id pid", digits=digits))
     def scaled(spark, d):
         sizes = _loadings(spark, d).groupBy("pid").agg(F.count(F.lit(1)).alias("genes"))
-        return rounded(act.scaled_activity(_activity(spark, d), how, sizes), digits)
+        return rounded(act.scaled_activity(stored(_activity(spark, d)), how, sizes), digits)
 
 
 for _letter, _how in zip("abcdefghijkl", act.SCALINGS):
@@ -106,12 +106,12 @@ for _letter, _how in zip("abcdefghijkl", act.SCALINGS):
 
 @query("t04_otsu", sql(ACT + "," + OTSU + ", r as (select * from thr)", "threshold", "pid"))
 def t04(spark, d):
-    return rounded(act.otsu(_activity(spark, d)))
+    return rounded(act.otsu(stored(_activity(spark, d))))
 
 
 @query("t05_high_calls", sql(ACT + "," + OTSU + ", r as (select cell_id, act.pid, x, x > threshold as high from act join thr on act.pid = thr.pid)", "x", "cell_id pid high"))
 def t05(spark, d):
-    a = _activity(spark, d)
+    a = stored(_activity(spark, d))
     return act.high_calls(a, act.otsu(a))
 
 
@@ -133,9 +133,9 @@ _SCALED = _CURVE.replace("r as (select cell_id, zs.pid", "zx as (select cell_id,
 @query("h08_scaled_high_calls", sql(_SCALED + ", r as (select sc.cell_id, sc.pid, act.x as raw, sc.x, sc.x > threshold as high from sc join thr on sc.pid = thr.pid join act on act.cell_id = sc.cell_id and act.pid = sc.pid)", "raw x", "cell_id pid high"))
 def h08(spark, d):
     """Projection, scaling, threshold and calls in one, raw values beside the scaled ones."""
-    raw = _activity(spark, d)
+    raw = stored(_activity(spark, d))
     sizes = _loadings(spark, d).groupBy("pid").agg(F.count(F.lit(1)).alias("genes"))
-    calls, _ = act.with_calls(raw, rounded(act.scaled_activity(raw, "curvature_clip", sizes), 4))
+    calls, _ = act.with_calls(raw, stored(rounded(act.scaled_activity(raw, "curvature_clip", sizes), 4)))
     return rounded(calls)
 
 

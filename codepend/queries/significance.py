@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..operators import dependence as dep
 from ..operators import significance as sig
 from ..registry import query
-from ..sources.tables import document_tokens
+from ..sources.tables import document_tokens, stored
 from .common import PAIRS, customer_p, customer_pairs, rounded, sql
 
 #: The documents that a token stands in at least, as many as a pair's evidence; fixed, whatever the size of the table.
@@ -35,7 +35,9 @@ def _tokens(spark, d):
     m = document_tokens(spark, d, EVIDENCE)
     n = m.cells.count()
     p = dep.normalised(m.counts)
-    return dep.pairs(dep.scaled(p, dep.ceilings(p, n, 1.0, 20)), n)
+    y = stored(dep.scaled(p, dep.ceilings(p, n, 1.0, 20)))
+    wide = y.select("gene").distinct().count() >= dep.WIDE_FROM
+    return stored((dep.blocked_pairs if wide else dep.pairs)(y, n))
 
 
 @query("b21_min_observations", sql(BOTH + ", x as (select * from both_ where cooc > (select median(cooc) from pairs)), k as (select gene from x group by gene having count(*) >= 12), r as (select gene, neighbor, ids from x where gene in (from k) and neighbor in (from k))", "ids", "gene neighbor"))

@@ -22,6 +22,17 @@ def read_matrix(spark: SparkSession, path: str) -> Matrix:
     return Matrix(spark.read.parquet(f"{path}/cells"), spark.read.parquet(f"{path}/counts"))
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df, computed once for several readers: checkpointed in the shared folder that spark.checkpoint.dir names, or kept by persist() where it names none."""
+    sc = df.sparkSession.sparkContext
+    named = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
+    if not named:
+        return df.persist()
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(named)
+    return df.checkpoint()
+
+
 def from_rows(rows: DataFrame, cell: str, gene: str, x: str, cells: DataFrame | None = None) -> Matrix:
     """Sum x for each cell and gene; partial sums are made before the shuffle."""
     counts = rows.groupBy(F.col(cell).alias("cell_id"), F.col(gene).alias("gene")).agg(F.sum(x).cast("double").alias("x")).where("x > 0")
