@@ -10,8 +10,8 @@ Machines learn from at most PER_LANGUAGE whole documents and BYTES_PER_LANGUAGE
 language, taken in the order of a hash of doc_id among the training rows with letters; a document that
 doesn't fit in what is left is skipped, but of each language one is kept, the shortest if none fits.
 Both bounds, and with them what the driver holds, are parameters: it keeps frequencies, not texts, and
-fills a matrix with those of two classes at a time. There is a machine for each pair of classes, so more
-than MAX_LANGUAGES languages are refused, not cut.
+copies those of two classes at a time, without the zeros of a matrix. There is a machine for each pair of
+classes, so more than MAX_LANGUAGES languages are refused, not cut.
 
 Defined cases: text that is null or has no letters is `und` with score 0; a null doc_id counts as
 the empty string for the split; null langs are never learnt from; without training rows every text
@@ -37,6 +37,7 @@ PER_LANGUAGE = 600
 BYTES_PER_LANGUAGE = 8_000_000
 MAX_LANGUAGES = 64
 SLICE = 1 << 19
+ENTRIES = 1 << 16
 FAMILIES = {
     "germanic": ["en", "de", "nl", "sv", "da", "no", "nb", "nn", "is", "af"],
     "romance": ["fr", "es", "it", "pt", "ro", "ca", "gl", "oc"],
@@ -88,16 +89,39 @@ def frequencies(text: str) -> tuple[np.ndarray, np.ndarray]:
     return at.astype(np.uint16), (n[at] / max(1, bounds[-1])).astype(np.float32)
 
 
-def fit_machine(x: np.ndarray, y: np.ndarray, penalty: float = 1e-4, steps: int = 150) -> np.ndarray:
-    """Weights and, last, the bias of a linear support vector machine with squared hinge; y is +-1."""
-    n, d = x.shape
+def fit_machine(rows: list[tuple[np.ndarray, np.ndarray]], scale: np.ndarray, y: np.ndarray, penalty: float = 1e-4, steps: int = 150) -> np.ndarray:
+    """Weights and, last, the bias of a linear support vector machine with squared hinge; y is +-1.
+
+    Rows are features and frequencies, to be multiplied by the scale; they are never spread out into a matrix, and what
+    a step makes of them is bounded by ENTRIES or one row.
+    """
+    d = len(scale)
+    ends = np.cumsum([0, *(len(at) for at, _ in rows)])
+    at = np.concatenate([a for a, _ in rows])
+    x = np.concatenate([f for _, f in rows])
+    parts = list(slices(ends, ENTRIES))
+    for i, j in parts:
+        x[ends[i] : ends[j]] *= scale[at[ends[i] : ends[j]]]
+
+    def summed(values: np.ndarray, i: int, j: int) -> np.ndarray:
+        """Sums of values (of the features of rows i to j) by row."""
+        out, full = np.zeros(j - i), np.flatnonzero(np.diff(ends[i : j + 1]))
+        if len(full):
+            out[full] = np.add.reduceat(values, ends[i + full] - ends[i], dtype=np.float64)
+        return out
+
     w, v, t = np.zeros(d + 1, np.float64), np.zeros(d + 1, np.float64), 1.0
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
-    lipschitz = 2 * (weight * ((x.astype(np.float64) ** 2).sum(1) + 1)).sum() + penalty
+    norms = np.concatenate([summed(x[ends[i] : ends[j]].astype(np.float64) ** 2, i, j) for i, j in parts])
+    lipschitz = 2 * (weight * (norms + 1)).sum() + penalty
     for _ in range(steps):
-        slack = np.maximum(0, 1 - y * (x @ v[:-1].astype(np.float32) + v[-1]))
-        g = -2 * weight * y * slack
-        grad = np.append(g.astype(np.float32) @ x, g.sum()) + penalty * v
+        grad = penalty * v
+        for i, j in parts:
+            own, f = at[ends[i] : ends[j]], x[ends[i] : ends[j]]
+            slack = np.maximum(0, 1 - y[i:j] * (summed(v[own] * f, i, j) + v[-1]))
+            g = -2 * weight[i:j] * y[i:j] * slack
+            grad[:-1] += np.bincount(own, np.repeat(g, np.diff(ends[i : j + 1])) * f, d)
+            grad[-1] += g.sum()
         new = v - grad / lipschitz
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
         v, w, t = new + (t - 1) / t_new * (new - w), new, t_new
@@ -120,11 +144,7 @@ class Model:
         for labels, classes in [(fam, self.families), *((lang, self.within[f]) for f in self.families)]:
             for a, b in combinations(classes, 2):
                 both = np.flatnonzero((labels == a) | (labels == b))
-                x = np.zeros((len(both), FEATURES), np.float32)
-                for i, k in enumerate(both):
-                    x[i, rows[k][0]] = rows[k][1]
-                x *= scale
-                machines.append(fit_machine(x, np.where(labels[both] == a, 1.0, -1.0)))
+                machines.append(fit_machine([rows[k] for k in both], scale, np.where(labels[both] == a, 1.0, -1.0)))
                 self.pairs.append((labels is fam, a, b))
         w = np.array(machines).reshape(-1, FEATURES + 1)
         self.bias = w[:, -1]

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -210,6 +211,38 @@ def test_language(docs):
     assert {r["lang_pred"] for r in lang_id.language_id(docs(["a b", None], [None, None])).collect()} == {"und"}
 
 
+def test_machines_are_fitted_without_a_matrix(monkeypatch):
+    """What a fit takes follows the features that rows have, not rows times FEATURES; weights are those of the dense formula."""
+    rng = np.random.RandomState(21)
+    langs = [x for x in ("en", "de", "fr") for _ in range(200)]
+    rows = []
+    for x in langs:
+        at = np.sort(rng.choice(4000, 60, replace=False) + {"en": 0, "de": 1500, "fr": 3000}[x])
+        rows.append((at.astype(np.uint16), rng.rand(60).astype(np.float32)))
+    tracemalloc.start()
+    model = lang_id.Model(rows, langs)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 400 * lang_id.FEATURES * 4 / 2  # half a matrix of two languages
+    x = np.zeros((600, lang_id.FEATURES))
+    for i, (at, n) in enumerate(rows):
+        x[i, at] = n
+    scale = (1 / np.sqrt(np.maximum(x.mean(0), 1e-6))).astype(np.float32)
+    x, y = (x * scale)[:400], np.repeat([1.0, -1.0], 200)
+    w, v, t = np.zeros(lang_id.FEATURES + 1), np.zeros(lang_id.FEATURES + 1), 1.0
+    lipschitz = 2 * ((x**2).sum(1) + 1).sum() / 400 + 1e-4
+    for _ in range(150):
+        g = -2 * y * np.maximum(0, 1 - y * (x @ v[:-1] + v[-1])) / 400
+        new = v - (np.append(g @ x, g.sum()) + 1e-4 * v) / lipschitz
+        t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        v, w, t = new + (t - 1) / t_new * (new - w), new, t_new
+    for entries in (64, 1000, lang_id.ENTRIES):
+        monkeypatch.setattr(lang_id, "ENTRIES", entries)
+        assert np.allclose(lang_id.fit_machine(rows[:400], scale, y), w, rtol=1e-4, atol=1e-6)
+    empty = [(np.zeros(0, np.uint16), np.zeros(0, np.float32)), *rows[:1]]
+    assert np.isfinite(lang_id.fit_machine(empty, scale, np.array([1.0, -1.0]))).all()
+
+
 def test_every_language_is_learnt(docs):
     """Long texts that come first leave the other languages their share, and stay if a language has no others."""
     rng = random.Random(14)
