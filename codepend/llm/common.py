@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import gc
 import re
@@ -11,6 +12,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from py4j.java_gateway import JavaClass, JavaObject
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,9 +84,33 @@ def fresh(name: str, *frames: DataFrame) -> str:
 
 
 def release(spark: SparkSession) -> None:
-    """Let go of the files, plans and buffers of finished rounds, which else wait for the driver to run out of memory."""
+    """Let go of the files, plans and buffers of finished rounds, which else wait for the driver to run out of memory.
+
+    What the JVM's threads have freed of native memory goes back to the system too: glibc keeps it in an arena for each
+    of several threads, and a driver starts hundreds of threads for the exchanges of large plans.
+    """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    trim_driver(spark)
+
+
+def trim_driver(spark: SparkSession) -> None:
+    """Hand freed native memory of the driver's JVM back, where its diagnostic commands can do so (Linux, JDK 17.0.9 or later)."""
+    jvm, new_array = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array
+
+    def array(kind: JavaClass, *items: object) -> JavaObject:
+        out = new_array(kind, len(items))
+        for i, x in enumerate(items):
+            out[i] = x
+        return out
+
+    kind, management = jvm.java.lang.Class, jvm.java.lang.management.ManagementFactory
+    # by reflection, as the server's own class isn't open to callers
+    types = [kind.forName(x) for x in ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")]
+    invoke = kind.forName("javax.management.MBeanServer").getMethod("invoke", array(kind, *types))
+    name = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+    with contextlib.suppress(Py4JJavaError):  # no such command
+        invoke.invoke(management.getPlatformMBeanServer(), array(jvm.java.lang.Object, name, "systemTrimNativeHeap", array(jvm.java.lang.Object), array(jvm.java.lang.String)))
 
 
 def tidy(work: Callable) -> Callable:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut, slices, string_buffers
+from .common import bounded_batches, cut, release, slices, string_buffers
 
 FEATURES = 1 << 13
 PER_LANGUAGE = 600
@@ -223,6 +223,7 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, bytes_per_language:
         spare.pop(lang, None)
         sample.append((frequencies(r["text"]), lang))
     sample += [row for _, row in spare.values()]
+    release(docs.sparkSession)  # the sorted sample's texts, before the fit takes memory
     return Model([r[0] for r in sample], [r[1] for r in sample])
 
 

@@ -259,6 +259,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     placed = cut(keyed.join(joined, keyed.doc_id == joined.node, "left").select("key", "band", "doc_id", "n", "many", F.coalesce("component", "doc_id").alias("c")).where("many > 2"))
     open_keys = placed.groupBy("key", "many").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("key", "many")
     rest = cut(skewed_join(placed.drop("many"), open_keys, ["key"], keyed.count()))
+    release(docs.sparkSession)  # placed bands
     if not rest.isEmpty():
         small = rest.where(F.col("many") <= SMALL)
         pairs = small.alias("p").join(small.alias("q"), F.expr("p.key = q.key and p.doc_id < q.doc_id and p.c <> q.c")).select(F.col("p.doc_id").alias("a"), F.col("q.doc_id").alias("b"))

@@ -39,13 +39,15 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, release
 
 SOURCE_BUCKETS = 256
 #: Residuals relative to the targets that count as met, the slack, and a bound on aggregates, at which a miss is reported.
 TOLERANCE, EPSILON, STEPS, GRADIENT_STEPS = 1e-4, 1e-7, 200, 40
 #: How often a growing total is raised further, and by how much, while its targets are missed.
 RAISES, RAISE = 20, 1.1
+#: Gradient steps after which the driver lets go of their plans.
+ROUNDS = 8
 TARGETS = {"q1t0": 0.78, "q0t0": 0.13, "q1t1": 0.08, "q0t1": 0.01}
 MAX_DOMAINS = 64
 CELLS_PER_TASK = 100_000
@@ -146,9 +148,11 @@ def _gradient(cell: DataFrame, now: np.ndarray, goal: np.ndarray, base: np.ndarr
     height = lambda t: (t - goal) @ inverse @ (t - goal) / 2
     steps: list[list[float]] = []
     before, sums, speed = now, now, 1.0
-    for _ in range(most):
+    for i in range(most):
         if np.abs((sums - goal) / base).max() <= TOLERANCE:
             break
+        if i % ROUNDS == ROUNDS - 1:
+            release(cell.sparkSession)  # plans of the steps so far
         faster = (1 + np.sqrt(1 + 4 * speed * speed)) / 2
         weight = (speed - 1) / faster
         ahead = sums + weight * (sums - before)  # totals are linear in the rates, projections apart
@@ -208,6 +212,7 @@ def fit_rates(cell: DataFrame, names: list[str], targets: dict[str, float], min_
         residual = (sums - goal) / base
         if np.abs(residual).max() <= TOLERANCE:
             break
+        release(cell.sparkSession)  # plans of the steps so far
         total *= RAISE  # where no document is of one domain alone, raising any adds to the domain that has just enough
     if np.abs(residual).max() > TOLERANCE:
         LOG.warning("targets are missed; residuals relative to the targets: %s", dict(zip(names, residual.round(6).tolist())))
@@ -253,6 +258,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     summed = cut(cells(small))
     tasks = -(-summed.count() // CELLS_PER_TASK) or 1  # each step scans the cells once
     cell = cut(posteriors(summed, names, prior, cut(scores)).repartition(tasks))
+    release(docs.sparkSession)
     rated, _ = fit_rates(cell, names, TARGETS if targets is None else targets, min_rate, grow=grow)
     rated = cut(rated.select(*PROPERTIES, "posterior", "rate"))
     out = described.join(rated, list(PROPERTIES)).withColumn("copies", (F.floor("rate") + (F.col("u_") < F.col("rate") - F.floor("rate")).cast("int")).cast("int"))

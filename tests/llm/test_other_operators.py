@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import sys
 import tracemalloc
 import zlib
 
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from codepend.llm import bpe, chat_format, embed_dedup, lang_id, mixing, topk_search
+from codepend.llm import bpe, chat_format, common, embed_dedup, lang_id, mixing, topk_search
 from codepend.llm.queries import TRICKY
 
 EMBEDDINGS = "vec_id long, embedding array<double>, label int, score string"
@@ -347,6 +348,28 @@ def test_mixing_is_native(spark, docs):
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
+@pytest.mark.skipif(not sys.platform.startswith("linux"), reason="reads /proc")
+def test_release_hands_native_memory_of_the_driver_back(spark):
+    """200 MB freed in the JVM, but held by the allocator below a block in use, go back to the system."""
+    jvm = spark.sparkContext._jvm
+    platform, pid = jvm.org.apache.spark.unsafe.Platform, jvm.java.lang.ProcessHandle.current().pid()
+
+    def held():
+        with open(f"/proc/{pid}/status") as status:
+            return next(int(x.split()[1]) for x in status if x.startswith("RssAnon")) / 1024
+
+    common.release(spark)
+    blocks = [platform.allocateMemory(100_000) for _ in range(2000)]
+    for x in blocks:
+        platform.setMemory(x, 1, 100_000)
+    full = held()
+    for x in blocks[:-1]:
+        platform.freeMemory(x)
+    common.release(spark)
+    platform.freeMemory(blocks[-1])
+    assert held() < full - 100
+
+
 def test_pipeline(spark, docs, tmp_path):
     rng = random.Random(12)
     lines = lambda n: "\n".join(tongue(rng, "en", 12) for _ in range(n))
