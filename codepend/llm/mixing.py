@@ -14,11 +14,18 @@ begin anew where the sum would rise. The rate of a cell follows from the steps s
 so a step needs one aggregate over cells of K sums, and nothing is kept by cell. It ends when residuals are
 below TOLERANCE of b.
 
-Where GRADIENT_STEPS don't suffice (targets that few documents can meet, and growing totals, which leave
-most cells at min_rate), the rates nearest to 1 (by tokens) that meet the targets are found by their
-multipliers instead: r_c = max(min_rate, 1 + m . p_c), m by damped Newton steps of K + K (K + 1) / 2 sums
-each. A slack of EPSILON keeps them finite where no rates meet the targets: then |(T - b) / b| is least, and
-what is missed is logged as a warning; `fit_rates` returns the totals before and after and the residuals.
+Where GRADIENT_STEPS don't suffice (targets that few documents can meet), the rates nearest to 1 (by tokens)
+that meet the targets are found by their multipliers instead: r_c = max(min_rate, 1 + m . p_c), m by damped
+Newton steps of K + K (K + 1) / 2 sums each. A slack of EPSILON keeps them finite where no rates meet the
+targets: then |(T - b) / b| is least, and what is missed is logged as a warning; `fit_rates` returns the totals
+before and after and the residuals.
+
+A growing total is not set beforehand: near the least one that allows the targets, only the few cells on their
+edge would be repeated, hundreds of times. Of all rates that meet T_k = w_k sum(T), whatever the sum, those nearest
+to 1 are taken, by tokens and by documents alike: each cell weighs the mean of its tokens and its documents' mean
+share of all tokens, l_c is its tokens over that, and r_c = max(min_rate, 1 + l_c m . (p_c - w)), m by the same
+Newton steps. The slack is centred anew at the multipliers found until the targets are met; where no rates meet
+them, what the T_k miss of w_k sum(T) is least by tokens, and nothing is repeated for the shares' sake alone.
 
 Token totals are words as between white space. The decision is whole copies: floor(rate), and one
 more where a hash of (doc_id, text) falls below the fraction.
@@ -36,7 +43,7 @@ import logging
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, release
@@ -44,8 +51,8 @@ from .common import cut, release
 SOURCE_BUCKETS = 256
 #: Residuals relative to the targets that count as met, the slack, and a bound on aggregates, at which a miss is reported.
 TOLERANCE, EPSILON, STEPS, GRADIENT_STEPS = 1e-4, 1e-7, 200, 40
-#: How often a growing total is raised further, and by how much, while its targets are missed.
-RAISES, RAISE = 20, 1.1
+#: How often a growing total's slack is centred anew while its targets are missed.
+CENTRES = 20
 #: Gradient steps after which the driver lets go of their plans.
 ROUNDS = 8
 TARGETS = {"q1t0": 0.78, "q0t0": 0.13, "q1t1": 0.08, "q0t1": 0.01}
@@ -166,26 +173,32 @@ def _gradient(cell: DataFrame, now: np.ndarray, goal: np.ndarray, base: np.ndarr
     return steps, sums
 
 
-def rate(multipliers: list[float], min_rate: float) -> Column:
-    """The rate of a cell under the domains' multipliers."""
+def raw_rate(multipliers: list[float], lever: Column | None = None) -> Column:
+    """The rate of a cell under the domains' multipliers, not yet bounded; lever: its tokens by its weight, where these differ."""
     dot = sum((F.lit(float(m)) * F.col("posterior")[i] for i, m in enumerate(multipliers)), F.lit(0.0))
-    return F.greatest(F.lit(float(min_rate)), 1 + dot)
+    return 1 + (dot if lever is None else lever * dot)
+
+
+def rate(multipliers: list[float], min_rate: float, lever: Column | None = None) -> Column:
+    """The rate of a cell under the domains' multipliers."""
+    return F.greatest(F.lit(float(min_rate)), raw_rate(multipliers, lever))
 
 
 def fit_rates(cell: DataFrame, names: list[str], targets: dict[str, float], min_rate: float = 0.0, steps: int = STEPS, grow: bool = False) -> tuple[DataFrame, dict]:
-    """cell with `rate`; and the totals before and after, with the residuals relative to the targets. grow: the total rises until no domain needs fewer tokens than it has, and on until the targets are met."""
+    """cell with `rate`; and the totals before and after, with the residuals relative to the targets. grow: the total is what the rates nearest to 1 that meet the targets make it; a cell without docs is one document."""
     k = range(len(names))
     p = [F.col("posterior")[i] for i in k]
     upper = [(i, j) for i in k for j in k if i <= j]
+    weight, lever = F.col("tokens"), None
 
     def at(m: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
         """The dual's own sum, the totals of the domains and their derivatives by the multipliers."""
         r = F.col("tokens") * F.col("rate")
-        free = F.when(F.col("open_"), F.col("tokens")).otherwise(0)
+        free = F.when(F.col("open_"), F.col("tokens") if lever is None else F.col("tokens") * lever).otherwise(0)
         # the integral of the rate along the multipliers, up to a constant
         height = F.when(F.col("open_"), F.col("raw_") * F.col("raw_") / 2).otherwise(min_rate * F.col("raw_") - min_rate * min_rate / 2)
-        c = cell.withColumn("raw_", 1 + sum((F.lit(float(x)) * p[i] for i, x in enumerate(m)), F.lit(0.0))).withColumn("open_", F.col("raw_") >= min_rate).withColumn("rate", rate(list(m), min_rate))
-        got = [float(x or 0) for x in c.agg(F.sum(F.col("tokens") * height), *(F.sum(r * p[i]) for i in k), *(F.sum(free * p[i] * p[j]) for i, j in upper)).first()]
+        c = cell.withColumn("raw_", raw_rate(list(m), lever)).withColumn("open_", F.col("raw_") >= min_rate).withColumn("rate", rate(list(m), min_rate, lever))
+        got = [float(x or 0) for x in c.agg(F.sum(weight * height), *(F.sum(r * p[i]) for i in k), *(F.sum(free * p[i] * p[j]) for i, j in upper)).first()]
         slope = np.zeros((len(k), len(k)))
         for (i, j), x in zip(upper, got[1 + len(k) :]):
             slope[i, j] = slope[j, i] = x
@@ -196,27 +209,50 @@ def fit_rates(cell: DataFrame, names: list[str], targets: dict[str, float], min_
     if not sum(want) or not sum(now):
         return cell.withColumn("rate", F.lit(max(1.0, min_rate))), {"domains": names, "before": now, "target": now, "after": now, "residual": [0.0 for _ in k]}
     want = [w / sum(want) for w in want]
-    total = max(n / w for n, w in zip(now, want) if w > 0) if grow else sum(now)
+    if grow:
+        docs = F.col("docs") if "docs" in cell.columns else F.lit(1)
+        mean = sum(now) / cell.agg(F.sum(docs)).first()[0]
+        weight = (F.col("tokens") + docs * F.lit(mean)) / 2
+        lever = F.col("tokens") / weight
+        m, sums = _grown(at, now, want, steps, cell.sparkSession)
+        total = sums.sum()
+    else:
+        total = sum(now)
     goal = np.array([w * total for w in want])
     base = np.where(goal > 0, goal, total)
-    taken, sums = _gradient(cell, np.array(now), goal, base, min_rate, GRADIENT_STEPS)
-    if np.abs((sums - goal) / base).max() <= TOLERANCE:
-        LOG.info("targets are met after %d gradient steps", len(taken))
-        return cell.withColumn("rate", stepped(taken, min_rate)), {"domains": names, "before": now, "target": goal.tolist(), "after": sums.tolist(), "residual": ((sums - goal) / base).tolist(), "gradient_steps": len(taken)}
-    LOG.info("targets are not met after %d gradient steps; going on by multipliers", len(taken))
-    m = np.zeros(len(k))
-    for _ in range(RAISES if grow else 1):
-        goal = np.array([w * total for w in want])
-        base = np.where(goal > 0, goal, total)
-        m, sums = _multipliers(at, m, goal, base, EPSILON * base * base / total, steps)
-        residual = (sums - goal) / base
-        if np.abs(residual).max() <= TOLERANCE:
-            break
-        release(cell.sparkSession)  # plans of the steps so far
-        total *= RAISE  # where no document is of one domain alone, raising any adds to the domain that has just enough
+    if not grow:
+        taken, sums = _gradient(cell, np.array(now), goal, base, min_rate, GRADIENT_STEPS)
+        if np.abs((sums - goal) / base).max() <= TOLERANCE:
+            LOG.info("targets are met after %d gradient steps", len(taken))
+            return cell.withColumn("rate", stepped(taken, min_rate)), {"domains": names, "before": now, "target": goal.tolist(), "after": sums.tolist(), "residual": ((sums - goal) / base).tolist(), "gradient_steps": len(taken)}
+        LOG.info("targets are not met after %d gradient steps; going on by multipliers", len(taken))
+        m, sums = _multipliers(at, np.zeros(len(k)), goal, base, EPSILON * base * base / total, steps)
+    residual = (sums - goal) / base
     if np.abs(residual).max() > TOLERANCE:
         LOG.warning("targets are missed; residuals relative to the targets: %s", dict(zip(names, residual.round(6).tolist())))
-    return cell.withColumn("rate", rate(list(m), min_rate)), {"domains": names, "before": now, "target": goal.tolist(), "after": sums.tolist(), "residual": residual.tolist()}
+    return cell.withColumn("rate", rate(list(m), min_rate, lever)), {"domains": names, "before": now, "target": goal.tolist(), "after": sums.tolist(), "residual": residual.tolist()}
+
+
+def _grown(at: Callable, now: list[float], want: list[float], steps: int, spark: SparkSession) -> tuple[np.ndarray, np.ndarray]:
+    """The multipliers of the rates nearest to 1 that give each domain its share of their own total, and the totals there."""
+    w = np.array(want)
+    total = max(n / x for n, x in zip(now, want) if x > 0)  # the least at which no domain has too much
+    base = np.where(w > 0, w * total, total)
+    slack = EPSILON * base * base / total
+    over = np.eye(len(w)) - np.outer(w, np.ones(len(w)))  # from totals to what they are beyond their shares of the sum
+
+    def beyond(m: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        own, sums, slope = at(over.T @ m)
+        return own, over @ sums, over @ slope @ over.T
+
+    m = np.zeros(len(w))
+    for _ in range(CENTRES):
+        m, missed = _multipliers(beyond, m, slack * m, base, slack, steps)
+        if np.abs(missed / base).max() <= TOLERANCE:
+            break
+        release(spark)  # plans of the steps so far
+    m = over.T @ m
+    return m, at(m)[1]
 
 
 def _multipliers(at: Callable, m: np.ndarray, goal: np.ndarray, base: np.ndarray, slack: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:

@@ -318,6 +318,29 @@ def test_mixing_takes_gradient_steps(spark):
     assert steps == told["gradient_steps"] and np.allclose(np.sort(r), np.sort(rate), rtol=1e-6)
 
 
+@pytest.mark.parametrize("size", [300, 3000])
+def test_mixing_grows_in_proportion(spark, size):
+    """Growing rates are the nearest to 1 by tokens and documents that meet the targets, so rows follow the input, not the few cells on the edge."""
+    rng = np.random.RandomState(size)
+    c = np.where(rng.rand(size) < 0.02, rng.uniform(0.001, 0.07, size), rng.uniform(0.075, 0.14, size))
+    a = np.where(rng.rand(size) < 0.12, 0.99 - c, 0.03)
+    p = np.stack([a, 1 - a - c, c], axis=1)
+    docs = rng.randint(1, 30, size)
+    n = (docs * np.exp(rng.normal(5, 1.5, size))).astype(int) + 1
+    cell = spark.createDataFrame([(int(x), int(d), q.tolist()) for x, d, q in zip(n, docs, p)], "tokens long, docs long, posterior array<double>").cache()
+    out, told = mixing.fit_rates(cell, ["a", "b", "c"], {"a": 0.13, "b": 0.78, "c": 0.08}, 1.0, grow=True)
+    got = out.collect()
+    n, docs, p, r = (np.array([x[k] for x in got]) for k in ("tokens", "docs", "posterior", "rate"))
+    share = np.array([0.13, 0.78, 0.08]) / 0.99
+    assert r.min() == 1 and np.allclose((n * r) @ p, share * (n @ r), rtol=mixing.TOLERANCE)
+    assert np.allclose(told["after"], (n * r) @ p) and max(map(abs, told["residual"])) <= mixing.TOLERANCE
+    lever = n / ((n + docs * n.sum() / docs.sum()) / 2)
+    pull, up = (p - share) * lever[:, None], r > 1  # least where each rate is 1 + m . pull, or 1 where that is less
+    m = np.linalg.lstsq(pull[up], r[up] - 1, rcond=None)[0]
+    assert np.allclose(np.maximum(1, 1 + pull @ m), r, rtol=1e-6)
+    assert docs @ r < 4 * docs.sum()
+
+
 def test_mixing_posteriors_by_brute_force(docs, spark):
     """Naive Bayes with add-one smoothing, from the definition, over four domains with the real targets."""
     rng = random.Random(16)
