@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 from ..operators import annotate as an
 from ..operators.ranks import percentiles
 from ..registry import query
-from .activity import ACT, LOAD, _activity, _loadings
-from .common import PAIRS, customer_pairs, customer_y, rounded, sql
+from ..sources.tables import stored
+from .activity import ACT, LOAD, _activity, _loadings, _projected
+from .common import PAIRS, customer_pairs, rounded, sql
 from .graph import BASE, _groups
 from ..operators import activity as act
 
@@ -51,9 +52,9 @@ def e04(spark, d):
 @query("e06_centroids_medoids", sql(ACT + """, v as (select cells.cell_id, cell_type, sum(x) filter (pid = 0) as a, sum(x) filter (pid = 1) as b from act join cells using (cell_id) group by all),
 c as (select cell_type, median(a) as ca, median(b) as cb from v group by 1), r as (select cell_type, ca, cb, cell_id as medoid from v join c using (cell_type) qualify row_number() over (partition by cell_type order by round((a - ca) ** 2 + (b - cb) ** 2, 9), cell_id) = 1)""", "ca cb", "cell_type medoid"))
 def e06(spark, d):
-    m, y, _ = customer_y(spark, d)
+    m, a, _ = _projected(spark, d)
     at = lambda k: F.sum(F.when(F.col("pid") == k, F.col("x")))
-    v = _activity(spark, d).join(m.cells, "cell_id").groupBy("cell_id", "cell_type").agg(at(0).alias("a"), at(1).alias("b"))
+    v = stored(a.join(m.cells, "cell_id").groupBy("cell_id", "cell_type").agg(at(0).alias("a"), at(1).alias("b")))
     of = lambda x, name: percentiles(v, x, (0.5,), ["cell_type"]).select("cell_type", F.col("q")[0].alias(name))
     c = of("a", "ca").join(of("b", "cb"), "cell_type")
     far = F.round(F.pow(F.col("a") - F.col("ca"), 2) + F.pow(F.col("b") - F.col("cb"), 2), 9)
@@ -63,8 +64,8 @@ def e06(spark, d):
 
 @query("e07_quartiles_by_type", sql(ACT + ", r as (select cell_type, pid, quantile_cont(x, 25e-2) as q1, median(x) as med, quantile_cont(x, 75e-2) as q3 from act join cells using (cell_id) group by all)", "q1 med q3", "cell_type pid"))
 def e07(spark, d):
-    m, _, _ = customer_y(spark, d)
-    v = percentiles(_activity(spark, d).join(m.cells, "cell_id"), "x", (0.25, 0.5, 0.75), ["cell_type", "pid"])
+    m, a, _ = _projected(spark, d)
+    v = percentiles(a.join(m.cells, "cell_id"), "x", (0.25, 0.5, 0.75), ["cell_type", "pid"])
     return rounded(v.select("cell_type", "pid", F.col("q")[0].alias("q1"), F.col("q")[1].alias("med"), F.col("q")[2].alias("q3")))
 
 
